@@ -11,11 +11,10 @@ BATCH_ROWS = 1000
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keeps Arrow batches small: by rows and, where Spark knows it, by bytes."""
+    """Keeps Arrow batches small: by rows and by bytes."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0")) <= 1 << 24:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shared_dir(spark: SparkSession) -> str:

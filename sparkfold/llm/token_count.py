@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernels as K
 from .session import bounded
@@ -177,7 +178,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
     target = docs.select(*kept)
     at = target.columns.index(text)
-    schema = target.schema.add(out, "long")
+    schema = StructType([*target.schema.fields, StructField(out, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
