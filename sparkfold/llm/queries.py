@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, token_count
+from . import decontaminate, language_id, line_dedup, near_dup, packing, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,29 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op5_language_id(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op6_url_filter(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op7_line_dedup(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_line_dedup"] = line_dedup.ORACLE
+
+
+@_query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op10_token_counts(_table(spark, sf_dir, "documents"), token_count.tokenizer_path(), limit=1024)
