@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, near_dup, packing, token_count, url_filter
+from . import decontaminate, language_id, line_dedup, matroska, near_dup, packing, quality, sharding, token_count, url_filter
+from .session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), token_count.tokenizer_path(), capacity=1024, closing_id=0)
 
 
+@_query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op2_sharding(_table(spark, sf_dir, "documents"), shared_dir(spark))
+
+
+ORACLES["op2_sharding"] = sharding.ORACLE
+
+
+@_query
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.op3_media(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
@@ -49,6 +63,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_line_dedup"] = line_dedup.ORACLE
 
 
+@_query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
