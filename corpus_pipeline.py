@@ -1,23 +1,58 @@
-"""The corpus pipeline: stages that each read what their predecessor kept."""
+"""The corpus pipeline: stages that each read what their predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``documents``; the last one
+returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkfold.llm import packing, token_count
+from sparkfold.llm import decontaminate, line_dedup, near_dup, packing, quality, token_count
 from sparkfold.llm.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: documents that the quality classifier rejects (score below 0.7) go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, ~quality.held_out())
+    scored = quality.score(docs, model, out="__quality")
+    return scored.where(F.col("__quality") >= quality.ACCEPT).drop("__quality")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: lines in later occurrences of three-line windows go; n_chars follows the text."""
+    kept = line_dedup.deduplicate_lines(docs)
+    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: of each group of near duplicates the document of the least doc_id stays."""
+    return near_dup.keep_first(docs, threshold=0.8)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: documents that hold a benchmark item go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 5: packs all that is left into sequences of 1024 tokens; one row per piece."""
     return packing.pack(docs, token_count.tokenizer_path(), capacity=1024, closing_id=0)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 #: The models and the similarity search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
