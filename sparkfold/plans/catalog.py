@@ -1,10 +1,8 @@
-"""The registered queries with their oracles: name -> query, name -> DuckDB SQL."""
+"""All registered queries with their oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregating, computing, formats, joining, matching, merging, scalars, streams, windowing  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
