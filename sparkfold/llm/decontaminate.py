@@ -2,9 +2,13 @@
 
 An item of m characters (lower case, runs of other than letters and numbers as one space) may occur in a
 text with up to ``k = m * rate`` edits.  It is split into k + 1 pieces; at least one of them then occurs
-without an edit.  An Aho-Corasick automaton over all pieces finds the exact hits in whole texts; hits of an
-item on neighbouring diagonals make one region, which a character count may rule out and Myers'
-bit-parallel algorithm verifies.
+without an edit.  An Aho-Corasick automaton over all pieces finds the exact hits in whole texts.
+
+Most hits are chance.  They are ruled out by the same principle, step by step: the pieces are the leaves of
+a binary tree, and where an item occurs within its budget there is a leaf whose ancestors all do: one of p
+pieces with p - 1 edits at most.  So a hit is followed upwards, in regions that double, until a step fails.
+What is left, hits of an item on neighbouring diagonals, makes one region that is verified as a whole.
+Every verification is Myers' bit-parallel algorithm.
 
 The items go to the workers in blocks of at most BLOCK_CHARS characters, so what is broadcast has a fixed
 bound; each block is one pass over the texts.  Texts don't move.
@@ -16,7 +20,6 @@ documents as well; a null doc_id stays null; empty tables give an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,33 +59,33 @@ def normalized(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [" ".join(x) for x in out]
 
 
-class Pattern:
-    """An item with its pieces and the bit masks of Myers' algorithm."""
+class Part:
+    """Some successive pieces of an item: their text, place and budget, and the bit masks of Myers' algorithm."""
 
-    def __init__(self, item: int, text: str, rate: float) -> None:
-        self.item, self.text, self.budget = item, text, int(len(text) * rate)
-        n = self.budget + 1
-        edges = [len(text) * i // n for i in range(n + 1)]
-        self.pieces = [(text[a:b], a) for a, b in zip(edges, edges[1:], strict=False)]
+    __slots__ = ("text", "start", "budget", "masks")
+
+    def __init__(self, text: str, start: int, budget: int) -> None:
+        self.text, self.start, self.budget = text, start, budget
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
-        self.counts = Counter(text)
 
-    def distance(self, region: str) -> tuple[int, int]:
-        """Least edit distance to a part of the region, and where that part ends; budget + 1 if it is beyond."""
-        none = self.budget + 1
-        if self.text in region:
-            return 0, region.index(self.text) + len(self.text)
-        there = Counter(region)
-        if sum(n - there[c] for c, n in self.counts.items() if n > there[c]) > self.budget:
-            return none, 0
+    def region(self, text: str, at: int) -> str:
+        """Where this part can be, if the item starts at about ``at``."""
+        start = at + self.start - self.budget
+        return text[start if start > 0 else 0 : max(0, at + self.start + len(self.text) + self.budget)]
+
+    def distance(self, region: str, enough: int = 0) -> tuple[int, int]:
+        """Least edit distance to a stretch of the region, and where that ends; budget + 1 if it is beyond.
+
+        The search ends at the first distance that is ``enough``.
+        """
         m = len(self.text)
         full, top = (1 << m) - 1, 1 << (m - 1)
-        plus, minus, score, best, end = full, 0, m, none, 0
-        masks = self.masks
+        plus, minus, score, best, end = full, 0, m, self.budget + 1, 0
+        find = self.masks.get
         for j, c in enumerate(region):
-            eq = masks.get(c, 0)
+            eq = find(c, 0)
             across = eq | minus
             down = (((eq & plus) + plus) ^ plus) | eq
             up = minus | ~(down | plus) & full
@@ -93,13 +96,40 @@ class Pattern:
                 score -= 1
                 if score < best:
                     best, end = score, j + 1
+                    if best <= enough:
+                        break
             up = up << 1 & full
-            low = low << 1 & full
-            plus = low | ~(across | up) & full
+            plus = low << 1 & full | ~(across | up) & full
             minus = up & across
         return best, end
 
 
+class Pattern:
+    """An item with its pieces and, for each piece, what holds it: two pieces, four, and so on, below the whole."""
+
+    def __init__(self, item: int, text: str, rate: float) -> None:
+        self.item, self.text, self.budget = item, text, int(len(text) * rate)
+        n = self.budget + 1
+        edges = [len(text) * i // n for i in range(n + 1)]
+        self.whole = Part(text, 0, self.budget)
+        self.pieces: list[tuple[str, int, list[Part]]] = []
+        self._split(edges, 0, n, [])
+
+    def _split(self, edges: list[int], a: int, b: int, above: list[Part]) -> None:
+        if b - a == 1:
+            self.pieces.append((self.text[edges[a] : edges[b]], edges[a], above[::-1]))
+            return
+        held = above if b - a == len(edges) - 1 else [*above, Part(self.text[edges[a] : edges[b]], edges[a], b - a - 1)]
+        middle = (a + b) // 2
+        self._split(edges, a, middle, held)
+        self._split(edges, middle, b, held)
+
+    def verify(self, region: str) -> tuple[int, int]:
+        if self.text in region:
+            return 0, region.index(self.text) + len(self.text)
+        return self.whole.distance(region)
+
+
 class Matcher:
     """All items of a block."""
 
@@ -108,10 +138,10 @@ class Matcher:
 
         self.patterns = [Pattern(i, text, rate) for i, text in items]
         self.automaton = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, int, list[Part]]]] = {}
         for n, p in enumerate(self.patterns):
-            for piece, offset in p.pieces:
-                where.setdefault(piece, []).append((n, offset))
+            for piece, offset, above in p.pieces:
+                where.setdefault(piece, []).append((n, offset, above))
         for piece, uses in where.items():
             self.automaton.add_word(piece, (len(piece), uses))
         if where:
@@ -124,8 +154,13 @@ class Matcher:
             return []
         diagonals: dict[int, list[int]] = {}
         for end, (length, uses) in self.automaton.iter(text):
-            for n, offset in uses:
-                diagonals.setdefault(n, []).append(end + 1 - length - offset)
+            for n, offset, above in uses:
+                at = end + 1 - length - offset
+                for part in above:
+                    if part.distance(part.region(text, at), part.budget)[0] > part.budget:
+                        break
+                else:
+                    diagonals.setdefault(n, []).append(at)
         out = []
         for n, found in diagonals.items():
             p = self.patterns[n]
@@ -135,13 +170,13 @@ class Matcher:
                 if i < len(found) and found[i] - found[i - 1] <= p.budget:
                     continue
                 start = max(0, found[first] - p.budget)
-                region = text[start : found[i - 1] + len(p.text) + p.budget]
+                region = text[start : max(0, found[i - 1] + len(p.text) + p.budget)]
                 first = i
                 key = (n, region)
                 if (hit := self.memory.get(key)) is None:
                     if len(self.memory) >= MEMORY:
                         self.memory.clear()
-                    hit = self.memory[key] = p.distance(region)
+                    hit = self.memory[key] = p.verify(region)
                 if hit[0] < best:
                     best, end = hit[0], start + hit[1]
                 if not best:
