@@ -51,10 +51,8 @@ def sources_table(spark: SparkSession) -> DataFrame:
 
 
 def _cases(pairs, x: Column, default: Column) -> Column:
-    out = default
-    for key, value in reversed(list(pairs)):
-        out = F.when(x == key, value).otherwise(out)
-    return out
+    """Value of the constant table entry whose key is x, or the default."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) if isinstance(v, str) else v for pair in pairs for v in pair]), x), default)
 
 
 def host_of(url: Column) -> Column:
@@ -89,13 +87,9 @@ def url_type_and_key(source: Column, path: Column) -> Column:
 
 def url_of(source: Column, kind: Column, key: Column) -> Column:
     """URL of an identifier; empty if the key has a colon or the source has no page of that type."""
-    out = F.lit("")
-    for name, (prefix, template, words) in URLS.items():
-        before, _, after = template.partition("{k}")
-        for t, word in words.items():
-            url = F.concat(F.lit(prefix + before.replace("{t}", word)), key, F.lit(after))
-            out = F.when((source == name) & (kind == t), url).otherwise(out)
-    return F.when(F.contains(key, F.lit(":")), F.lit("")).otherwise(out)
+    table = [F.lit(v) for name, (prefix, template, words) in URLS.items() for t, word in words.items() for v in (f"{name}|{t}", prefix + template.replace("{t}", word))]
+    found = F.try_element_at(F.create_map(*table), F.concat_ws("|", source, kind))
+    return F.when(F.contains(key, F.lit(":")), F.lit("")).otherwise(F.coalesce(F.replace(found, F.lit("{k}"), key), F.lit("")))
 
 
 def source_of_alias(alias: Column) -> Column:
@@ -118,9 +112,14 @@ def normalize_key(source: Column, kind: Column, key: Column) -> Column:
 
 def identifier(source: Column, kind: Column, key: Column, url: Column | None = None) -> Column:
     """struct(key, url) with a normalised key and, unless one is given, its URL."""
-    parts = normalize_key(source, F.coalesce(kind, F.lit(DEFAULT_TYPE)), key)
-    made = url_of(source, parts["type"], parts["key"])
-    return F.struct(parts["key"].alias("key"), F.nullif(made if url is None else F.coalesce(url, made), F.lit("")).alias("url"))
+
+
+    def build(parts: Column) -> Column:
+        made = url_of(source, parts["type"], parts["key"])
+        return F.struct(parts["key"].alias("key"), F.nullif(made if url is None else F.coalesce(url, made), F.lit("")).alias("url"))
+
+    # bound once: the URL names type and key in each of its cases
+    return F.get(F.transform(F.array(normalize_key(source, F.coalesce(kind, F.lit(DEFAULT_TYPE)), key)), build), F.lit(0))
 
 
 def parse_urn(urn: Column) -> Column:

@@ -35,17 +35,18 @@ def canonical_rating(value: Column) -> Column:
     """Any rating scale to 0..5 with one decimal: up to 10 it is halved, beyond it is scaled by its power of ten."""
     scale = F.pow(F.lit(10.0), F.ceil(F.log10(value))) / 5
     scaled = F.when(value <= 0, F.lit(0.0)).when(value <= 10, value / 2).otherwise(value / scale)
-    return F.least(F.round(scaled.cast("decimal(18,8)"), 1), F.lit(5).cast("decimal(18,1)")).cast("double")
+    return F.when(value.isNotNull(), F.least(F.round(scaled.cast("decimal(18,8)"), 1), F.lit(5).cast("decimal(18,1)"))).cast("double")
 
 
 def rating_of_ten(canonical: Column) -> Column:
     """0..5 to an integer of 0..10."""
-    return F.least(F.greatest(F.round(canonical.cast("decimal(18,8)") * 2, 0), F.lit(0)), F.lit(10)).cast("int")
+    return F.when(canonical.isNotNull(), F.least(F.greatest(F.round(canonical.cast("decimal(18,8)") * 2, 0), F.lit(0)), F.lit(10))).cast("int")
 
 
 def compose_date(year: Column, month: Column, day: Column) -> Column:
     """A date from its parts; null if they are no date."""
-    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+    dash = F.lit("-")  # plain concat: a missing part must not make a shorter, valid date
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), dash, F.lpad(month.cast("string"), 2, "0"), dash, F.lpad(day.cast("string"), 2, "0")).try_cast("date")
 
 
 def parse_date(x: Column) -> Column:

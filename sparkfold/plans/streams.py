@@ -1 +1,47 @@
-"""Queries."""
+"""Queries of the streaming part: streams over the event table give what a batch gives."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.shared import shared_folder
+from ..streaming import streams as S
+from .registry import query
+
+
+def _stream(t):
+    """The event table as a stream of files."""
+    events = t("events")
+    spark = events.sparkSession
+    folder = shared_folder(spark)
+    events.repartition(4).write.parquet(f"{folder}/in")
+    return S.read_events(spark, f"{folder}/in", events.schema, files_per_trigger=2), folder
+
+
+@query("SELECT date_trunc('minute', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def t01_counts_per_minute(t):
+    stream, folder = _stream(t)
+    counts = S.counts_per_window(stream, "ts", ["event_type"], late="400 days")
+    # complete: the last batch holds the final table
+    out = S.run_to_table(counts, folder, mode="complete")
+    last = out.agg(F.max("batch")).first()[0] if "batch" in out.columns else None
+    rows = t("events").sparkSession.read.parquet(f"{folder}/rows")
+    last = rows.agg(F.max("batch")).first()[0] if last is None else last
+    return rows.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def t03_first_writer(t):
+    """One batch, so the first writer is the least event of all."""
+    events = t("events")
+    spark = events.sparkSession
+    folder = shared_folder(spark)
+    events.select("user_id", "event_type", "event_id").write.parquet(f"{folder}/in")
+    stream = S.read_events(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+    return S.run_to_table(S.first_writer(stream, "user_id", "event_type", "event_id"), folder).select("user_id", "event_type")
+
+
+@query("SELECT start, CAST(count(*) AS BIGINT) AS kinds FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE n > 3 * 1.05 GROUP BY start")
+def t05_rate_caps(t):
+    counts = S.counts_per_window(t("events"), "ts", ["event_type"], width="1 hour")
+    return S.over_cap(counts, 3).groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("kinds"))
