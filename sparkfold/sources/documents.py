@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import identifiers as I
 from ..functions import numbers as N
@@ -316,7 +317,7 @@ def native_json(payload: Column, root: str = NATIVE_ROOT) -> Column:
     return C.let(read, project)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_to_json(payloads: pd.Series) -> pd.Series:
     """a YAML document as JSON; null if it is none."""
     import json
