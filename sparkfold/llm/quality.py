@@ -41,6 +41,8 @@ MAX_DOCS, MAX_BYTES = 4000, 16_000_000
 #: Size of a vector, nonzero places of an index vector, tokens to either side that count as context.
 SIZE, NONZERO, REACH = 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
+#: Tokens whose vectors are gathered at a time.
+GATHER = 1 << 15
 #: Score from which a text counts as good.
 ACCEPT = 0.7
 
@@ -82,15 +84,19 @@ class Model:
             hit = np.flatnonzero(self.words[place] == hashes)
             if not len(hit):
                 continue
-            rows = rows[hit]
-            vectors = self.vectors[place[hit]]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            known += np.bincount(rows, minlength=n)
-            near = np.einsum("ij,ij->i", vectors[1:], vectors[:-1]) * (rows[1:] == rows[:-1])
-            product += np.bincount(rows[1:], weights=near, minlength=n)
-            # a text may come in several segments: its sums add up
-            np.add.at(total, rows[first], np.add.reduceat(vectors, first, axis=0))
-            np.add.at(square, rows[first], np.add.reduceat(vectors * vectors, first, axis=0))
+            known += np.bincount(rows[hit], minlength=n)
+            for c in range(0, len(hit), GATHER):
+                lead = int(c > 0)  # the token before the chunk, for its product with the first one
+                part = hit[c - lead : c + GATHER]
+                vectors, row = self.vectors[place[part]], rows[part]
+                near = np.einsum("ij,ij->i", vectors[1:], vectors[:-1]) * (row[1:] == row[:-1])
+                product += np.bincount(row[1:], weights=near, minlength=n)
+                vectors, row = vectors[lead:], row[lead:]
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                # a text may come in several parts: its sums add up
+                np.add.at(total, row[first], np.add.reduceat(vectors, first, axis=0))
+                vectors *= vectors
+                np.add.at(square, row[first], np.add.reduceat(vectors, first, axis=0))
         some = np.maximum(known, 1)[:, None]
         every = np.maximum(count, 1)
         extra = np.stack([1 - known / every, np.log1p(count), np.log1p(lines), product / some[:, 0], again[0] / every, again[1] / every], axis=1)
@@ -117,24 +123,40 @@ def index_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_vectors(column: pa.Array | pa.ChunkedArray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the tokens that occur ``least`` times, and their unit vectors."""
-    parts = list(tokens(column))
-    hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
-    rows = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    words, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    """Sorted hashes of the tokens that occur ``least`` times, and their unit vectors.
+
+    Sums are added in place, a chunk of tokens at a time, so the driver holds little beside tokens and vectors.
+    """
+    hashes, rows = [np.zeros(0, U64)], [np.zeros(0, np.int32)]
+    for h, r, _ in tokens(column):
+        hashes.append(h)
+        rows.append(r.astype(np.int32))
+    hashes, rows = np.concatenate(hashes), np.concatenate(rows)
+    words, count = np.unique(hashes, return_counts=True)
+    words = words[count >= least]
+    total = np.zeros(len(words) * SIZE, np.float32)
     if not len(words):
-        return words, np.zeros((0, SIZE), np.float32)
-    places, signs = index_places(words)
-    total = np.zeros(len(words) * SIZE)
-    for lag in range(1, REACH + 1):
-        left = np.flatnonzero(rows[lag:] == rows[:-lag])
-        for a, b in ((left, left + lag), (left + lag, left)):
+        return words, total.reshape(0, SIZE)
+    step = 1 << 17
+    for start in range(0, len(hashes), step):
+        # the chunk with the tokens in reach on either side
+        low, high = max(0, start - REACH), min(len(hashes), start + step + REACH)
+        near, row = hashes[low:high], rows[low:high]
+        own = np.arange(start, min(start + step, len(hashes))) - low
+        place = np.minimum(np.searchsorted(words, near[own]), len(words) - 1)
+        known = words[place] == near[own]
+        own, place = own[known], place[known]
+        places, signs = index_places(near)
+        for lag in (*range(-REACH, 0), *range(1, REACH + 1)):
+            other = own + lag
+            ok = (other >= 0) & (other < len(near))
+            ok[ok] = row[other[ok]] == row[own[ok]]
+            at, context = place[ok] * SIZE, other[ok]
             for k in range(NONZERO):
-                total += np.bincount(inverse[a] * SIZE + places[inverse[b], k], weights=signs[inverse[b], k], minlength=len(total))
-    kept = count >= least
-    vectors = total.reshape(-1, SIZE)[kept]
-    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    return words[kept], (vectors / np.maximum(norm, 1e-9)).astype(np.float32)
+                np.add.at(total, at + places[context, k], signs[context, k].astype(np.float32))
+    vectors = total.reshape(-1, SIZE)
+    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-9)
+    return words, vectors
 
 
 def train_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[np.ndarray]:
@@ -194,7 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MAX_
     if not rows.num_rows:
         return fit_model(pa.array([], pa.large_string()), np.zeros(0))
     rows = rows.sort_by("doc_id")
-    return fit_model(rows["text"].combine_chunks(), rows["y"].to_numpy())
+    model = fit_model(rows["text"].combine_chunks(), rows["y"].to_numpy())
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
