@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregating, computing, formats, joining, matching, merging, scalars, streams, windowing  # noqa: F401
+from . import aggregating, computing, formats, joining, matching, merging, resolving, scalars, streams, windowing  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
