@@ -26,14 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sparkfold-{uuid.uuid4().hex}"
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(frame.sparkSession))
-    return frame.checkpoint(eager=True)
-
-
 def stored(frame: DataFrame) -> DataFrame:
     """Writes a frame as Parquet to the shared folder and reads it back: columnar, prunable, safe from lost executors."""
     path = shared_dir(frame.sparkSession)
