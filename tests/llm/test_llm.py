@@ -246,6 +246,72 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(least.values())
 
 
+def edited_family(n: int, words: int, edits: int) -> list[str]:
+    r, out = random.Random(8), []
+    for _ in range(n):
+        text = [f"w{i}" for i in range(words)]
+        for _ in range(edits):
+            text[r.randrange(words)] = f"x{r.randrange(10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("part", [4096, 300])
+def test_all_pairs_of_a_family_about_the_threshold(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dup, "PART_TEXTS", part, raising=False)
+    texts = edited_family(2000, 400, 3)
+    # every shingle of the template has one place, so a text is the set of template places that it kept
+    kept = np.zeros((len(texts), 396), np.float32)
+    idf = 1 + np.log(16)
+    for i, t in enumerate(texts):
+        good = np.array([w[0] == "w" for w in t.split()])
+        kept[i] = np.lib.stride_tricks.sliding_window_view(good, 5).all(axis=1)
+    weight = 1 + np.log(len(texts) / kept.sum(axis=0))
+    total = kept @ weight + (396 - kept.sum(axis=1)) * idf
+    low = (kept * weight) @ kept.T
+    similar = low / (total[:, None] + total - low)
+    assert not (abs(similar - 0.8) < 1e-6).any() and np.median(similar) < 0.8
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in np.argwhere(np.triu(similar >= 0.8, 1)).tolist():
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    truth = {i: root(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert 1 < len(set(truth.values())) < len(texts)
+    assert found == truth
+
+
+def test_joined_components_are_those_of_all_pairs():
+    r = np.random.default_rng(3)
+    for n, levels in ((40, 1), (90, 3), (90, 40)):
+        tables = []
+        for _ in range(n):
+            t = np.empty(25, near_dup._SHINGLE)
+            t["h"], t["w"] = np.sort(r.permutation(34)[:25]), r.integers(1, levels + 1, 25)
+            tables.append(t)
+        start = np.arange(n) // 2
+        threshold = 0.72 if levels == 1 else 0.45
+        true = {(i, j) for i in range(n) for j in range(n) if near_dup.similarity([tables[i]], [tables[j]])[0] >= threshold}
+
+        def classes(links):
+            at = list(range(n))
+            for a, b in links:
+                x, y = at[a], at[b]
+                at = [y if v == x else v for v in at]
+            return {(i, j) for i in range(n) for j in range(n) if at[i] == at[j]}
+
+        same = [(i, i ^ 1) for i in range(n)]
+        links = near_dup.joined(tables, start * 2, threshold)
+        assert classes([*links, *same]) == classes([*true, *same]) and len(links) < n / 2
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = near_dup.near_duplicates(odd).collect()
     assert len(found) == len(ODD)
