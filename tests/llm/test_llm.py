@@ -333,6 +333,21 @@ def test_sampling_estimates_weighted_similarity():
     assert abs((samples[0] == samples[1]).mean() - true) < 0.08
 
 
+@pytest.mark.parametrize("same, own", [(8, 1), (16, 2), (40, 5)])
+def test_short_texts_share_a_band(same, own):
+    """Pairs of ``same`` common shingles and ``own`` others each: of similarity 0.8."""
+    r, n = np.random.default_rng(same), 4000
+    both = r.integers(0, 1 << 52, (n, 1, same), dtype=np.uint64)
+    parts = np.sort(np.concatenate([np.repeat(both, 2, axis=1), r.integers(0, 1 << 52, (n, 2, own), dtype=np.uint64)], axis=2), axis=2)
+    size = same + own
+    missed = 0
+    for i in range(0, n, 1000):
+        hashes = parts[i : i + 1000].reshape(-1)
+        keys, _ = near_dup.band_rows(near_dup.signatures(np.repeat(np.arange(2000), size), hashes, np.full(len(hashes), 3.77, np.float32), 2000)[1])
+        missed += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
+    assert missed <= 4
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
