@@ -1,8 +1,10 @@
 """Vectorised text kernels on Arrow batches, shared by the operators of this folder.
 
-All kernels take whole texts.  A text beyond ``SEGMENT_BYTES`` is walked in segments that are cut
-before a space between two ASCII letters; neither words nor pre-tokens can span such a cut, so the
-result is that of the uncut text while the memory stays bounded.
+All kernels take whole texts.  A text beyond ``SEGMENT_BYTES`` is walked in segments that are cut where
+neither a word nor a pre-token can go on: before a space between two letters, or where a letter or number
+and a character that is neither of them nor white space nor an apostrophe meet.  So the result is that of
+the uncut text.  A run without such a place (letters and numbers alone) is one word and stays whole; memory
+is bounded by the segment and by the longest such run.
 """
 
 from __future__ import annotations
@@ -36,16 +38,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-@cache
+#: Powers that a worker keeps; longer tables are made anew for the block that needs them.
+_KEPT_POWERS = 1 << 21
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, U64)
     out[0] = 1
     return np.cumprod(out, dtype=U64)
 
 
+@cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_KEPT_POWERS, _MULT), _powers(_KEPT_POWERS, _INV)
+
+
 def _power_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, (n - 1).bit_length())
-    return _powers(size, _MULT)[:n], _powers(size, _INV)[:n]
+    if n > _KEPT_POWERS:
+        return _powers(n, _MULT), _powers(n, _INV)
+    power, inverse = _kept_powers()
+    return power[:n], inverse[:n]
 
 
 @cache
@@ -88,8 +100,24 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _is_alpha(b: np.ndarray) -> np.ndarray:
-    return ((b | 32) >= 97) & ((b | 32) <= 122)
+#: Bytes that the search for a cut looks at in one step.
+LOOK_BYTES = 1 << 16
+
+
+def _cut_in(data: np.ndarray, low: int, high: int) -> int:
+    """The first safe cut of a text within data[low:high], -1 if there is none."""
+    heads = low + np.flatnonzero((data[low:high] & 0xC0) != 0x80)
+    if len(heads) < 3:
+        return -1
+    points, _ = code_points(data[heads[0] : heads[-1]], np.zeros(1, np.int64))
+    kind = class_table()[points]
+    solid = kind <= NUMBER
+    plain = (kind == OTHER) & (points != 39)
+    turn = np.zeros(len(points), bool)
+    turn[1:] = (solid[1:] & plain[:-1]) | (plain[1:] & solid[:-1])
+    turn[1:-1] |= (points[1:-1] == 32) & (kind[:-2] == LETTER) & (kind[2:] == LETTER)
+    at = np.flatnonzero(turn)
+    return int(heads[at[0]]) if len(at) else -1
 
 
 def _cuts(data: np.ndarray, start: int, end: int) -> list[int]:
@@ -98,10 +126,9 @@ def _cuts(data: np.ndarray, start: int, end: int) -> list[int]:
     while end - at > SEGMENT_BYTES:
         place, look = -1, at + SEGMENT_BYTES
         while place < 0 and look < end:
-            part = data[look - 1 : min(end, look + 65536)]
-            hit = np.flatnonzero((part[1:-1] == 32) & _is_alpha(part[:-2]) & _is_alpha(part[2:])) if len(part) > 2 else ()
-            place = look + int(hit[0]) if len(hit) else -1
-            look += 65536 - 2
+            # the windows overlap by some characters, as a cut is judged by its neighbours
+            place = _cut_in(data, max(at + 1, look - 16), min(end, look + LOOK_BYTES))
+            look += LOOK_BYTES
         if place < 0:
             break
         out.append(place)
@@ -148,8 +175,21 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased code points, and start, end and segment of each maximal run of letters and numbers."""
+@cache
+def lone_table() -> np.ndarray:
+    """Letters of scripts that are written without spaces (Han, Kana, Thai, Lao, Khmer, Burmese, Yi and others)."""
+    table = np.zeros(sys.maxunicode + 1, bool)
+    # fixed values: blocks of Unicode
+    for low, high in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF)):
+        table[low : high + 1] = True
+    return table & (class_table() <= NUMBER)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code points, and start, end and segment of each maximal run of letters and numbers.
+
+    With ``lone`` each letter of a script without spaces is a word of its own.
+    """
     points, at = code_points(data, offsets)
     points = lower_table()[points]
     inside = class_table()[points] <= NUMBER
@@ -161,6 +201,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inner = inner[(inner > 0) & (inner < len(points))]
     # two texts that touch without a separator: a word ends and another begins at the same place
     touch = np.unique(inner[inside[inner - 1] & inside[inner]]) if len(inner) else inner
+    if lone and len(points) > 1:
+        alone = lone_table()[points]
+        more = 1 + np.flatnonzero((alone[1:] | alone[:-1]) & inside[1:] & inside[:-1])
+        touch = np.union1d(touch, more) if len(more) else touch
     edge = np.flatnonzero(flag)
     starts, ends = edge[::2], edge[1::2]
     if len(touch):
@@ -170,10 +214,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of a batch, in order."""
+    """Hash and row of every word of a batch, in order; letters of scripts without spaces are words of their own."""
     hashes, rows = [], []
     for data, offsets, row in blocks(column):
-        points, starts, ends, segment = words(data, offsets)
+        points, starts, ends, segment = words(data, offsets, lone=True)
         hashes.append(span_hashes(points, starts, ends))
         rows.append(row[segment] if len(segment) else np.zeros(0, np.int64))
     if not hashes:
