@@ -10,12 +10,15 @@ pieces with p - 1 edits at most.  So a hit is followed upwards, in regions that
 What is left, hits of an item on neighbouring diagonals, makes one region that is verified as a whole.
 Every verification is Myers' bit-parallel algorithm.
 
+An item of fewer than ``short`` characters has too few for an edit budget to mean anything: it must occur
+exactly, as whole words.
+
 The items go to the workers in blocks of at most BLOCK_CHARS characters, so what is broadcast has a fixed
 bound; each block is one pass over the texts.  Texts don't move.
 
-Defined results: null and empty texts and items match nothing; an item of fewer than ``min_chars``
-characters matches nothing, as its pieces would be everywhere; repeated items give a row each, repeated
-documents as well; a null doc_id stays null; empty tables give an empty result.
+Defined results: null and empty texts and items, and items without a letter or number, match nothing;
+repeated items give a row each, repeated documents as well; the end is that of the best match, the first
+one on ties; a null doc_id stays null; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from .session import bounded
 
 #: Characters of items in one block: the bound of what a worker holds.
 BLOCK_CHARS = 8_000_000
-RATE, MIN_CHARS = 0.1, 32
+RATE = 0.1
+#: Items of fewer characters must occur exactly.
+SHORT = 32
 #: Verified regions that a worker remembers; a passage that many texts share is verified once.
 MEMORY = 50_000
 
@@ -107,8 +112,9 @@ class Part:
 class Pattern:
     """An item with its pieces and, for each piece, what holds it: two pieces, four, and so on, below the whole."""
 
-    def __init__(self, item: int, text: str, rate: float) -> None:
-        self.item, self.text, self.budget = item, text, int(len(text) * rate)
+    def __init__(self, item: int, text: str, rate: float, short: int = 0) -> None:
+        self.exact = len(text) < short
+        self.item, self.text, self.budget = item, text, 0 if self.exact else int(len(text) * rate)
         n = self.budget + 1
         edges = [len(text) * i // n for i in range(n + 1)]
         self.whole = Part(text, 0, self.budget)
@@ -133,10 +139,10 @@ class Pattern:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = 0) -> None:
         import ahocorasick
 
-        self.patterns = [Pattern(i, text, rate) for i, text in items]
+        self.patterns = [Pattern(i, text, rate, short) for i, text in items]
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int, list[Part]]]] = {}
         for n, p in enumerate(self.patterns):
@@ -153,15 +159,20 @@ class Matcher:
         if self.empty or not text:
             return []
         diagonals: dict[int, list[int]] = {}
+        whole: dict[int, int] = {}
         for end, (length, uses) in self.automaton.iter(text):
             for n, offset, above in uses:
                 at = end + 1 - length - offset
+                if self.patterns[n].exact:
+                    if n not in whole and (not at or text[at - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                        whole[n] = end + 1
+                    continue
                 for part in above:
                     if part.distance(part.region(text, at), part.budget)[0] > part.budget:
                         break
                 else:
                     diagonals.setdefault(n, []).append(at)
-        out = []
+        out = [(self.patterns[n].item, 0, end) for n, end in whole.items()]
         for n, found in diagonals.items():
             p = self.patterns[n]
             found.sort()
@@ -186,7 +197,7 @@ class Matcher:
         return out
 
 
-def _blocks_of(benchmark: DataFrame, item_id: str, text: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, read one block after the other."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -194,47 +205,38 @@ def _blocks_of(benchmark: DataFrame, item_id: str, text: str, min_chars: int) ->
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() if n > 1 else items.collect()
         texts = normalized(pa.array([r.text for r in rows], pa.large_string()))
-        found = [(r.item, t) for r, t in zip(rows, texts, strict=True) if len(t) >= min_chars]
+        found = [(r.item, t) for r, t in zip(rows, texts, strict=True) if t]
         if found:
             yield found
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
-def _matcher(shared, rate: float) -> Matcher:
-    """One automaton in each worker process for the block that it works on."""
-    if shared.id not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[shared.id] = Matcher(shared.value, rate)
-    return _MATCHERS[shared.id]
-
+_MATCHERS: dict[tuple, Matcher] = {}
 
-class _Shared:
-    def __init__(self, broadcast, key: int) -> None:
-        self.broadcast, self.id = broadcast, key
 
-    @property
-    def value(self) -> list[tuple[int, str]]:
-        return self.broadcast.value
+class Block:
+    """Broadcast items with what they are matched by; each worker process makes one automaton of the block that it works on."""
 
+    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], rate: float, short: int) -> None:
+        self.items, self.rate, self.short = docs.sparkSession.sparkContext.broadcast(items), rate, short
+        self.key = hash(tuple(items)), len(items), rate, short
 
-def _shared(docs: DataFrame, items: list[tuple[int, str]]) -> _Shared:
-    value = docs.sparkSession.sparkContext.broadcast(items)
-    return _Shared(value, hash(tuple(items)))
+    def matcher(self) -> Matcher:
+        if self.key not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[self.key] = Matcher(self.items.value, self.rate, self.short)
+        return _MATCHERS[self.key]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, distance (long) and end (long, in the normalised text) of each item that a text holds."""
     bounded(docs.sparkSession)
     target = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = "doc_id long, item_id long, distance long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks_of(benchmark, item_id, item_text, min_chars):
-        shared = _shared(docs, items)
+    for items in _blocks_of(benchmark, item_id, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = _matcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], block=Block(docs, items, rate, short)) -> Iterator[pa.RecordBatch]:
+            match = block.matcher()
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 for i, body in zip(ids, normalized(batch.column(1)), strict=True):
@@ -245,15 +247,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
     bounded(docs.sparkSession)
     at = docs.columns.index(text)
-    for items in _blocks_of(benchmark, item_id, item_text, min_chars):
-        shared = _shared(docs, items)
+    for items in _blocks_of(benchmark, item_id, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = _matcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], block=Block(docs, items, rate, short)) -> Iterator[pa.RecordBatch]:
+            match = block.matcher()
             for batch in batches:
                 yield batch.filter(pa.array([not match(body) for body in normalized(batch.column(at))], pa.bool_()))
 
