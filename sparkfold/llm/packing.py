@@ -15,6 +15,7 @@ doc_id stays null; an empty table gives no piece.  A retried task packs its part
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -23,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
 from .session import bounded
-from .token_count import Merges, PretokenCache, byte_symbols, split_specials
+from .token_count import Merges, PretokenCache, split_specials
 
+#: Pre-tokens that the library gets at a time.
+BATCH = 4096
 #: Remainders below capacity/CUT_CLASS tokens are not cut any more.
 CUT_CLASS = 16
 
@@ -35,20 +39,14 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Token ids of string columns under a byte-level BPE file; distinct pre-tokens are encoded once per worker."""
+    """Token ids of string columns by the tokenizers library; distinct pre-tokens are encoded once per worker."""
 
     def __init__(self, path: str) -> None:
-        import tiktoken
-
-        merges = Merges(path)
-        self.specials = merges.specials
-        back = {symbol: byte for byte, symbol in enumerate(byte_symbols())}
-        ranks = {bytes(back[c] for c in token): i for token, i in merges.vocab.items() if token not in merges.specials}
-        order = [merges.vocab["".join(pair)] for pair in merges.ranks]
-        if order != sorted(order):
-            raise ValueError("the ids of the merged tokens do not follow the order of the merges")
-        # a pre-token is never split again, so the pattern takes it as a whole
-        self.encode = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.specials = Merges(path).specials
+        self.library = Tokenizer.from_file(path)
         self.cache = PretokenCache(self._make)
         self._make(None)
 
@@ -56,7 +54,8 @@ class Encoder:
         if pieces is None:
             self.pool, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
-        found = [self.encode(p) for p in pieces]
+        # a pre-token stands alone: the library does not split it again
+        found = [x.ids for i in range(0, len(pieces), BATCH) for x in self.library.encode_batch_fast(pieces[i : i + BATCH], add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
@@ -160,7 +159,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, closing_id: int = 0,
     sequences made of what was left in open bins.
     """
     bounded(docs.sparkSession)
-    target = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    target = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
