@@ -12,7 +12,7 @@ Defined results: lines end at a line feed and are compared without the spaces ar
 blank lines alone don't count; texts of fewer than three lines stay as they are; a null text stays null;
 rows with the same doc_id are one document (none is later than the other, a window that they share stays
 in both, repeated rows get the same result); a null doc_id comes after all others; an empty table gives an
-empty result.  Extra columns pass through.
+empty result.  Extra columns pass through, whatever their names: a row travels as one struct.
 """
 
 from __future__ import annotations
@@ -54,35 +54,42 @@ def covered_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     windows = _windows(_keyed(docs, doc_id, text))
     first = windows.groupBy("h1", "h2").agg(F.min(_mark("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where(_mark("doc", "at") > F.col("first")).select("doc", "version", "at")
-    later = later.repartition("doc", "version").dropDuplicates(["doc", "version", "at"])
+    later = later.dropDuplicates(["doc", "version", "at"])
     order = Window.partitionBy("doc", "version").orderBy("at")
     starts = later.withColumn("new", F.coalesce((F.col("at") > F.lag("at").over(order) + LINES).cast("int"), F.lit(1)))
     runs = starts.withColumn("run", F.sum("new").over(order)).groupBy("doc", "version", "run").agg(F.min("at").alias("start"), (F.max("at") + LINES).alias("end"))
     return runs.groupBy("doc", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines of later occurrences removed from ``text``; adds __lines and __removed (int)."""
+def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_as: str | None = None, removed_as: str | None = None) -> DataFrame:
+    """``docs`` with the lines of later occurrences removed from ``text``.
+
+    ``lines_as`` and ``removed_as`` name columns (int) for the numbers of lines and of removed lines; they
+    replace columns of that name.
+    """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.withColumns({"__doc": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)), "__version": F.xxhash64(body)})
-    runs = covered_runs(docs, doc_id, text).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("runs").alias("__runs"))
-    found = rows.join(runs, ["__doc", "__version"], "left")
-    lines = F.split(body, "\n", -1)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(body).alias("version"))
+    found = rows.join(covered_runs(docs, doc_id, text), ["doc", "version"], "left")
+    old = F.col(f"row.`{text}`")
+    lines = F.split(F.coalesce(old, F.lit("")), "\n", -1)
 
     def piece(k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("__runs", k - 1)["end"])
-        end = F.coalesce(F.get("__runs", k)["start"], F.size(lines))
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get("runs", k - 1)["end"])
+        end = F.coalesce(F.get("runs", k)["start"], F.size(lines))
         return F.slice(lines, start + 1, end - start)
 
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), piece))
-    removed = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0))
-    changed = F.when(F.col("__runs").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
-    return found.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.size(lines).alias("__lines"), removed.alias("__removed"))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), piece))
+    removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0))
+    changed = F.when(F.col("runs").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    extra = {name: value for name, value in ((lines_as, F.size(lines)), (removed_as, removed)) if name}
+    own = [(changed if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in extra]
+    return found.select(*own, *[v.alias(n) for n, v in extra.items()])
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the MD5 of the text that is left."""
-    return deduplicate_lines(docs.select("doc_id", "text")).select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    kept = deduplicate_lines(docs.select("doc_id", "text"), lines_as="n_lines", removed_as="n_removed")
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 ORACLE = """

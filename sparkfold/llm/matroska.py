@@ -132,6 +132,10 @@ def laced_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     return [*sizes, last], at
 
 
+#: Timestamps in nanoseconds stay below this.
+LIMIT = 1 << 63
+
+
 class _Reader:
     def __init__(self, data: bytes) -> None:
         self.data, self.scale, self.durations, self.codecs = data, 1_000_000, {}, {}
@@ -145,6 +149,8 @@ class _Reader:
         lacing = flags >> 1 & 3
         sizes, at = laced_sizes(self.data, at + 3, end, lacing) if lacing else ([end - at - 3], at + 3)
         stamp, step = (time + relative) * self.scale, self.durations.get(track, 0)
+        if not -LIMIT <= stamp <= stamp + (len(sizes) - 1) * step < LIMIT:
+            raise ValueError(f"a block that ends at byte {end} has a timestamp beyond 64 bits")
         keyframe = bool(flags & 0x80) if key is None else key
         for i, size in enumerate(sizes):
             self.packets.append(Packet(track or 0, stamp + i * step, at, size, keyframe, LACINGS[lacing]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernels as K
-from .session import bounded, stored
+from .session import bounded, fresh_name, stored
 
 #: (host, path, accept): a rule fits its host and all subdomains where the path starts with its path.
 RULES = [("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False), ("com", "/fr/", True), ("com", "/de/", False)]
@@ -108,15 +108,17 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
     calibrates = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
+        # one table of SYMBOLS^4 counts for each side that occurs
+        held: dict[bool, np.ndarray] = {}
         for batch in batches:
             accept = batch.column(1).to_numpy(zero_copy_only=False)
             for side in (True, False):
                 keys, _ = symbol_grams(batch.column(0).filter(pa.array(accept == side)))
-                held.setdefault(side, []).append(np.unique(keys, return_counts=True))
-        for side, parts in held.items():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+                keys, times = np.unique(keys, return_counts=True)
+                held.setdefault(side, np.zeros(SYMBOLS**4, np.int64))[keys] += times
+        for side, counts in held.items():
+            keys = np.flatnonzero(counts)
+            n = counts[keys]
             yield pa.RecordBatch.from_arrays([pa.array([side] * len(keys), pa.bool_()), pa.array(keys), pa.array(n)], names=["accept", "gram", "n"])
 
     summed = labelled.where(~calibrates).select("url", "accept").mapInArrow(count, "accept boolean, gram long, n long").groupBy("accept", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -144,15 +146,16 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
 def judge(pages: DataFrame, rules: list[tuple[str, str, bool]] = RULES, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, score (mean log-likelihood difference per character) and verdict."""
     host, path = split_url(F.col(f"`{url}`"))
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "accept", "score", "verdict")]
-    parts = pages.select(*own, host.alias("host"), path.alias("path"))
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")]
+    label = fresh_name("accept", [*own, "host", "path", "rule", "score", "verdict"])
+    parts = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"))
     name, accept = rule_for(F.col("host"), F.col("path"), rules)
-    ruled = parts.select("*", name.alias("rule"), accept.alias("accept"))
-    labelled = stored(ruled.where("accept IS NOT NULL").select(F.col(f"`{url}`").alias("url"), "accept"))
+    ruled = parts.select("*", name.alias("rule"), accept.alias(label))
+    labelled = stored(ruled.where(F.col(label).isNotNull()).select(F.col(f"`{url}`").alias("url"), F.col(label).alias("accept")))
     ratio, threshold = fit(labelled)
     scored = _scored(ruled, pages.sparkSession.sparkContext.broadcast(ratio), url, "score")
-    verdict = F.when(F.coalesce("accept", F.col("score") >= threshold), F.lit("allow")).otherwise(F.lit("block"))
-    return scored.withColumn("verdict", verdict).drop("accept")
+    verdict = F.when(F.coalesce(label, F.col("score") >= threshold), F.lit("allow")).otherwise(F.lit("block"))
+    return scored.withColumn("verdict", verdict).drop(label)
 
 
 def op6_url_filter(pages: DataFrame) -> DataFrame:
