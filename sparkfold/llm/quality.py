@@ -11,9 +11,11 @@ the numbers of tokens and lines.
 *Network*: one hidden layer of tanh units, trained with Adam on the cross-entropy; the logits are divided
 by a temperature that minimises the cross-entropy on a fifth of the sample, which the network has not seen.
 
-The fit uses a bounded sample of the labelled rows: about ``max_docs`` rows and ``max_bytes`` bytes at most,
-chosen by a hash of doc_id against a threshold that is computed from the counts of all labelled rows.  So
-what the driver holds and what is broadcast is bounded; scoring reads every whole text, without a shuffle.
+The fit uses a bounded sample of the labelled rows: about ``max_docs`` documents and ``max_bytes`` bytes at
+most, one text of each doc_id, none above MAX_TEXT bytes, chosen by hashes of doc_id against thresholds that
+are computed from the number of all labelled rows and the bytes of the documents so chosen.  The word vectors are part of this fit: words
+outside the sample have none and count in the share of unknown tokens.  So what the driver holds and what
+is broadcast is bounded; scoring reads every whole text, without a shuffle.
 
 Defined results: null and empty texts get the score of a text without tokens; rows without a label, or
 whose label is neither 0 nor 1, teach nothing; several labels of one doc_id count as their maximum; where one
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernels as K
-from .session import bounded
+from .session import bounded, discard, stored
 
 U64 = np.uint64
 #: Bounds of the sample that the model is fitted on.
 MAX_DOCS, MAX_BYTES = 4000, 16_000_000
+#: Longer texts don't teach, so that no single one breaks the bound.
+MAX_TEXT = 1 << 20
 #: Size of a vector, nonzero places of an index vector, tokens to either side that count as context.
 SIZE, NONZERO, REACH = 64, 4, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
@@ -159,6 +163,14 @@ def word_vectors(column: pa.Array | pa.ChunkedArray, least: int = 2) -> tuple[np
     return words, vectors
 
 
+def gradients(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy and half of DECAY times the squares of the weights, for each layer."""
+    hidden = np.tanh(x @ layers[0] + layers[1])
+    error = (_sigmoid(hidden @ layers[2] + layers[3][0]) - y) / len(x)
+    back = np.outer(error, layers[2]) * (1 - hidden * hidden)
+    return [x.T @ back + DECAY * layers[0], back.sum(axis=0), hidden.T @ error + DECAY * layers[2], error.sum(keepdims=True)]
+
+
 def train_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[np.ndarray]:
     """Weights of the two layers, by Adam over shuffled batches."""
     rng = np.random.default_rng(seed)
@@ -169,11 +181,8 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[np.ndarra
         order = rng.permutation(len(x))
         for i in range(0, len(x), 128):
             at = order[i : i + 128]
-            hidden = np.tanh(x[at] @ layers[0] + layers[1])
-            error = (_sigmoid(hidden @ layers[2] + layers[3][0]) - y[at]) / len(at)
-            back = np.outer(error, layers[2]) * (1 - hidden * hidden)
             step += 1
-            for j, g in enumerate([x[at].T @ back + DECAY * layers[0], back.sum(axis=0), hidden.T @ error + DECAY * layers[2], error.sum(keepdims=True)]):
+            for j, g in enumerate(gradients(layers, x[at], y[at])):
                 first[j] += 0.1 * (g - first[j])
                 second[j] += 0.001 * (g * g - second[j])
                 layers[j] = layers[j] - rate * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
@@ -207,12 +216,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = MAX_
     bounded(docs.sparkSession)
     truth = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & usable).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     n = truth.count()
-    size = docs.agg(F.avg(F.octet_length(text))).first()[0] or 0.0
-    share = min(1.0, max_docs / max(n, 1), max_bytes / max(n * size, 1.0))
-    mark = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    # at most about max_docs rows of two numbers
-    sample = F.broadcast(truth.where(mark))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").join(sample, "doc_id").select("doc_id", "text", "y").toArrow()
+
+    def share(seed: int, wanted: float) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, wanted) * (1 << 30))
+
+    # about max_docs rows of two numbers
+    sample = F.broadcast(truth.where(share(11, max_docs / max(n, 1))))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") <= MAX_TEXT)
+    chosen = stored(texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = chosen.where(share(12, max_bytes / max(size, 1))).toArrow()
+    discard(chosen)
     if not rows.num_rows:
         return fit_model(pa.array([], pa.large_string()), np.zeros(0))
     rows = rows.sort_by("doc_id")
