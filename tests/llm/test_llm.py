@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def odd(spark):
     """Odd rows with extra columns whose names clash with what operators add."""
-    extra = {c: F.lit("kept") for c in ("n_tokens", "score", "rule", "node", "lines", "__lines")}
+    extra = {c: F.lit("kept") for c in ("n_tokens", "score", "rule", "node", "id", "row", "lines", "runs", "doc", "version", "letters", "bits", "__lines", "__runs", "__doc", "__version", "__node", "__id", "__letters", "__quality")}
     return spark.createDataFrame(ODD, SCHEMA).withColumns(extra).repartition(3)
 
 
@@ -66,6 +66,36 @@ def test_pretokens_are_those_of_the_pattern():
     assert found == [pattern.findall(t) for t in texts]
 
 
+def test_long_texts_without_spaces_are_cut(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab1'+/=é日本語。, ") for _ in range(3000)), "日本語。" * 800, "x=1;y='2';don't" * 200, "a" * 3000]
+    whole = [kernels.word_hashes(pa.array([t]))[0] for t in texts]
+    tokens = [packing_starts(t) for t in texts]
+    monkeypatch.setattr(kernels, "SEGMENT_BYTES", 300)
+    monkeypatch.setattr(kernels, "BLOCK_BYTES", 300)
+    for t, w, k in zip(texts, whole, tokens):
+        assert (kernels.word_hashes(pa.array([t]))[0] == w).all() and packing_starts(t) == k
+        assert len(list(kernels.blocks(pa.array([t])))) > 5 or set(t) == {"a"}
+
+
+def packing_starts(text: str) -> list[str]:
+    out = []
+    for data, offsets, _ in kernels.blocks(pa.array([text])):
+        points, at = kernels.code_points(data, offsets)
+        starts = kernels.pretoken_starts(points, at)
+        out += ["".join(map(chr, points[a:b])) for a, b in zip(starts, np.append(starts[1:], len(points)))]
+    return out
+
+
+def test_letters_of_scripts_without_spaces_are_words():
+    hashes, rows = kernels.word_hashes(pa.array(["abc日本語7", "日", "สวัสดี"]))
+    assert np.bincount(rows).tolist() == [5, 1, 4] and hashes[1] == hashes[5]  # marks are no letters
+    a = "".join(chr(0x4E00 + i) for i in range(500))
+    b = a[:100] + "。" + a[100:300] + "x" + a[301:]
+    x, y = (set(near_dup.shingles(pa.array([t]))[1].tolist()) for t in (a, b))
+    assert len(x & y) / len(x | y) > 0.9
+
+
 def test_long_texts_are_cut_where_no_word_is(monkeypatch):
     text = prose(2, 4000)
     whole, _ = kernels.word_hashes(pa.array([text, "x y"]))
@@ -130,6 +160,37 @@ def test_packing_pads_little():
 # 2: shards ----------------------------------------------------------------
 
 
+def test_two_writers_of_a_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FLOOR_BYTES", 1 << 10)
+    rows = spark.range(600).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    one, two = (sharding.ShardStore(spark, f"file://{tmp_path}/a", rows.schema, target_bytes=1 << 20) for _ in range(2))
+    commit, raced = one._commit, []
+
+    def late(change, base):
+        if not raced:  # the other writer commits first
+            raced.append(two.append(rows.where("id BETWEEN 100 AND 199")))
+        return commit(change, base)
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.append(rows.where("id < 100")) == 2 and raced == [1] and one.read().count() == 200
+    assert one.append_each(rows.where("id >= 200"), F.col("id") % 4) == [3, 4, 5, 6]
+    assert two.read().exceptAll(rows).count() == 0 and two.read().count() == 600 and two.read(2).count() == 200
+    taken = [r.path for r in one.manifest().select("path").collect()]
+    assert two._merge(taken, 1000) == 7
+    folders = {n for n, _ in one._names("data")}
+    assert one._merge(taken, 1000) is None and {n for n, _ in one._names("data")} == folders  # what lost the race is gone
+    for i in range(12):  # beyond a whole manifest
+        one.append(rows.where(F.col("id") == i))
+    assert one._base(one.versions()[-1]) == 16 and one.read().count() == 612 and one.manifest().agg(F.sum("rows")).first()[0] == 612
+    (tmp_path / "a/data/orphan").mkdir()
+    assert one.vacuum(keep=2, grace_seconds=0) == len(taken) and one.read().count() == 612 and one.read(18).count() == 611
+    assert one.versions() == [18, 19] and "orphan" not in {n for n, _ in one._names("data")}
+    with pytest.raises(ValueError):
+        one.read(5)
+    assert one.append(rows.where("id = 1")) == 20 and one.read().count() == 613
+    assert one.append_each(rows.limit(0), F.col("id")) == []
+
+
 def test_shards_merge_in_tiers_and_versions_stay_whole(spark, tmp_path, empty, odd, monkeypatch):
     monkeypatch.setattr(sharding, "FLOOR_BYTES", 1 << 10)
     rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"))
@@ -182,6 +243,13 @@ def test_lacing_of_uneven_frames_and_faults():
     assert matroska.parse(unknown[:-2]).error and matroska.parse(None).error is None and matroska.parse(b"junk").error
 
 
+def test_timestamps_beyond_64_bits_are_a_fault(spark):
+    cluster = matroska.element(matroska.CLUSTER, matroska.element(matroska.TIMESTAMP, 1 << 63) + matroska.element(matroska.SIMPLE_BLOCK, matroska.block(1, 0, [b"abc"], 0)))
+    data = matroska._HEAD + matroska.element(matroska.SEGMENT, cluster)
+    rows = matroska.packet_table(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).collect()
+    assert len(rows) == 1 and "64 bits" in rows[0].error
+
+
 def test_media_of_odd_texts(spark, odd, empty):
     rows = matroska.op3_media(odd).collect()
     assert len(rows) == len(ODD)
@@ -256,6 +324,24 @@ def edited_family(n: int, words: int, edits: int) -> list[str]:
     return out
 
 
+def test_a_bucket_in_many_tasks(spark):
+    """A family whose texts share band keys, dealt over more tasks than a bucket has rows on average."""
+    texts = edited_family(400, 300, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    truth, least = brute_classes(texts), {}
+    for i, t in enumerate(texts):
+        least.setdefault(truth[t], i)
+    assert found == {i: least[truth[t]] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("part", [4096, 300])
 def test_all_pairs_of_a_family_about_the_threshold(spark, monkeypatch, part):
     monkeypatch.setattr(near_dup, "PART_TEXTS", part, raising=False)
@@ -367,6 +453,24 @@ def test_language_of_held_out_texts(docs, odd, empty):
     assert language_id.op5_language_id(empty).count() == 0
 
 
+def test_parts_of_the_trees_give_the_same(spark, docs, monkeypatch):
+    some = docs.where("doc_id < 60")
+    whole = language_id.fit(some, F.lit(True))
+    texts = pa.array([r.text for r in some.collect()] + ["", "zq 日本 \n", None])
+    true = whole.part(0).code_lengths(texts)
+    monkeypatch.setattr(language_id, "CELLS", 20_000)
+    cut = language_id.fit(some, F.lit(True))
+    assert whole.parts == 1 and cut.parts > 3
+    assert np.allclose(sum(cut.part(i).code_lengths(texts) for i in range(cut.parts)), true, atol=1e-2)
+    one, many = ({r.doc_id: (r.lang_pred, round(r.score, 6)) for r in language_id.predict(some, t).collect()} for t in (whole, cut))
+    assert one == many
+
+
+def test_predictions_keep_other_columns(odd):
+    found = language_id.predict(odd, language_id.fit(odd, F.lit(True)))
+    assert found.columns == [*(c for c in odd.columns if c != "score"), "lang_pred", "score"] and {r["__letters"] for r in found.collect()} == {"kept"}
+
+
 def test_code_lengths_are_those_of_the_tree():
     text = b"banana bandana"
     keys, n = np.unique(np.concatenate([k for k, _ in language_id.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))]), return_counts=True)
@@ -414,6 +518,44 @@ def test_url_model_separates_what_it_was_taught(spark):
     assert good >= threshold > bad
 
 
+def test_url_model_is_that_of_the_definition(monkeypatch):
+    """Witten-Bell by recursion over the contexts, on four symbols."""
+    monkeypatch.setattr(url_filter, "SYMBOLS", 4)
+    r, n = random.Random(2), Counter()
+    for text in ["".join(r.choice("1123") for _ in range(r.randint(1, 9))) for _ in range(25)]:
+        wide = "000" + text
+        for i in range(3, len(wide)):
+            n[wide[i - 3 : i + 1]] += 1
+    counts = np.zeros(256)
+    for key, k in n.items():
+        counts[int(key, 4)] = k
+
+    def p(context: str, symbol: str) -> float:
+        here = {s: sum(k for key, k in n.items() if key.endswith(context + s)) for s in "0123"}
+        kinds, total = sum(k > 0 for k in here.values()), sum(here.values())
+        shorter = p(context[1:], symbol) if context else 1 / 4
+        return (here[symbol] + kinds * shorter) / (total + kinds) if total else shorter
+
+    found = url_filter.log_probabilities(counts)
+    for a in "0123":
+        for b in "0123":
+            for c in "0123":
+                for s in "0123":
+                    assert abs(found[int(a + b + c + s, 4)] - np.log(p(a + b + c, s))) < 1e-9
+
+
+def test_url_scores_are_mean_differences(spark):
+    ratio = np.random.default_rng(1).normal(size=48**4).astype(np.float32)
+    urls = ["http://a.example/B?c=1", "", None, "é//", "x" * 50]
+    rows = spark.createDataFrame(list(enumerate(urls)), "i long, url string")
+    found = {r.i: r.score for r in url_filter._scored(rows, spark.sparkContext.broadcast(ratio), "url", "score").collect()}
+    known = "abcdefghijklmnopqrstuvwxyz0123456789/.-?=&#_%:"
+    for i, url in enumerate(urls):
+        symbols = [0, 0, 0, *(known.find(chr(b).lower()) + 1 or 47 if b < 128 else 47 for b in (url or "").encode())]
+        each = [ratio[((symbols[k - 3] * 48 + symbols[k - 2]) * 48 + symbols[k - 1]) * 48 + symbols[k]] for k in range(3, len(symbols))]
+        assert abs(found[i] - (np.mean(each) if each else 0)) < 1e-5
+
+
 # 7: lines -----------------------------------------------------------------
 
 
@@ -439,7 +581,8 @@ def test_line_windows_against_brute_force(spark, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {x.doc_id: x.text for x in line_dedup.deduplicate_lines(docs).collect()}
     assert found == brute_lines(rows)
-    kept = line_dedup.deduplicate_lines(odd.drop("__lines"))
+    kept = line_dedup.deduplicate_lines(odd)
+    assert kept.columns == odd.columns
     assert kept.count() == len(ODD) and kept.where("text IS NULL").count() == 1 and line_dedup.op7_line_dedup(empty).count() == 0
 
 
@@ -463,6 +606,55 @@ def test_quality_of_held_out_texts(spark, odd, empty):
     assert {x.score for x in quality.op8_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_the_sample_of_the_fit_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 30) if i % 50 else "x " * 40_000) for i in range(600)] + [(3, "again")] * 500, "doc_id long, text string")
+    labels = spark.range(600).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    seen, fit_model = [], quality.fit_model
+    monkeypatch.setattr(quality, "fit_model", lambda texts, y: seen.append((len(texts), texts.nbytes)) or fit_model(texts, y))
+    monkeypatch.setattr(quality, "MAX_TEXT", 50_000)
+    quality.fit(docs, labels, F.lit(True), max_docs=200, max_bytes=20_000)
+    assert 20 < seen[0][0] < 300 and seen[0][1] < 40_000
+
+
+def test_word_vectors_are_sums_of_contexts():
+    texts = ["a b a b c", "b a d a", "", "a a"]
+    words, vectors = quality.word_vectors(pa.array(texts))
+    tokens, rows, _ = (np.concatenate(x) for x in zip(*quality.tokens(pa.array(texts))))
+    count, true = Counter(tokens.tolist()), {}
+    for i, t in enumerate(tokens.tolist()):
+        if count[t] > 1:
+            sums = true.setdefault(t, np.zeros(quality.SIZE))
+            for j in range(max(0, i - quality.REACH), min(len(tokens), i + quality.REACH + 1)):
+                if j != i and rows[j] == rows[i]:
+                    places, signs = quality.index_places(tokens[j : j + 1])
+                    for at, sign in zip(places[0], signs[0]):
+                        sums[at] += sign
+    assert sorted(true) == words.tolist()
+    for w, v in zip(words.tolist(), vectors):
+        norm = np.linalg.norm(true[w])
+        assert np.allclose(v, true[w] / norm if norm else 0, atol=1e-5)
+
+
+def test_gradients_are_finite_differences():
+    r = np.random.default_rng(0)
+    x, y = r.normal(size=(40, 6)), (r.random(40) < 0.5).astype(float)
+    layers = [r.normal(size=(6, 5)), r.normal(size=5), r.normal(size=5), r.normal(size=1)]
+
+    def loss() -> float:
+        p = quality._sigmoid(np.tanh(x @ layers[0] + layers[1]) @ layers[2] + layers[3][0])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + quality.DECAY / 2 * ((layers[0] ** 2).sum() + (layers[2] ** 2).sum())
+
+    for w, g in zip(layers, quality.gradients(layers, x, y)):
+        for at in np.ndindex(w.shape):
+            old = w[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            down = loss()
+            w[at] = old
+            assert abs(g[at] - (up - down) / 2e-5) < 1e-6
+
+
 # 9: benchmark -------------------------------------------------------------
 
 
@@ -511,9 +703,53 @@ def test_contaminated_rows(spark, odd, empty, monkeypatch):
     assert decontaminate.find_items(docs, tests.limit(0)).count() == 0
 
 
+def test_short_items_occur_exactly_as_words(spark):
+    rows = [(1, "Say: what is the CAPITAL of France?"), (2, "what is the capital of francium"), (3, "what is teh capital of france"), (4, "42"), (5, "x42 424"), (6, "a 42, b 42")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(10, "What is the capital of France"), (11, "42"), (12, "?!"), (13, "42")], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.distance, r.end) for r in decontaminate.find_items(docs, tests).collect())
+    assert found == [(1, 10, 0, 33), (4, 11, 0, 2), (4, 13, 0, 2), (6, 11, 0, 4), (6, 13, 0, 4)]
+
+
+def test_matchers_of_different_budgets(spark):
+    item = "a benchmark question with enough words to be recognised"
+    docs = spark.createDataFrame([(1, item.replace("enough", "enouhg"))], "doc_id long, text string")
+    tests = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert [decontaminate.find_items(docs, tests, rate=rate).count() for rate in (0.1, 0.0, 0.1)] == [1, 0, 1]
+
+
 # queries and pipeline -----------------------------------------------------
 
 
+def test_shared_folder_is_named_or_local(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    from sparkfold.llm.session import fresh_name, shared_dir
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "s3a://bucket/x/"}
+    assert shared_dir(Session()).startswith("s3a://bucket/x/sparkfold-")
+    assert fresh_name("a", ["A", "a_", "b"]) == "a__" and fresh_name("c", []) == "c"
+
+
+def test_stages_keep_other_columns(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.withColumn("text", F.coalesce("text", F.lit("a")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert all(r["__doc"] == r["__node"] == r["__quality"] == r["id"] == r["row"] == "kept" for r in kept.collect())
+
+
 def test_registered_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
