@@ -23,6 +23,10 @@ class Settings:
     delete_keys: tuple[str, ...] = ()
     delete_all_tags: bool = False
     stamp: bool = False
+    tagger: str = "sparkfold"
+    compute_pages: bool = True
+    delete_original: bool = False
+    stop_on_error: bool = False
     dry_run: bool = False
     recurse: bool = False
     dest_path: str = "."
@@ -36,7 +40,7 @@ class Settings:
     prompts: bool = True
     cache_ttl: str = "7d"
     sources: tuple[str, ...] = ()
-    per_source: tuple[tuple[str, str, str], ...] = ()
+    per_source: tuple[tuple[str, str, str], ...] = ()  # (source, parameter, value)
 
 
 def csv(value) -> tuple[str, ...]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .constants import look_up
 from .text import key_variations
 
 # Age ratings by the MetronInfo rating that they stand for.
@@ -28,11 +31,28 @@ COMIC_INFO_ROLES = {
     "Translator": ("Translator", "translation"),
     "Writer": ("Writer", "Author", "plotter", "scripter", "script", "Story", "Plot", "Interviewer"),
 }
-# ISO 639 and 3166 codes of the languages and countries that are read by name.
-LANGUAGES = {"english": "en", "french": "fr", "german": "de", "spanish": "es", "italian": "it", "portuguese": "pt", "dutch": "nl", "japanese": "ja", "korean": "ko", "chinese": "zh", "russian": "ru", "polish": "pl", "swedish": "sv"}
-COUNTRIES = {"united states": "US", "united kingdom": "GB", "canada": "CA", "france": "FR", "germany": "DE", "spain": "ES", "italy": "IT", "japan": "JP", "belgium": "BE", "netherlands": "NL", "australia": "AU", "mexico": "MX", "brazil": "BR"}
 # Country of a currency.
-CURRENCIES = {"USD": "US", "GBP": "GB", "CAD": "CA", "JPY": "JP", "AUD": "AU", "MXN": "MX", "BRL": "BR"}
+CURRENCIES = {"AUD": "AU", "BRL": "BR", "CAD": "CA", "CHF": "CH", "CNY": "CN", "EUR": "IT", "GBP": "GB", "INR": "IN", "ITL": "IT", "JPY": "JP", "KRW": "KR", "MXN": "MX", "USD": "US"}
+
+
+@cache
+def languages() -> dict[str, str]:
+    """ISO 639-1 code of each language by its English name, its two and its three letters, as the Java runtime knows them."""
+    locale, out = SparkSession.active()._jvm.java.util.Locale, {}
+    for code in locale.getISOLanguages():
+        one = locale.forLanguageTag(code)
+        out |= {one.getDisplayLanguage(locale.ENGLISH).lower(): code, one.getISO3Language().lower(): code, code.lower(): code.lower()}
+    return out
+
+
+@cache
+def countries() -> dict[str, str]:
+    """ISO 3166 code of each country by its English name, its two and its three letters, as the Java runtime knows them."""
+    locale, out = SparkSession.active()._jvm.java.util.Locale, {}
+    for code in locale.getISOCountries():
+        one = locale.forLanguageTag(f"und-{code}")
+        out |= {one.getDisplayCountry(locale.ENGLISH).lower(): code, one.getISO3Country().lower(): code, code.lower(): code}
+    return out
 
 
 def dimension(spark: SparkSession, values: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -40,28 +60,24 @@ def dimension(spark: SparkSession, values: dict[str, tuple[str, ...]]) -> DataFr
     return spark.createDataFrame([(a, c) for c, aliases in values.items() for a in aliases], "alias string, canonical string")
 
 
-def _lookup(table: dict[str, str], x: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for pair in table.items() for v in pair]), x)
-
-
 def metron_age_rating(x: Column) -> Column:
     """MetronInfo rating of any rating, without regard to case and spaces; null if unknown."""
     table = {a.lower(): c for c, aliases in AGE_RATINGS.items() for a in aliases}
     table |= {a.replace(" ", ""): c for a, c in list(table.items())}
     keys = key_variations(x)
-    return F.coalesce(_lookup(table, F.get(keys, F.lit(0))), _lookup(table, F.replace(F.lower(x), F.lit(" "), F.lit(""))))
+    return F.coalesce(look_up(table, F.get(keys, F.lit(0))), look_up(table, F.replace(F.lower(x), F.lit(" "), F.lit(""))))
 
 
 def language_code(x: Column) -> Column:
-    """Two-letter code of a language: a code as it is, a name by the table; null if unknown."""
-    return F.when(F.length(x) == 2, F.lower(x)).otherwise(_lookup(LANGUAGES, F.lower(F.trim(x))))
+    """Two-letter code of a language given by code or English name; null if unknown."""
+    return look_up(languages(), F.lower(F.trim(x)))
 
 
 def country_code(x: Column) -> Column:
-    """Two-letter code of a country."""
-    return F.when(F.length(x) == 2, F.upper(x)).otherwise(_lookup(COUNTRIES, F.lower(F.trim(x))))
+    """Two-letter code of a country given by code or English name; null if unknown."""
+    return look_up(countries(), F.lower(F.trim(x)))
 
 
 def country_of_currency(x: Column) -> Column:
     """Country of a currency."""
-    return _lookup(CURRENCIES, F.upper(x))
+    return look_up(CURRENCIES, F.upper(x))

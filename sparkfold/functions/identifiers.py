@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .constants import look_up
+
 # Catalogs in rank order, with the hosts whose URLs name them.
 SOURCES = ("metron", "comicvine", "grandcomicsdatabase", "leagueofcomicgeeks", "marvel", "panelsyndicate", "anilist", "kitsu", "mangadex", "mangaupdates", "myanimelist", "gtin", "isbn", "upc", "asin", "comixology")
 HOSTS = (
@@ -50,9 +52,9 @@ def sources_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(h, s, rank[s], h.count(".") + 1) for h, s in HOSTS], "alias string, source string, rank int, words int")
 
 
-def _cases(pairs, x: Column, default: Column) -> Column:
+def _cases(table: dict[str, str] | dict[str, int], x: Column, default: Column) -> Column:
     """Value of the constant table entry whose key is x, or the default."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) if isinstance(v, str) else v for pair in pairs for v in pair]), x), default)
+    return F.coalesce(look_up(table, x), default)
 
 
 def host_of(url: Column) -> Column:
@@ -75,27 +77,28 @@ def unknown_key(url: Column) -> Column:
 
 
 def url_type_and_key(source: Column, path: Column) -> Column:
-    """struct(type, key) from the path of a known source's URL; null if it does not match."""
+    """struct(type, key) from the path of a known source's URL, without regard to case; null if it does not match."""
     out = F.lit(None).cast("struct<type:string,key:string>")
     for name, pattern in PATHS.items():
+        pattern = f"(?i){pattern}"
         word, key = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
         words = URLS[name][2]
-        kind = _cases(((w, F.lit(t)) for t, w in words.items()), word, F.lit(next(iter(words))))
+        kind = _cases({w: t for t, w in words.items()}, word, F.lit(next(iter(words))))
         out = F.when((source == name) & (key != ""), F.struct(kind.alias("type"), key.alias("key"))).otherwise(out)
     return out
 
 
 def url_of(source: Column, kind: Column, key: Column) -> Column:
     """URL of an identifier; empty if the key has a colon or the source has no page of that type."""
-    table = [F.lit(v) for name, (prefix, template, words) in URLS.items() for t, word in words.items() for v in (f"{name}|{t}", prefix + template.replace("{t}", word))]
-    found = F.try_element_at(F.create_map(*table), F.concat_ws("|", source, kind))
+    table = {f"{name}|{t}": prefix + template.replace("{t}", word) for name, (prefix, template, words) in URLS.items() for t, word in words.items()}
+    found = look_up(table, F.concat_ws("|", source, kind))
     return F.when(F.contains(key, F.lit(":")), F.lit("")).otherwise(F.coalesce(F.replace(found, F.lit("{k}"), key), F.lit("")))
 
 
 def source_of_alias(alias: Column) -> Column:
     """A source by its name or an alternative one; null if unknown."""
     low = F.lower(alias)
-    return _cases(((a, F.lit(s)) for a, s in ALIASES.items()), low, F.when(low.isin(*SOURCES), low))
+    return _cases(ALIASES, low, F.when(low.isin(*SOURCES), low))
 
 
 def normalize_key(source: Column, kind: Column, key: Column) -> Column:
@@ -105,7 +108,7 @@ def normalize_key(source: Column, kind: Column, key: Column) -> Column:
     bare = F.trim(F.substring(F.trim(key), F.length(head) + 1, F.lit(1 << 20)))
     named = F.nullif(F.lower(F.regexp_extract(head, r"(?i)^.*\b(" + "|".join(TYPES) + r")\b\s*:", 1)), F.lit(""))
     code, number = F.regexp_extract(bare, r"^(\d{4})-(\d+)", 1), F.regexp_extract(bare, r"^(\d{4})-(\d+)", 2)
-    of_code = _cases(((w, F.lit(t)) for t, w in URLS["comicvine"][2].items()), code, F.coalesce(named, kind))
+    of_code = _cases({w: t for t, w in URLS["comicvine"][2].items()}, code, F.coalesce(named, kind))
     long = (source == "comicvine") & (code != "")
     return F.struct(F.when(long, of_code).otherwise(F.coalesce(named, kind)).alias("type"), F.when(long, number).otherwise(bare).alias("key"))
 
@@ -141,7 +144,7 @@ def parse_other(text: Column) -> Column:
     code = F.regexp_extract(text, r"(\d{4})-(\d+)", 1)
     pattern = "(?i)(" + "|".join((*SOURCES, *ALIASES)) + "):?(?:(" + "|".join(TYPES) + r"):)?([\w-]+)"
     name, kind, key = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
-    of_code = _cases(((w, F.lit(t)) for t, w in URLS["comicvine"][2].items()), code, F.lit(DEFAULT_TYPE))
+    of_code = _cases({w: t for t, w in URLS["comicvine"][2].items()}, code, F.lit(DEFAULT_TYPE))
     return (
         F.when(code != "", F.struct(F.lit("comicvine").alias("source"), of_code.alias("type"), F.regexp_extract(text, r"(\d{4})-(\d+)", 2).alias("key")))
         .when(key != "", F.struct(source_of_alias(name).alias("source"), F.coalesce(F.nullif(F.lower(kind), F.lit("")), F.lit(DEFAULT_TYPE)).alias("type"), key.alias("key")))
@@ -151,4 +154,4 @@ def parse_other(text: Column) -> Column:
 
 def rank_of(source: Column) -> Column:
     """Rank of a source, beyond all others if unknown."""
-    return _cases(((s, F.lit(i)) for i, s in enumerate(SOURCES)), F.lower(source), F.lit(len(SOURCES)))
+    return _cases({s: i for i, s in enumerate(SOURCES)}, F.lower(source), F.lit(len(SOURCES)))

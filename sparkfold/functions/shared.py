@@ -8,6 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a local one where no cluster has named any, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/sparkfold-shared"
+    """A new folder name below spark.checkpoint.dir.  Where that is unset, a local session gets a local one; any other is an error."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/sparkfold-shared"
     return f"{base.rstrip('/')}/sparkfold-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 VOLUME_SUFFIX = r"(?i)\s*(?:\(\s*)?(?:vol(?:ume|\.)?)\s*\d+\s*\)?"
 PUBLISHER_NOISE = r"(?i)\b(?:inc|incorporated|comics?|publishing|press|llc|ltd|publications?)\b\.?"
 NOT_ALPHANUMERIC = r"[^a-z0-9]+"
-YEAR_PARENS = r"\s*\(\d{4}(?:\s*[-–]\s*(?:\d{4})?)?\)"
+YEAR_PARENS = r"\s*\(\s*\d{4}(?:\s*[-–]\s*\d{4})?\s*\)"
 BLOCK_TAG = r"(?i)<\s*(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/blockquote)\s*/?\s*>"
 
 

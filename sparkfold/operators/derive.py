@@ -19,10 +19,10 @@ from ..functions import text as T
 from .lookup import consolidate
 
 # Patterns of notes.
-TAGGER = r"Tagged\s(?:with|by)\s(\w+(?:\s(?:dev|test|[\d.]+\S+))?)"
-UPDATED = r"\son\s([12]\d{3}-[01]\d-[0-3]\d[\sT](?:[012]\d:\d{2}:\d{2}\S*)?)"
-ORIGIN = r"using info from (\w+)"
-ISSUE_ID = r"\[Issue ID (\w+)\]"
+TAGGER = r"(?i)Tagged\s(?:with|by)\s(\w+(?:\s(?:dev|test|[\d.]+\S+))?)"
+UPDATED = r"(?i)\son\s([12]\d{3}-[01]\d-[0-3]\d[\sT](?:[012]\d:\d{2}:\d{2}\S*)?)"
+ORIGIN = r"(?i)using info from (\w+)"
+ISSUE_ID = r"(?i)\[Issue ID (\w+)\]"
 FORMATS = ("Annual", "Anthology", "Box Set", "Digital", "Graphic Novel", "Hard Cover", "Magazine", "Manga", "One-Shot", "Omnibus", "Trade Paperback", "Web Comic")
 
 
@@ -55,8 +55,9 @@ def notes_facts(notes: Column) -> tuple[Column, Column, Column]:
 
 def notes_identifiers(notes: Column) -> Column:
     """Array of (source, type, key) in a note, in the order in which later ones replace earlier ones."""
-    names = "|".join((*I.SOURCES, *I.ALIASES))
-    bracketed = F.transform(F.regexp_extract_all(notes, F.lit(rf"(?i)\[((?:{names}):?[\w:-]+)\]"), 1), lambda x: I.parse_other(x))
+    # any bracket first: the alternation of all sources is tried on these few words alone
+    words = F.filter(F.regexp_extract_all(notes, F.lit(r"\[(\w[\w:-]+)\]"), 1), lambda x: x.rlike(rf"(?i)^(?:{'|'.join((*I.SOURCES, *I.ALIASES))}):?[\w:-]+$"))
+    bracketed = F.transform(words, lambda x: I.parse_other(x))
     origin, key = F.regexp_extract(notes, ORIGIN, 1), F.regexp_extract(notes, ISSUE_ID, 1)
     tagged = F.filter(F.array(F.struct(I.source_of_alias(origin).alias("source"), F.lit(I.DEFAULT_TYPE).alias("type"), key.alias("key"))), lambda x: x["source"].isNotNull() & (x["key"] != ""))
     urns = F.filter(F.transform(F.regexp_extract_all(notes, F.lit(r"(urn:[^\s:]{2,}:[^\s]{2,})"), 1), lambda x: I.parse_urn(x)), lambda x: I.source_of_alias(x["source"]).isNotNull())
@@ -86,17 +87,25 @@ def page_count(known: Column, counted: Column) -> Column:
     return F.coalesce(counted, known)
 
 
-def trim_pages(pages: Column, names: Column) -> Column:
-    """Pages of the members that are there, the first one typed as front cover if none is."""
-    kept = F.map_filter(pages, lambda k, v: k < F.size(names))
+def trim_pages(pages: Column, count: Column) -> Column:
+    """The pages that the container has; the first one is typed as front cover if none is."""
+    kept = F.map_filter(pages, lambda k, v: k < count)
     covers = F.size(F.filter(F.map_values(kept), lambda v: v["page_type"] == "FrontCover"))
     return F.transform_values(kept, lambda k, v: F.when((covers == 0) & (k == 0), v.withField("page_type", F.lit("FrontCover"))).otherwise(v))
 
 
 def stamp(tagger: Column, now: Column, identifiers: Column) -> Column:
-    """The note that a tagger leaves: name, time and sorted URNs."""
+    """The note that a tagger leaves: name, time, the ComicVine issue and sorted URNs."""
     urns = F.array_sort(F.transform(F.map_entries(identifiers), lambda e: I.urn_of(e["key"], F.lit(I.DEFAULT_TYPE), e["value"]["key"])))
-    return F.concat_ws(" ", F.concat(F.lit("Tagged with "), tagger, F.lit(" on "), N.iso_seconds(now)), F.array_join(urns, " "))
+    issue = F.try_element_at(identifiers, F.lit("comicvine"))["key"]
+    text = F.concat_ws(" ", F.concat(F.lit("Tagged with "), tagger, F.lit(" on "), N.iso_seconds(now)), F.concat(F.lit("[Issue ID "), issue, F.lit("]")), F.array_join(urns, " "))
+    return F.trim(text)
+
+
+def stamped(rows: DataFrame, tagger: str, now: Column | None = None, record: str = "record") -> DataFrame:
+    """Records with tagger, time and note of who writes them."""
+    r, at = F.col(record), F.current_timestamp() if now is None else now
+    return rows.withColumn(record, F.when(r.isNotNull(), r.withField("tagger", F.lit(tagger)).withField("updated_at", at).withField("notes", stamp(F.lit(tagger), at, r["identifiers"]))))
 
 
 def with_urls(identifiers: Column, kind: str) -> Column:
@@ -111,20 +120,31 @@ def tag_identifiers(tags: Column) -> Column:
     return F.transform(spelled, lambda x: F.when(x.startswith("urn:"), I.parse_urn(x)).otherwise(I.parse_other(x)))
 
 
-def derive(rows: DataFrame, record: str = "record", drop: tuple[str, ...] = ()) -> DataFrame:
+#: Type of the identifiers of nested names, by field.
+NESTED_TYPES = {"arcs": "arc", "characters": "character", "credits": "creator", "genres": "genre", "locations": "location", "stories": "story", "teams": "team", "universes": "universe"}
+
+
+def whole_issue(issue: Column) -> Column:
+    """An issue whose name gives the missing parts, or whose parts give the missing name."""
+    number, suffix = issue_from_name(issue["name"])
+    return F.when(issue.isNotNull(), F.struct(F.coalesce(issue["name"], issue_from_parts(issue["number"], issue["suffix"])).alias("name"), F.coalesce(issue["number"], number).alias("number"), F.coalesce(issue["suffix"], suffix).alias("suffix")))
+
+
+def _nested_urls(named: Column, kind: str) -> Column:
+    """C10 for a map of named things."""
+    return F.transform_values(named, lambda k, v: F.when(v["identifiers"].isNotNull(), v.withField("identifiers", with_urls(v["identifiers"], kind))).otherwise(v))
+
+
+def derive(rows: DataFrame, record: str = "record", drop: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
     """Applies the rules to a column of canonical records; ``drop`` (C16) names key paths to delete at the end.
 
-    The rules that have no archive to look into (C01, C02) are applied by ``trim_pages`` and ``page_count``.
+    ``counted`` names a column with the number of pages that were found in the container, null where none was
+    looked into; the pages (C02) are trimmed to it.
     """
     from ..sources import canonical as C
 
     # issue parts first: later rules see them
-    number, suffix = issue_from_name(F.col("__r.issue.name"))
-    issue = F.col("__r.issue")
-    stage = rows.withColumn("__r", F.col(record)).withColumn(
-        "__issue",
-        F.when(issue.isNotNull(), F.struct(F.coalesce(issue["name"], issue_from_parts(issue["number"], issue["suffix"])).alias("name"), F.coalesce(issue["number"], number).alias("number"), F.coalesce(issue["suffix"], suffix).alias("suffix"))),
-    )
+    stage = rows.withColumn("__r", F.col(record)).withColumn("__issue", whole_issue(F.col("__r.issue")))
     tagger, updated, released = notes_facts(F.col("__r.notes"))
     mined = F.concat(F.coalesce(tag_identifiers(F.concat(F.coalesce(F.map_keys(F.col("__r.tags")), F.array().cast("array<string>")), F.coalesce(F.map_keys(F.col("__r.genres")), F.array().cast("array<string>")))), F.array().cast("array<struct<source:string,type:string,key:string>>")), F.coalesce(notes_identifiers(F.col("__r.notes")), F.array().cast("array<struct<source:string,type:string,key:string>>")))
     stage = stage.withColumn("__mined", C.to_map(F.transform(mined, lambda m: F.struct(m["source"].alias("k"), I.identifier(m["source"], m["type"], m["key"]).alias("v"))), C.IDS)).withColumn("__released", released)
@@ -142,9 +162,19 @@ def derive(rows: DataFrame, record: str = "record", drop: tuple[str, ...] = ())
     changed = {
         "issue": F.col("__issue"), "date": date, "identifiers": ids, "tagger": F.coalesce(F.col("__r.tagger"), tagger), "updated_at": F.coalesce(F.col("__r.updated_at"), updated),
         "stories": F.col("__stories"), "title": title, "reprints": reprints, "original_format": format_from_scan(F.col("__r.original_format"), F.col("__r.scan_info")),
+        "alternative_issue": whole_issue(F.col("__r.alternative_issue")),
     }
+    for field, kind in NESTED_TYPES.items():
+        changed[field] = _nested_urls(changed.get(field, F.col(f"__r.{field}")), kind)
+    for field in ("series", "publisher", "imprint"):
+        one = F.col(f"__r.{field}")
+        changed[field] = F.when(one["identifiers"].isNotNull(), one.withField("identifiers", with_urls(one["identifiers"], field))).otherwise(one)
+    if counted:
+        n, pages = F.col(counted), F.col("__r.pages")
+        changed["page_count"], changed["pages"] = page_count(F.col("__r.page_count"), n), F.when(n.isNotNull() & pages.isNotNull(), trim_pages(pages, n)).otherwise(pages)
     values = {n: changed.get(n, F.col(f"__r.{n}")) for n in C.FIELDS}
-    out = stage.withColumn(record, F.struct(*[v.cast(C.FIELDS[n]).alias(n) for n, v in values.items()])).drop("__r", "__issue", "__mined", "__released", "__stories")
+    whole = F.struct(*[v.cast(C.FIELDS[n]).alias(n) for n, v in values.items()])
+    out = stage.withColumn(record, F.when(F.col("__r").isNotNull(), whole)).drop("__r", "__issue", "__mined", "__released", "__stories")
     return delete_paths(out, record, drop)
 
 
@@ -171,9 +201,9 @@ Rule = Callable[[DataFrame, str], DataFrame]
 EXTRA_RULES: list[tuple[str, Rule]] = []
 
 
-def derive_all(rows: DataFrame, record: str = "record", drop: tuple[str, ...] = ()) -> DataFrame:
+def derive_all(rows: DataFrame, record: str = "record", drop: tuple[str, ...] = (), counted: str | None = None) -> DataFrame:
     """Built-in rules, then EXTRA_RULES, then deletions."""
-    out = derive(rows, record)
+    out = derive(rows, record, counted=counted)
     for _, rule in EXTRA_RULES:
         out = rule(out, record)
     return delete_paths(out, record, drop)

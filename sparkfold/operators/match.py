@@ -142,9 +142,10 @@ def tie_break(pairs: DataFrame, profile: str) -> DataFrame:
     return folded.select(profile, F.posexplode(F.array_sort(order)).alias("p", "x")).select(profile, F.col("x.issue").alias("issue"), F.col("x.place").alias("place"), (F.col("p") + 1).alias("final_place"))
 
 
-def keep_by_name(pairs: DataFrame, similarity: str, effort: str, name: str) -> DataFrame:
-    """Candidates whose name is similar enough for the effort; a missing name keeps."""
-    return pairs.where(F.col(name).isNull() | (F.col(similarity) >= NAME_FILTER[effort]))
+def keep_by_name(pairs: DataFrame, similarity: str, effort: str, name: str, other: str | None = None) -> DataFrame:
+    """Candidates whose name is similar enough for the effort; a name that is missing on either side keeps."""
+    missing = F.col(name).isNull() | (F.col(other).isNull() if other else F.lit(False))
+    return pairs.where(missing | (F.col(similarity) >= NAME_FILTER[effort]))
 
 
 def least_tier(pairs: DataFrame, profile: str, tier: str) -> DataFrame:

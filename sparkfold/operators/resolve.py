@@ -7,13 +7,14 @@ back when they have been made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import similarity as S
 from ..functions import text as T
 from . import match as M
+from . import online as O
 
 
 def profiles(records: DataFrame, key: str = "path", record: str = "record") -> DataFrame:
@@ -27,21 +28,54 @@ def profiles(records: DataFrame, key: str = "path", record: str = "record") -> D
     )
 
 
+#: Words of a series that a profile is looked up by: its rarest ones in the catalog.
+WORDS = 3
+
+
+def _blocks(word: str, issue: Column, have: Column) -> Column:
+    """Blocks of an offer with one word: its issue (or ``?`` without one), and ``*`` for those who know no issue."""
+    return F.array(F.concat_ws("|", F.lit("w"), F.col(word), F.when(have, issue).otherwise(F.lit("?"))), F.concat_ws("|", F.lit("w"), F.col(word), F.lit("*")))
+
+
+def _issue_key(text: Column) -> Column:
+    return F.coalesce(T.issue_int(T.strip_leading_zeros(text)).cast("string"), F.lower(F.trim(text)))
+
+
 def candidates(people: DataFrame, catalog: DataFrame, key: str = "path", effort: str = "balanced") -> DataFrame:
-    """Pairs by blocking on the issue, narrowed by year and name.
+    """Pairs by blocking on a word of the series and the issue, narrowed by year and name.
 
-    Blocks are equal integer issues (or equal text where there is none).  A volume that starts after the year is
-    out.  Names are compared once per distinct pair.
+    A profile meets the offers that share one of its WORDS rarest series words (by their number in the catalog) and
+    its issue, or have no issue; without an issue of its own it meets all issues of such series.  A profile
+    without a series meets the offers of its issue and year, of what it knows of them.  So no block is shared by
+    all, and a frequent word alone makes no pairs.  A volume that starts after the year is out.  Names are
+    compared once per distinct pair.
     """
-    seekers = people.where("series IS NOT NULL OR issue IS NOT NULL OR year IS NOT NULL").withColumn("__block", F.coalesce(F.col("issue_int").cast("string"), F.lower("issue"), F.lit("")))
-    offers = catalog.select([F.col(c).alias(f"c_{c}") for c in catalog.columns]).withColumn("__block", F.coalesce(T.issue_int(T.strip_leading_zeros(F.col("c_issue"))).cast("string"), F.lower("c_issue"), F.lit("")))
-    pairs = seekers.join(offers, "__block").where(F.coalesce(F.col("c_start_year") <= F.col("year") + 1, F.lit(True)) if "start_year" in catalog.columns else F.lit(True))
-    named = pairs.withColumns({"__p": T.normalize_series(F.col("series")), "__c": T.normalize_series(F.col("c_series"))})
-    scored = S.with_similarity(named, "__p", "__c", "s_series")
+    offers = catalog.select([F.col(c).alias(f"c_{c}") for c in catalog.columns])
+    own = [c for c in ("c_source", "c_issue_id") if c in offers.columns]
+    o_issue, o_year = _issue_key(F.col("c_issue")), F.col("c_year").cast("string")
+    o_words = F.array_distinct(F.filter(F.split(T.normalize_series(F.col("c_series")), " "), lambda w: w != ""))
+    by_word = offers.select("*", F.explode(o_words).alias("word")).select(*offers.columns, F.explode(_blocks("word", o_issue, F.coalesce(o_issue, F.lit("")) != "")).alias("block"))
+    known = F.array(F.struct(o_issue.alias("i"), o_year.alias("y")), F.struct(o_issue.alias("i"), F.lit(None).cast("string").alias("y")), F.struct(F.lit(None).cast("string").alias("i"), o_year.alias("y")))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    by_facts = offers.select("*", F.explode(F.array_distinct(F.transform(known, lambda k: F.concat_ws("|", F.lit("n"), blank(k["i"]), blank(k["y"]))))).alias("block")).where("block <> 'n||'")
+
+    seekers = people.where("series IS NOT NULL OR issue IS NOT NULL OR year IS NOT NULL")
+    s_issue = _issue_key(F.col("issue"))
+    words = seekers.select(key, s_issue.alias("i"), F.explode(F.array_distinct(F.filter(F.split(T.normalize_series(F.col("series")), " "), lambda w: w != ""))).alias("word"))
+    often = offers.select(F.explode(o_words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rarest = words.join(often, "word").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("n", "word"))).where(F.col("r") <= WORDS)
+    has = blank(F.col("i")) != ""
+    asked = F.when(has, F.array(F.col("i"), F.lit("?"))).otherwise(F.array(F.lit("*")))
+    named = rarest.select(key, F.explode(F.transform(asked, lambda i: F.concat_ws("|", F.lit("w"), F.col("word"), i))).alias("block"))
+    nameless = seekers.where(blank(T.normalize_series(F.col("series"))) == "").select(key, F.concat_ws("|", F.lit("n"), blank(s_issue), blank(F.col("year").cast("string"))).alias("block"))
+    met = named.join(by_word, "block").drop("block").unionByName(nameless.join(by_facts, "block").drop("block")).dropDuplicates([key, *own])
+    pairs = seekers.join(met, key).where(F.coalesce(F.col("c_start_year") <= F.col("year") + 1, F.lit(True)) if "start_year" in catalog.columns else F.lit(True))
+    named_pairs = pairs.withColumns({"__p": T.normalize_series(F.col("series")), "__c": T.normalize_series(F.col("c_series"))})
+    scored = S.with_similarity(named_pairs, "__p", "__c", "s_series")
     # The exact year, else one beside it, else any
     tier = F.when(F.col("year").isNull() | F.col("c_year").isNull() | (F.col("year") == F.col("c_year")), 0).when(F.abs(F.col("year") - F.col("c_year")) <= 1, 1).when(F.abs(F.col("year") - F.col("c_year")) <= 2, 2).otherwise(3)
-    kept = M.keep_by_name(scored, "s_series", effort, "c_series").withColumn("tier", tier)
-    return M.least_tier(kept, key, "tier").drop("__block", "__p", "__c")
+    kept = M.keep_by_name(scored, "s_series", effort, "c_series", "series").withColumn("tier", tier)
+    return M.least_tier(kept, key, "tier").drop("__p", "__c")
 
 
 def score(pairs: DataFrame, cover: str | None = None) -> DataFrame:
@@ -98,3 +132,62 @@ def add_catalog_records(raw: DataFrame, resolved: DataFrame, documents: DataFram
     """Raw documents with those of the chosen catalog entries (issue_id, fmt, payload) as a further source."""
     chosen = resolved.where("issue_id IS NOT NULL").select(key, "issue_id").join(documents, "issue_id")
     return raw.unionByName(chosen.select(key, F.lit(source).alias("source"), "fmt", F.lit(0).alias("ordinal"), "payload"))
+
+
+def run(people: DataFrame, catalog: DataFrame, own: dict[str, M.Policy], policy: M.Policy, effort: str = "balanced", explicit: DataFrame | None = None, cache: DataFrame | None = None, decisions: DataFrame | None = None, covers: DataFrame | None = None, key: str = "path") -> DataFrame:
+    """Path, source, resolution, issue_id, score and gap of every profile against a catalog table.
+
+    Each source decides by its policy; the first source that writes wins, the next ones count where it does not (P15).
+    """
+    offers = catalog if "source" in catalog.columns else catalog.withColumn("source", F.lit("catalog"))
+    scored = score(candidates(people, offers, key, effort))
+    if covers is not None:
+        scored = _with_covers(scored.join(covers, key, "left"), key, policy)
+    names = list(own) or [r[0] for r in offers.select("source").distinct().orderBy("source").collect()]  # a handful of catalogs
+    parts = None
+    for i, name in enumerate(names):
+        one = resolutions(people, scored.where(F.col("c_source") == name), key, own.get(name, policy)).withColumns({"source": F.lit(name), "turn": F.lit(i)})
+        parts = one if parts is None else parts.unionByName(one)
+    # what is written first, then what must be asked, then what is skipped; sources in turn
+    worth = F.when(F.col("resolution") == "AUTO_WRITE", 0).when(F.col("resolution") == "PROMPT", 1).when(F.col("resolution") == "SKIP", 2).otherwise(3)
+    fields = ["source", "resolution", "issue_id", "score", "gap"]
+    found = parts.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(worth, "turn")).alias("x")).select(key, *[f"x.{f}" for f in fields])
+    if decisions is not None:
+        found = _decided(found, people, scored, decisions, key)
+    return _in_order(found, people, offers, explicit, cache, key)
+
+
+def _with_covers(scored: DataFrame, key: str, policy: M.Policy) -> DataFrame:
+    """M09, M10 on the columns cover_hash and c_cover_hash."""
+    ranked = M.rank(scored.withColumns({"volume": F.col("c_volume"), "number": F.col("c_issue_id")}), key, "metadata", "volume", "number")
+    needs = M.needs_hash(F.col("metadata"), F.col("gap"), policy)
+
+    def compare(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cover", N.hash_score(N.hamming(F.col("cover_hash"), F.col("c_cover_hash"))))
+
+    return O.compare_covers(ranked.drop("cover", "score"), key, compare, M.final_score, needs, M.hash_count).drop("place", "gap", "volume", "number", "cover_hash")
+
+
+def _decided(found: DataFrame, people: DataFrame, scored: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """Profiles that would be asked take the candidate of the volume that was chosen for their series."""
+    prints = people.select(key, O.series_fingerprint(F.col("series"), F.col("year"), F.col("publisher")).alias("fingerprint"))
+    choice = scored.join(prints.join(decisions, "fingerprint").select(key, F.col("volume_id").alias("c_volume")), [key, "c_volume"])
+    best = choice.groupBy(key).agg(F.max_by("c_issue_id", F.struct("score", -F.col("c_issue_id"))).alias("chosen"))
+    open_ = F.col("resolution") == "PROMPT"
+    joined = found.join(best, key, "left")
+    return joined.withColumns({"issue_id": F.when(open_ & F.col("chosen").isNotNull(), F.col("chosen")).otherwise(F.col("issue_id")), "resolution": F.when(open_ & F.col("chosen").isNotNull(), F.lit("DECIDED")).otherwise(F.col("resolution"))}).drop("chosen")
+
+
+def _in_order(found: DataFrame, people: DataFrame, offers: DataFrame, explicit: DataFrame | None, cache: DataFrame | None, key: str) -> DataFrame:
+    """Explicit, stored and cached ids before what the search has found."""
+    none = found.sparkSession.createDataFrame([], f"{key} string, issue_id bigint")
+    stored = people.select(key, F.explode_outer("identifiers").alias("source", "v")).select(key, "source", F.col("v.key").try_cast("bigint").alias("issue_id")) if dict(people.dtypes).get("identifiers", "").startswith("map") else None
+    known = none if stored is None else stored.join(offers.select("source", "issue_id").distinct(), ["source", "issue_id"], "left_semi").groupBy(key).agg(F.min("issue_id").alias("issue_id"))
+    cached = none
+    if cache is not None:
+        prints = people.select(key, O.series_fingerprint(F.col("series"), F.col("year"), F.col("publisher")).alias("fingerprint"), "issue")
+        cached = O.through_series_cache(prints, cache, offers.select(F.col("volume").alias("volume_id"), "issue", "issue_id")).groupBy(key).agg(F.min("issue_id").alias("issue_id"))
+    order = lookup_order(none if explicit is None else explicit.select(key, "issue_id"), known, cached, none, key)
+    sure = found.join(order.withColumnsRenamed({"issue_id": "sure", "tier": "sure_tier"}), key, "left")
+    how = F.when(F.col("sure_tier") == 0, "EXPLICIT").when(F.col("sure_tier") == 1, "STORED").when(F.col("sure_tier") == 2, "CACHED").otherwise(F.col("resolution"))
+    return sure.withColumns({"resolution": how, "issue_id": F.coalesce("sure", "issue_id")}).drop("sure", "sure_tier")

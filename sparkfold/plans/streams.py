@@ -9,25 +9,47 @@ from ..streaming import streams as S
 from .registry import query
 
 
-def _stream(t):
-    """The event table as a stream of files."""
+def _in_order(t, folder: str, parts: int = 4, closing: bool = False):
+    """The event table as files of successive times, one after the other.
+
+    With ``closing`` one row a year later follows, which lets the watermark pass all windows.
+    """
     events = t("events")
     spark = events.sparkSession
-    folder = shared_folder(spark)
-    events.repartition(4).write.parquet(f"{folder}/in")
-    return S.read_events(spark, f"{folder}/in", events.schema, files_per_trigger=2), folder
+    rows = events.repartitionByRange(parts, "ts")
+    first = f"{folder}/in"
+    rows.sortWithinPartitions("ts").write.parquet(first)
+    if closing:
+        late = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+        # written after the others, so the stream reads it last
+        events.limit(0).unionByName(late, allowMissingColumns=True).write.mode("append").parquet(first)
+    return S.read_events(spark, first, events.schema, files_per_trigger=1)
 
 
 @query("SELECT date_trunc('minute', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def t01_counts_per_minute(t):
-    stream, folder = _stream(t)
-    counts = S.counts_per_window(stream, "ts", ["event_type"], late="400 days")
-    # complete: the last batch holds the final table
-    out = S.run_to_table(counts, folder, mode="complete")
-    last = out.agg(F.max("batch")).first()[0] if "batch" in out.columns else None
-    rows = t("events").sparkSession.read.parquet(f"{folder}/rows")
-    last = rows.agg(F.max("batch")).first()[0] if last is None else last
-    return rows.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """A stream in append mode: a window is written once, when the watermark has passed it.
+
+    Files come in the order of time, so nothing is later than the watermark allows.
+    """
+    folder = shared_folder(t("events").sparkSession)
+    stream = _in_order(t, folder, closing=True)
+    out = S.run_to_table(S.counts_per_window(stream, "ts", ["event_type"], late="40 days"), folder)
+    return out.where("event_type IS NOT NULL").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0) GROUP BY ALL")
+def t02_t06_incremental_read(t):
+    """Two runs over a folder that grows: the second reads the new files alone, events that come again are dropped."""
+    events = t("events")
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    even = events.where("event_id % 2 = 0")
+    even.where("event_id % 4 = 0").write.parquet(f"{folder}/in")
+    stream = lambda: S.distinct_within(S.changed_files(spark, f"{folder}/in", events.schema), "ts", ["event_id"], "400 days")
+    S.run_to_table(stream(), folder)
+    even.write.mode("append").parquet(f"{folder}/in")  # half of them have come before
+    rows = S.run_to_table(stream(), folder)
+    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -41,7 +63,37 @@ def t03_first_writer(t):
     return S.run_to_table(S.first_writer(stream, "user_id", "event_type", "event_id"), folder).select("user_id", "event_type")
 
 
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def t04_prompt_cache(t):
+    """Two runs: what the first has cached is kept by the second, whose keys are new to it or known; state is bounded by event time."""
+    events = t("events").select("user_id", "event_type", "event_id", "ts")
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    marked = events.join(events.groupBy("user_id").agg(F.min("event_id").alias("least")), "user_id")
+    stream = lambda: S.first_writer(S.read_events(spark, f"{folder}/in", events.schema), "user_id", "event_type", "event_id", "ts", "400 days", "400 days")
+    marked.where("event_id = least AND user_id % 2 = 0").drop("least").write.parquet(f"{folder}/in")
+    S.run_to_table(stream(), folder)
+    marked.where("user_id % 2 = 1 OR event_id > least").drop("least").write.mode("append").parquet(f"{folder}/in")
+    return S.run_to_table(stream(), folder).select("user_id", "event_type")
+
+
 @query("SELECT start, CAST(count(*) AS BIGINT) AS kinds FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE n > 3 * 1.05 GROUP BY start")
 def t05_rate_caps(t):
-    counts = S.counts_per_window(t("events"), "ts", ["event_type"], width="1 hour")
-    return S.over_cap(counts, 3).groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("kinds"))
+    """A stream of windows that closed, those above the cap."""
+    folder = shared_folder(t("events").sparkSession)
+    counts = S.counts_per_window(_in_order(t, folder, closing=True), "ts", ["event_type"], width="1 hour", late="40 days")
+    out = S.run_to_table(S.over_cap(counts, 3), folder)
+    return out.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("kinds"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
+def e08_batches_to_a_handler(t):
+    """Each batch is given to a handler, which stores what it counts; the parts add up."""
+    events = t("events")
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    stream = _in_order(t, folder)
+
+    def handler(batch, number: int) -> None:
+        batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+
+    S.run_to_table(stream, folder, on_batch=handler)
+    return spark.read.parquet(f"{folder}/seen").groupBy(F.col("event_type").alias("kind")).agg(F.sum("n").alias("n"))

@@ -1,29 +1,59 @@
-"""Archives as DataFrames: a Python data source over zip and tar files, page lists and writers.
+"""Archives as DataFrames: one row per container, its members in an array.
 
-``archives`` reads one row per member; its content is read only if it is projected.  A file that cannot be
-read gives one row with ``error``.  RAR, 7Z and PDF containers need libraries that Spark does not bring; they
-give an error row as well.
+``listing`` reads each file once, in one pass that lists all members and takes out the bytes of those that
+are asked for: by default the metadata members only, so page images are never decompressed.  Documents,
+pages and comments are array expressions over that row; nothing is read again or shuffled.
+
+A container that cannot be read gives a row with ``error``; a member that cannot be read has an error of its
+own.  RAR and 7Z containers need libraries that Spark does not bring and give an error row.  Of a PDF the
+document information and the number of pages are read where they are not in compressed object streams.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import numbers as N
+from ..operators.evaluate import is_page
 
+MEMBER = "struct<name:string,size:bigint,modified:timestamp,is_dir:boolean,content:binary,error:string>"
+LISTING = f"path string, modified timestamp, file_type string, comment string, header string, error string, members array<{MEMBER}>"
 MEMBERS = "path string, file_type string, comment string, name string, size bigint, modified timestamp, is_dir boolean, content binary, error string"
 #: Names of metadata members by format (fixed values).
-METADATA_NAMES = {"comicinfo.xml": "comic_info", "metroninfo.xml": "metron_info", "comet.xml": "comet", "comic-book-info.json": "comic_book_info", "mupdf.json": "mupdf"}
+METADATA_NAMES = {
+    "comicinfo.xml": "comic_info", "metroninfo.xml": "metron_info", "comet.xml": "comet", "comic-book-info.json": "comic_book_info", "mupdf.json": "mupdf",
+    "record.json": "native_json", "record.yaml": "native_yaml",
+}
+#: Member that a format is written to.
+FILE_NAMES = {"comic_info": "ComicInfo.xml", "metron_info": "MetronInfo.xml", "comet": "CoMet.xml", "comic_book_info": "comic-book-info.json", "mupdf": "MuPDF.json", "native_json": "record.json", "native_yaml": "record.yaml"}
 IMAGES = (".jpg", ".jpeg", ".jxl", ".webp", ".png", ".gif", ".bmp", ".tif", ".tiff", ".avif", ".svg")
 SUFFIXES = ("cbz", "cbt", "cbr", "cb7", "zip", "tar", "rar", "7z", "pdf")
+#: Which members' bytes are taken out.
+Wanted = Callable[[str], bool]
+
+
+def no_content(name: str) -> bool:
+    return False
+
+
+def all_content(name: str) -> bool:
+    return True
+
+
+def metadata_content(name: str) -> bool:
+    """Whether a member is a metadata document, by its lower-case base name."""
+    return os.path.basename(name).lower() in METADATA_NAMES
 
 
 def file_type(name: str, head: bytes) -> str | None:
@@ -33,49 +63,117 @@ def file_type(name: str, head: bytes) -> str | None:
     return hint if hint in found else (found[0] if found else None)
 
 
-def read_members(path: str, data: bytes, with_content: bool) -> Iterator[tuple]:
-    """Rows of MEMBERS for one container."""
-    from datetime import datetime, timezone
+def _taken(read: Callable[[], bytes], wanted: bool) -> tuple[bytes | None, str | None]:
+    if not wanted:
+        return None, None
+    try:
+        return read(), None
+    except Exception as fault:  # encrypted, damaged or of an unknown method: the error of this member alone
+        return None, f"{type(fault).__name__}: {fault}"
+
 
-    kind = file_type(path, data[:600])
+def _zip_time(parts: tuple[int, ...]) -> datetime | None:
     try:
+        return datetime(*parts)
+    except ValueError:  # a month or day 0
+        return None
+
+
+def _zip(data: bytes, wanted: Wanted) -> tuple[str | None, list[tuple]]:
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        rows = []
+        for m in archive.infolist():
+            body, error = _taken(lambda m=m: archive.read(m), not m.is_dir() and wanted(m.filename))
+            rows.append((m.filename, m.file_size, _zip_time(m.date_time), m.is_dir(), body, error))
+        return archive.comment.decode("utf-8", "replace") or None, rows
+
+
+def _tar(data: bytes, wanted: Wanted) -> tuple[None, list[tuple]]:
+    with tarfile.open(fileobj=io.BytesIO(data)) as archive:
+        rows = []
+        for m in archive.getmembers():
+            body, error = _taken(lambda m=m: archive.extractfile(m).read(), m.isfile() and wanted(m.name))
+            rows.append((m.name, m.size, datetime.fromtimestamp(m.mtime, timezone.utc).replace(tzinfo=None), m.isdir(), body, error))
+        return None, rows
+
+
+def _pdf_text(raw: bytes) -> str:
+    """A PDF string without its brackets, as text."""
+    if raw.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("ascii", "replace"))
+    else:
+        names = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+        value = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else names.get(m[1], m[1]), raw[1:-1], flags=re.DOTALL)
+    return value[2:].decode("utf-16-be", "replace") if value.startswith(b"\xfe\xff") else value.decode("latin-1")
+
+
+def pdf_facts(data: bytes) -> tuple[str | None, int]:
+    """The document information of a PDF as a MuPDF document, and its number of pages."""
+    info = {}
+    if at := re.search(rb"/Info\s+(\d+)\s+(\d+)\s+R", data):
+        body = re.search(rb"(?<!\d)%s\s+%s\s+obj\b(.*?)endobj" % (at[1], at[2]), data, re.DOTALL)
+        for tag, key in ((b"Author", "author"), (b"Creator", "creator"), (b"Keywords", "keywords"), (b"ModDate", "modDate"), (b"Producer", "producer"), (b"Subject", "subject"), (b"Title", "title")):
+            if body and (found := re.search(rb"/%s\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)" % tag, body[1], re.DOTALL)):
+                info[key] = _pdf_text(found[1])
+    counts = [int(n) for n in re.findall(rb"/Count\s+(\d+)", data)]
+    return json.dumps({"MuPDF": info}) if info else None, max(counts, default=0)
+
+
+def read_container(path: str, data: bytes, wanted: Wanted) -> tuple:
+    """file_type, comment, header, error and members (sorted without regard to case) of one container."""
+    kind = None
+    try:
+        kind = file_type(path, data[:600])
+        comment, header = None, None
         if kind == "CBZ":
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                comment = archive.comment.decode("utf-8", "replace") or None
-                for m in sorted(archive.infolist(), key=lambda m: m.filename.lower()):
-                    body = archive.read(m) if with_content and not m.is_dir() else None
-                    yield path, kind, comment, m.filename, m.file_size, datetime(*m.date_time), m.is_dir(), body, None
+            comment, rows = _zip(data, wanted)
         elif kind == "CBT":
-            with tarfile.open(fileobj=io.BytesIO(data)) as archive:
-                for m in sorted(archive.getmembers(), key=lambda m: m.name.lower()):
-                    body = archive.extractfile(m).read() if with_content and m.isfile() else None
-                    yield path, kind, None, m.name, m.size, datetime.fromtimestamp(m.mtime, timezone.utc).replace(tzinfo=None), m.isdir(), body, None
+            comment, rows = _tar(data, wanted)
+        elif kind == "PDF":
+            header, n = pdf_facts(data)
+            return kind, None, header, None, [(str(i), None, None, False, None, None) for i in range(n)]
         else:
-            yield path, kind, None, None, None, None, None, None, f"cannot read {kind or 'unknown'} containers"
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, ValueError, EOFError) as fault:
-        yield path, kind, None, None, None, None, None, None, f"{type(fault).__name__}: {fault}"
+            return kind, None, None, f"cannot read {kind or 'unknown'} containers", []
+        return kind, comment, header, None, sorted(rows, key=lambda r: (r[0].lower(), r[0]))
+    except Exception as fault:  # S22: one bad file is a row, never the end of the job
+        return kind, None, None, f"{type(fault).__name__}: {fault}", []
 
 
-def members(spark: SparkSession, folder: str, recursive: bool = True, content: bool = True) -> DataFrame:
-    """Members of all containers below a folder on any file system that Spark reads.
+def container_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """Path, modificationTime and content of all containers below a folder, by suffix."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES))
+
+
+def listing(spark: SparkSession, folder: str, recursive: bool = True, wanted: Wanted = metadata_content) -> DataFrame:
+    """One row (LISTING) per container below a folder on any file system that Spark reads.
 
     Spark lists and splits the files; a worker opens one container at a time.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    wanted = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES)).select("path", "content")
 
     def run(batches):
         import pyarrow as pa
 
-        names = [c.split()[0] for c in MEMBERS.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.binary(), pa.string()]
+        member = pa.struct([("name", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("is_dir", pa.bool_()), ("content", pa.binary()), ("error", pa.string())])
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(member)]
+        fields = [f.name for f in member]
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(zip(*read_members(path, data.as_py(), content), strict=True))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
+            rows = [read_container(path, data.as_py(), wanted) for path, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
+            if rows:
+                columns = [list(c) for c in zip(*rows, strict=True)]
+                columns[4] = [[dict(zip(fields, m, strict=True)) for m in members] for members in columns[4]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["path", "modified", "file_type", "comment", "header", "error", "members"])
+
+    files = container_files(spark, folder, recursive).select("path", F.col("modificationTime").alias("modified"), "content")
+    return files.mapInArrow(run, LISTING)
 
-    return wanted.mapInArrow(run, MEMBERS)
+
+def members(spark: SparkSession, folder: str, recursive: bool = True, content: bool = True) -> DataFrame:
+    """One row (MEMBERS) per member, or with the error of a container that cannot be read."""
+    rows = listing(spark, folder, recursive, all_content if content else no_content)
+    each = rows.select("path", "file_type", "comment", "error", F.explode_outer("members").alias("m"))
+    return each.select("path", "file_type", "comment", "m.name", "m.size", "m.modified", "m.is_dir", "m.content", F.coalesce("error", "m.error").alias("error"))
 
 
 class _OnePath(InputPartition):
@@ -94,7 +192,11 @@ class _ArchiveReader(DataSourceReader):
     def read(self, partition: _OnePath) -> Iterator[tuple]:
         if partition.path:
             with open(partition.path, "rb") as file:
-                yield from read_members(partition.path, file.read(), self.content)
+                kind, comment, _, error, rows = read_container(partition.path, file.read(), all_content if self.content else no_content)
+            if error:
+                yield partition.path, kind, comment, None, None, None, None, None, error
+            for name, size, modified, is_dir, body, fault in rows:
+                yield partition.path, kind, comment, name, size, modified, is_dir, body, fault
 
 
 class ArchiveSource(DataSource):
@@ -111,90 +213,81 @@ class ArchiveSource(DataSource):
         return _ArchiveReader(self.options)
 
 
-def metadata_documents(rows: DataFrame) -> DataFrame:
-    """Raw documents (path, source, fmt, ordinal, payload) of members, comments and file names."""
-    base = F.lower(F.element_at(F.split("name", "/"), -1))
-    fmt = F.try_element_at(F.create_map(*[F.lit(x) for pair in METADATA_NAMES.items() for x in pair]), base)
-    depth = F.length("name") - F.length(F.replace("name", F.lit("/"), F.lit("")))
-    found = rows.withColumn("fmt", fmt).where("fmt IS NOT NULL")
-    top = found.groupBy("path", "fmt").agg(F.min_by("content", F.struct(depth, F.lower("name"))).alias("content"))
-    documents = top.select("path", F.lit("archive_file").alias("source"), "fmt", F.lit(0).alias("ordinal"), F.decode("content", "UTF-8").alias("payload"))
-    comments = rows.groupBy("path").agg(F.max("comment").alias("payload")).where("payload IS NOT NULL").select("path", F.lit("archive_comment").alias("source"), F.lit("comic_book_info").alias("fmt"), F.lit(0).alias("ordinal"), "payload")
-    names = rows.select("path").distinct().select("path", F.lit("archive_filename").alias("source"), F.lit("filename").alias("fmt"), F.lit(0).alias("ordinal"), F.element_at(F.split("path", "/"), -1).alias("payload"))
-    return documents.unionByName(comments).unionByName(names)
+# documents and pages: expressions over a listing ------------------------------
 
 
-def pages(rows: DataFrame) -> DataFrame:
-    """Pages of each archive in order, with their zero-based number."""
-    from pyspark.sql import Window
+def shallowest(members_: Column, base_name: str) -> Column:
+    """Content of the member with this lower-case base name that has the fewest separators, ties to the first in order."""
+    fits = F.filter(members_, lambda m: ~m["is_dir"] & (F.lower(F.element_at(F.split(m["name"], "/"), -1)) == base_name))
+    ranked = F.transform(fits, lambda m: F.struct((F.length(m["name"]) - F.length(F.replace(m["name"], F.lit("/"), F.lit("")))).alias("depth"), F.lower(m["name"]).alias("folded"), m["name"].alias("name"), m["content"].alias("content")))
+    return F.array_min(ranked)["content"]
 
-    from ..operators.evaluate import is_page
 
-    kept = rows.where(~F.col("is_dir") & is_page(F.col("name")))
-    return kept.withColumn("page", F.row_number().over(Window.partitionBy("path").orderBy(F.lower("name"), "name")) - 1)
+def page_members(members_: Column, pdf: Column | None = None) -> Column:
+    """The pages of a container in order: images that are no dot files and no resource forks; of a PDF, numbers."""
+    pages = F.filter(members_, lambda m: ~m["is_dir"] & is_page(m["name"]))
+    return pages if pdf is None else F.when(pdf, F.filter(members_, lambda m: m["name"].rlike("^[0-9]+$"))).otherwise(pages)
 
 
-def safe_target(folder: str, name: str) -> str:
-    """The place of a member below a folder; a name that leads out of it is an error."""
-    target = os.path.normpath(os.path.join(folder, name))
-    if os.path.isabs(name) or not target.startswith(os.path.normpath(folder) + os.sep):
-        raise ValueError(f"{name} leads out of {folder}")
-    return target
+def _document(source: str, fmt: Column | str, payload: Column) -> Column:
+    return F.struct(F.lit(source).alias("source"), (F.lit(fmt) if isinstance(fmt, str) else fmt).alias("fmt"), F.lit(0).alias("ordinal"), payload.alias("payload"))
 
 
-def rebuild_zip(data: bytes, documents: dict[str, str], comment: str | None = None) -> bytes:
-    """A zip with the members of a container, without its old metadata, and the new documents."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as target:
-        for _, _, _, name, _, modified, is_dir, body, error in read_members("x.cbz", data, True):
-            if error:
-                raise ValueError(error)
-            if is_dir or os.path.basename(name).lower() in METADATA_NAMES:
-                continue
-            info = zipfile.ZipInfo(name, modified.timetuple()[:6])
-            info.compress_type = zipfile.ZIP_STORED if name.lower().endswith(IMAGES) else zipfile.ZIP_DEFLATED
-            target.writestr(info, body, compresslevel=9)
-        for name, text in sorted(documents.items()):
-            target.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED, 9)
-        if comment:
-            target.comment = comment.encode()
-    return out.getvalue()
-
-
-def write_archives(rows: DataFrame, folder: str, dry_run: bool = False) -> DataFrame:
-    """Writes (path, content, documents map<string,string>) as zips to a mounted folder, one result row each.
-
-    A file is written beside its target and renamed, so a retried or doubled task leaves whole files only.  A
-    failure gives ``error`` and does not stop the others.
+def documents_of(page_lists: bool = False, extra: tuple[tuple[str, str, str], ...] = ()) -> Column:
+    """Array of the raw documents of a listing's row: members, comment, header, file name and ``extra`` ones (source, fmt, text) for all."""
+    found = [_document("archive_file", fmt, F.decode(shallowest(F.col("members"), name), "UTF-8")) for name, fmt in METADATA_NAMES.items()]
+    found.append(_document("archive_comment", "comic_book_info", F.col("comment")))
+    found.append(_document("archive_pdf", "mupdf", F.col("header")))
+    found.append(_document("archive_filename", "filename", F.element_at(F.split("path", "/"), -1)))
+    found += [_document(source, fmt, F.lit(text)) for source, fmt, text in extra]
+    if page_lists:
+        pages = page_members(F.col("members"), F.col("file_type") == "PDF")
+        sizes = F.to_json(F.struct(F.transform(pages, lambda m: F.coalesce(m["size"], F.lit(-1).cast("bigint"))).alias("sizes")))
+        found.append(_document("archive_pages", "page_list", F.when(F.col("error").isNull(), sizes)))
+    return F.filter(F.array(*found), lambda d: d["payload"].isNotNull())
+
+
+def metadata_documents(rows: DataFrame, page_lists: bool = False, extra: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
+    """Raw documents (path, source, fmt, ordinal, payload) of a listing.  ``page_lists`` adds one that counts the pages."""
+    return rows.select("path", F.explode(documents_of(page_lists, extra)).alias("d")).select("path", "d.source", "d.fmt", "d.ordinal", "d.payload")
+
+
+def latest_time() -> Column:
+    """Time of a listing's row: of its latest metadata member; with a comment or header, or without such a member, that of the file."""
+    times = F.transform(F.filter("members", lambda m: F.lower(F.element_at(F.split(m["name"], "/"), -1)).isin(*METADATA_NAMES)), lambda m: m["modified"])
+    return F.when(F.col("comment").isNotNull() | F.col("header").isNotNull(), F.col("modified")).otherwise(F.coalesce(F.array_max(times), F.col("modified")))
+
+
+def gated_documents(rows: DataFrame, old: DataFrame, page_lists: bool = False) -> DataFrame:
+    """Raw documents with modified, fresh and failed of their container, which is listed once.
+
+    ``old`` has path and old.  Of a container that is not newer, or cannot be read, there is one empty document.
     """
+    gate = rows.join(old, "path", "left").withColumn("latest", latest_time()).withColumn("fresh", F.col("latest") > F.coalesce("old", F.lit("1970-01-01").cast("timestamp")))
+    none = F.array(_document("archive_pages", "page_list", F.lit(None).cast("string")))
+    documents = F.when(F.col("fresh") & F.col("error").isNull(), documents_of(page_lists)).otherwise(none)
+    each = gate.select("path", F.col("latest").alias("modified"), "fresh", F.col("error").alias("failed"), F.explode(documents).alias("d"))
+    return each.select("path", "modified", "fresh", "failed", "d.source", "d.fmt", "d.ordinal", "d.payload")
 
-    def run(batches):
-        import uuid
 
+def pages(rows: DataFrame) -> DataFrame:
+    """Path, page (zero-based number), name, size and content of the pages of a listing."""
+    each = rows.select("path", F.posexplode(page_members(F.col("members"), F.col("file_type") == "PDF")).alias("page", "m"))
+    return each.select("path", "page", "m.name", "m.size", "m.content", "m.error")
+
+
+def take(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Path, page, name, content and error of the members that ``wanted`` (path, names) asks for; nothing else is decompressed."""
+
+    def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         for batch in batches:
-            done = []
-            for path, data, documents in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                try:
-                    body = rebuild_zip(data, dict(documents or {}))
-                    target = safe_target(folder, os.path.splitext(os.path.basename(path))[0] + ".cbz")
-                    if not dry_run:
-                        waiting = f"{target}.{uuid.uuid4().hex}"
-                        with open(waiting, "wb") as file:
-                            file.write(body)
-                        os.replace(waiting, target)
-                    done.append((path, None if dry_run else target, not dry_run, len(body), None))
-                except (ValueError, OSError, zipfile.BadZipFile) as fault:
-                    done.append((path, None, False, None, str(fault)))
-            columns = list(zip(*done, strict=True)) if done else [()] * 5
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "target", "written", "bytes", "error"])
-
-    return rows.select("path", "content", "documents").mapInArrow(run, "path string, target string, written boolean, bytes bigint, error string")
-
-
-def export(rows: DataFrame, folder: str, formats: list[str]) -> None:
-    """Rendered documents as text files, a folder for each format."""
-    for fmt in formats:
-        rows.select(fmt).where(F.col(fmt).isNotNull()).write.mode("overwrite").text(f"{folder}/fmt={fmt}")
+            for path, data, names in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                asked = {n: i for i, n in enumerate(names)}
+                _, _, _, error, rows = read_container(path, data.as_py(), asked.__contains__)
+                found = sorted((path, asked[r[0]], r[0], r[4], r[5]) for r in rows if r[0] in asked) or [(path, None, None, None, error or "no such members")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["path", "page", "name", "content", "error"])
+
+    return files.select("path", "content").join(wanted.select("path", "names"), "path").mapInArrow(run, "path string, page bigint, name string, content binary, error string")

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 from ..functions import identifiers as I
 from ..functions import numbers as N
 from ..functions import text as T
+from ..functions.constants import look_up
 from . import canonical as C
 
 #: Name of the root of the native documents.
@@ -171,13 +172,15 @@ def metron_info():
     ])
 
     def project(x: Column) -> Column:
-        series, publisher = x["Series"], x["Publisher"]
-        none = F.lit(None)
         # The primary source is found first; ids on nested elements are of that source
         by_name = {"comic vine": "comicvine", "grand comics database": "grandcomicsdatabase", "league of comic geeks": "leagueofcomicgeeks", "panel syndicate": "panelsyndicate", "amazon": "asin"}
-        source_of = lambda s: F.coalesce(*[F.when(F.lower(s) == n, F.lit(v)) for n, v in by_name.items()], I.source_of_alias(s))
-        rows = F.transform(x["IDS"]["ID"], lambda i: F.struct(source_of(i["_source"]).alias("source"), i["_VALUE"].alias("key"), (F.lower(i["_primary"]) == "true").alias("primary")))
-        primary = F.coalesce(F.get(F.filter(rows, lambda r: r["primary"]), F.lit(0))["source"], F.get(rows, F.lit(0))["source"], F.lit("metron"))
+        source_of = lambda s: F.coalesce(look_up(by_name, F.lower(s)), I.source_of_alias(s))
+        ids = F.transform(x["IDS"]["ID"], lambda i: F.struct(source_of(i["_source"]).alias("source"), i["_VALUE"].alias("key"), (F.lower(i["_primary"]) == "true").alias("primary")))
+        known = C.let(ids, lambda r: F.struct(r.alias("rows"), F.coalesce(F.get(F.filter(r, lambda i: i["primary"]), F.lit(0))["source"], F.get(r, F.lit(0))["source"], F.lit("metron")).alias("primary")))
+        return C.let(known, lambda k: body(x, k["rows"], k["primary"]))
+
+    def body(x: Column, rows: Column, primary: Column) -> Column:
+        series, publisher, none = x["Series"], x["Publisher"], F.lit(None)
         one_id = lambda kind, key: F.when(key.isNotNull(), F.create_map(primary, I.identifier(primary, F.lit(kind), key))).cast(C.IDS)
         explicit = F.transform(rows, lambda r: F.struct(r["source"].alias("k"), I.identifier(r["source"], F.lit("issue"), r["key"]).alias("v")))
         gtin = F.filter(F.array(*[F.struct(F.lit(s).alias("k"), I.identifier(F.lit(s), F.lit("issue"), x["GTIN"][t]).alias("v")) for s, t in (("isbn", "ISBN"), ("upc", "UPC"))]), lambda e: e["v"]["key"].isNotNull())
@@ -338,18 +341,35 @@ def native_yaml(payload: Column, root: str = NATIVE_ROOT) -> Column:
     return native_json(yaml_to_json(payload), root)
 
 
+def line_text(payload: Column, root: str = NATIVE_ROOT) -> Column:
+    """One line of YAML in braces and below its root, whether it was given so or not."""
+    braced = F.when(F.trim(payload).startswith("{"), payload).otherwise(F.concat(F.lit("{"), payload, F.lit("}")))
+    return F.when(braced.rlike(rf"^\s*\{{\s*['\"]?{root}['\"]?\s*:"), braced).otherwise(F.concat(F.lit(f"{{{root}: "), braced, F.lit("}")))
+
+
 def native_line(payload: Column, root: str = NATIVE_ROOT) -> Column:
     """One line of YAML, in braces or not, with its root or without."""
-    braced = F.when(F.trim(payload).startswith("{"), payload).otherwise(F.concat(F.lit("{"), payload, F.lit("}")))
-    rooted = F.when(braced.rlike(rf"^\s*\{{\s*['\"]?{root}['\"]?\s*:"), braced).otherwise(F.concat(F.lit(f"{{{root}: "), braced, F.lit("}")))
-    return native_yaml(rooted, root)
+    return native_yaml(line_text(payload, root), root)
+
+
+@once
+def page_list():
+    """The sizes of a container's pages, in order."""
+
+    def project(x: Column) -> Column:
+        kind = C.canonical_type()["pages"].dataType.valueType
+        page = lambda n: F.struct(*[(F.when(n >= 0, n) if f.name == "size" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+        pages = F.transform(x["sizes"], lambda n, i: F.struct(i.alias("k"), page(n).alias("v")))
+        return F.when(x["sizes"].isNotNull(), C.record(page_count=F.size(x["sizes"]), pages=C.to_map(pages, C.FIELDS["pages"])))
+
+    return lambda payload: F.from_json(payload, "sizes array<bigint>"), project
 
 
 Reader = Callable[[Column], Column]
 #: Format -> reader, in order of precedence within one source (the first wins).  Add to it to plug a format in.
 READERS: dict[str, Reader] = {
     "native_yaml": native_yaml, "native_json": native_json, "native_line": native_line, "metron_info": metron_info, "comic_info": comic_info, "comet": comet,
-    "comic_book_info": comic_book_info, "mupdf": mupdf, "pdf_xml": pdf_xml, "filename": filename,
+    "comic_book_info": comic_book_info, "mupdf": mupdf, "pdf_xml": pdf_xml, "filename": filename, "page_list": page_list,
 }
 # Order of precedence by source, the first wins.
 PRIORITIES = {
@@ -358,8 +378,10 @@ PRIORITIES = {
     "cli": ("native_line", "metron_info", "comic_info", "comic_book_info", "mupdf", "comet"),
     "api": ("native_line", "native_yaml", "native_json", "metron_info", "comic_info", "comic_book_info", "comet", "mupdf", "pdf_xml", "filename"),
 }
-#: Sources in order of precedence, the last wins.
-SOURCES = ("config", "archive_filename", "archive_comment", "archive_pdf", "archive_file", "import_file", "metron_api", "comicvine_api", "cli", "api")
+#: Sources in order of precedence, the last wins.  What a container's pages say stands above all.
+SOURCES = ("config", "archive_filename", "archive_comment", "archive_pdf", "archive_file", "import_file", "metron_api", "comicvine_api", "cli", "api", "archive_pages")
+#: Text that a format is read from as YAML; all others have readers of their own.
+YAML_TEXT: dict[str, Callable[[Column], Column]] = {"native_yaml": lambda payload: payload, "native_line": line_text}
 
 
 def guess_format(name: Column) -> Column:
@@ -373,38 +395,67 @@ def guess_format(name: Column) -> Column:
 
 
 def sniff_format(payload: Column) -> Column:
-    """format by content, where nothing else tells it."""
-    head = F.substring(F.trim(payload), 1, 4000)
+    """format by content, where nothing else tells it; comments and declarations before the root don't count."""
+    head = F.regexp_replace(F.trim(payload), r"^(?s)(?:\s|<\?.*?\?>|<!--.*?-->|<![^>]*>)+", "")
     return (
-        F.when(head.contains("<ComicInfo"), "comic_info").when(head.contains("<MetronInfo"), "metron_info").when(head.rlike(r"<comet[\s>]"), "comet").when(head.contains("x:xmpmeta") | head.contains("rdf:RDF"), "pdf_xml")
-        .when(head.contains('"ComicBookInfo/1.0"'), "comic_book_info").when(head.contains('"MuPDF"'), "mupdf").when(head.rlike(rf'^\{{\s*"{NATIVE_ROOT}"'), "native_json").when(head.rlike(rf"^{NATIVE_ROOT}:"), "native_yaml")
+        F.when(head.rlike(r"^<ComicInfo[\s>/]"), "comic_info").when(head.rlike(r"^<MetronInfo[\s>/]"), "metron_info").when(head.rlike(r"^<comet[\s>/]"), "comet").when(head.rlike(r"^<(?:x:xmpmeta|rdf:RDF)[\s>]"), "pdf_xml")
+        .when(head.contains('"ComicBookInfo/1.0"'), "comic_book_info").when(head.contains('"MuPDF"'), "mupdf").when(head.rlike(rf'^\{{\s*"{NATIVE_ROOT}"'), "native_json").when(head.rlike(rf"^(?:#.*\n|\s)*{NATIVE_ROOT}:"), "native_yaml")
         .when(head.startswith("{"), "native_line").when(~T.looks_like_document(payload), "filename")
     )
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def record_of(name: str, text: Column, column: str) -> Column:
+    """The record that a format's reader makes of a named column; built once in a session, as a reader takes thousands of calls."""
+    from pyspark import SparkContext
+
+    key = id(SparkContext._active_spark_context), name, READERS[name], column
+    if key not in _BUILT:
+        _BUILT[key] = READERS[name](text)
+    return _BUILT[key]
+
+
+def merge_rank(source: Column, fmt: Column) -> Column:
+    """place of a document in the merge, by source and then by format; later ones win."""
+    rank = F.lit(0)
+    for i, name in enumerate(SOURCES):
+        order = PRIORITIES.get(name, tuple(READERS))
+        table = {f: 1000 * (i + 1) + 100 - j for j, f in enumerate(order)}
+        rank = F.when(source == name, F.coalesce(look_up(table, fmt), F.lit(0))).otherwise(rank)
+    return rank
+
+
 def normalize(raw: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Rows (path, source, fmt, ordinal, payload) with their canonical ``record`` and merge ``rank``.
 
-    A format that is missing is guessed from the content.  Rows of each format are read by that format's
-    expression alone.  A payload that cannot be read gives a null record and an ``error``.
+    A format that is missing is guessed from the content.  All formats are read in one projection over one scan:
+    each row by its own format's expression, YAML after one pass through its parser.  A payload that cannot be
+    read gives a null record and an ``error``.
     """
     known = list(formats or READERS)
-    typed = raw.withColumn("fmt", F.coalesce("fmt", sniff_format(F.col("payload"))))
-    out = None
-    for name in known:
-        part = typed.where(F.col("fmt") == name).withColumn("record", READERS[name](F.col("payload")))
-        out = part if out is None else out.unionByName(part)
-    rank = F.lit(0)
-    for i, source in enumerate(SOURCES):
-        order = PRIORITIES.get(source, tuple(READERS))
-        for j, name in enumerate(order):
-            rank = F.when((F.col("source") == source) & (F.col("fmt") == name), F.lit(1000 * (i + 1) + 100 - j)).otherwise(rank)
-    return out.withColumn("rank", rank).withColumn("error", F.when(F.col("record").isNull(), F.concat(F.lit("cannot read "), "fmt")))
+    rows = raw.withColumn("fmt", F.coalesce("fmt", sniff_format(F.col("payload")))).where(F.col("fmt").isin(*known))
+    text, yaml = F.col("payload"), [f for f in known if f in YAML_TEXT]
+    if yaml:
+        as_yaml = F.lit(None).cast("string")
+        for name in yaml:
+            as_yaml = F.when(F.col("fmt") == name, YAML_TEXT[name](text)).otherwise(as_yaml)
+        rows = rows.withColumn("yaml_as_json", yaml_to_json(as_yaml))
+    record = F.lit(None).cast(C.DDL)
+    for name in reversed(known):
+        record = F.when(F.col("fmt") == name, record_of("native_json", F.col("yaml_as_json"), "yaml_as_json") if name in yaml else record_of(name, text, "payload")).otherwise(record)
+    rows = rows.withColumn("record", record).drop("yaml_as_json").withColumn("rank", merge_rank(F.col("source"), F.col("fmt")))
+    return rows.withColumn("error", F.when(F.col("record").isNull() & F.col("payload").isNotNull(), F.concat(F.lit("cannot read "), "fmt")))
 
 
 def to_native_json(record: Column, root: str = NATIVE_ROOT) -> Column:
-    """Native JSON without empty fields."""
-    return F.to_json(F.struct(record.alias(root)))
+    """Native JSON without empty fields; page numbers have the width of the greatest one."""
+    # as text, so that their order is that of the numbers
+    width = F.length(F.array_max(F.map_keys(record["pages"])).cast("string"))
+    pages = F.map_from_entries(F.transform(F.array_sort(F.map_entries(record["pages"])), lambda e: F.struct(F.lpad(e["key"].cast("string"), width, F.lit("0")).alias("key"), e["value"].alias("value"))))
+    kept = [(F.when(F.size(record["pages"]) > 0, pages) if n == "pages" else record[n]).alias(n) for n in C.FIELDS]
+    return F.to_json(F.struct(F.struct(*kept).alias(root)))
 
 
 def _names(value: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkfold import config
 from sparkfold.functions import similarity as S
 from sparkfold.operators import evaluate, lookup, match, merge, records, resolve, validate
-from sparkfold.sources import archives, documents
+from sparkfold.sources import archives, documents, sinks
 
 COMIC_INFO = """<?xml version="1.0"?><ComicInfo><Title>The Beginning; The End</Title><Series>Captain Science</Series><Number>1</Number><Count>7</Count><Volume>1950</Volume><Year>1950</Year><Month>11</Month><Day>1</Day>
 <Writer>Joe Orlando</Writer><Penciller>Wally Wood</Penciller><Inker>Wally Wood</Inker><Publisher>Youthful</Publisher><Genre>Science Fiction</Genre><Web>https://comicvine.gamespot.com/c/4000-145269/</Web><PageCount>5</PageCount>
@@ -78,22 +78,23 @@ def test_archives_are_read_and_written(spark, tmp_path):
     (tmp_path / "in" / "bad.cbz").write_bytes(b"PK\x03\x04broken")
     (tmp_path / "in" / "r.cbr").write_bytes(b"Rar!\x1a\x07\x00")
     members = archives.members(spark, f"file://{tmp_path}/in")
+    listing = archives.listing(spark, f"file://{tmp_path}/in")
     rows = members.collect()
     assert [r.name for r in rows if r.file_type == "CBZ" and not r.error] == ["__MACOSX/p3.jpg", "ComicInfo.xml", "deep/ComicInfo.xml", "P1.jpg", "p2.jpg"]
     assert sorted(r.path.rpartition("/")[2] for r in rows if r.error) == ["bad.cbz", "r.cbr"]
-    assert [(r.name, r.page) for r in archives.pages(members.where("file_type = 'CBZ' AND error IS NULL")).collect()] == [("P1.jpg", 0), ("p2.jpg", 1)]
-    raw = archives.metadata_documents(members)
+    assert [(r.name, r.page) for r in archives.pages(listing.where("file_type = 'CBZ'")).collect()] == [("P1.jpg", 0), ("p2.jpg", 1)]
+    raw = archives.metadata_documents(listing)
     top = raw.where("fmt = 'comic_info'").collect()
     assert len(top) == 1 and "Captain Science" in top[0].payload and raw.where("source = 'archive_comment'").count() == 1
     files = spark.read.format("binaryFile").load(f"file://{tmp_path}/in").where("path LIKE '%cbz'").select("path", "content", F.create_map(F.lit("ComicInfo.xml"), F.lit("<ComicInfo/>")).alias("documents"))
     (tmp_path / "out").mkdir()
-    done = {r.path.rpartition("/")[2]: r for r in archives.write_archives(files, str(tmp_path / "out")).collect()}
+    done = {r.path.rpartition("/")[2]: r for r in sinks.write_archives(files, str(tmp_path / "out"), f"file://{tmp_path}/in").collect()}
     assert sum(r.written for r in done.values()) == 1 and done["bad.cbz"].error
     written = next(p for p in (tmp_path / "out").iterdir())
     with zipfile.ZipFile(written) as z:
         assert sorted(z.namelist()) == ["ComicInfo.xml", "P1.jpg", "__MACOSX/p3.jpg", "p2.jpg"] and z.read("ComicInfo.xml") == b"<ComicInfo/>"
     with pytest.raises(ValueError):
-        archives.safe_target("/tmp/x", "../y")
+        sinks.safe_target("/tmp/x", "../y")
     spark.dataSource.register(archives.ArchiveSource)
     assert spark.read.format("archives").option("content", "false").load(str(tmp_path / "in")).where("error IS NULL").count() == 6
 
