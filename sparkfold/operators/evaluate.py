@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+from .lookup import small
+
 # Score bands of a report, limits of requests.
 BANDS = ((0.95, ">=0.95"), (0.85, "0.85-0.95"), (0.70, "0.70-0.85"), (0.50, "0.50-0.70"))
 RATE_TOLERANCE = 1.05
@@ -48,10 +51,27 @@ def run_estimate(rates: DataFrame, files: int, merge: bool) -> DataFrame:
     return cost.agg(f("requests").cast("bigint").alias("requests"), f("seconds").cast("bigint").alias("seconds"))
 
 
-def rate_failures(rows: DataFrame, source: str, time: str, cap: int) -> DataFrame:
-    """Minutes in which a source had more requests than the cap allows, with a tolerance."""
-    per_minute = rows.groupBy(source, F.date_trunc("minute", time).alias("minute")).agg(F.count("*").alias("n"))
-    return per_minute.where(F.col("n") > cap * RATE_TOLERANCE)
+def rate_failures(rows: DataFrame, source: str, time: str, cap: int, width: str = "minute") -> DataFrame:
+    """Minutes (or hours) in which a source had more requests than the cap allows, with a tolerance."""
+    counted = rows.groupBy(source, F.date_trunc(width, time).alias(width)).agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") > cap * RATE_TOLERANCE)
+
+
+def global_places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``place`` (from 1) of each row in a global order, without a window over all rows.
+
+    Rows are dealt out by ranges and sorted there, and stored, so that they are counted and numbered in one
+    arrangement; the rows before a partition are a running sum over one count for each partition.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    part = F.shiftright("m", 33)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()).write.parquet(folder)
+    marked = spark.read.parquet(folder)
+    # as many rows as there are partitions: a window and a broadcast of these alone
+    counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    placed = marked.withColumn("part", part).join(small(before), "part")
+    return placed.withColumn("place", F.col("m").bitwiseAND((1 << 33) - 1) + F.col("before") + 1).drop("m", "part", "before")
 
 
 def keep_cap(rows: DataFrame, keys: list[str], order: list[Column], cap: int) -> DataFrame:

@@ -20,6 +20,12 @@ def overlay_maps(base: Column, patch: Column) -> Column:
     return F.map_zip_with(F.coalesce(base, F.create_map().cast("map<string,string>")), F.coalesce(patch, F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
 
 
+def add_counters(a: Column, b: Column) -> Column:
+    """Sum of two maps of counts by key."""
+    none = F.create_map().cast("map<string,bigint>")
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
 def merge_values(base: Column, patch: Column, kind, mode: str = REPLACE) -> Column:
     """Merges two columns of the same type field by field.
 

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import ttl_seconds
 from ..operators import evaluate as E
+from ..operators import merge as M
+from ..operators import online as O
+from ..operators import records as R
+from ..operators import shape as H
 from .registry import query
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query(r"""SELECT page_id, CAST(count(*) FILTER (regexp_matches(h, '^/[a-z]')) AS BIGINT) AS kept, CAST(count(*) FILTER (NOT regexp_matches(h, '^/[a-z]')) AS BIGINT) AS ignored
-FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) GROUP BY page_id""")
+_MEMBER = "p_name || CASE p_size % 6 WHEN 0 THEN '.JPG' WHEN 1 THEN '.txt' WHEN 2 THEN '/.hidden.png' WHEN 3 THEN '/__MACOSX/a.png' WHEN 4 THEN '/b.Webp' ELSE '.xml' END"
+
+
+@query(f"SELECT p_brand, count(*) FILTER (p_size % 6 IN (0, 4)) AS kept, count(*) FILTER (p_size % 6 NOT IN (0, 4)) AS ignored, min({_MEMBER}) FILTER (p_size % 6 IN (0, 4)) AS first FROM part GROUP BY p_brand")
 def p08_member_filter(t):
-    links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("h"))
-    return links.groupBy("page_id").agg(F.count_if(F.col("h").rlike("^/[a-z]")).alias("kept"), F.count_if(~F.col("h").rlike("^/[a-z]")).alias("ignored"))
+    tails = F.array(*[F.lit(x) for x in (".JPG", ".txt", "/.hidden.png", "/__MACOSX/a.png", "/b.Webp", ".xml")])
+    name = F.concat("p_name", F.element_at(tails, F.col("p_size") % 6 + 1))
+    page = E.is_page(F.col("name"))
+    return t("part").select("p_brand", name.alias("name")).groupBy("p_brand").agg(F.count_if(page).alias("kept"), F.count_if(~page).alias("ignored"), F.min(F.when(page, F.col("name"))).alias("first"))
 
 
 @query("""SELECT doc_id, CAST(len(list_filter(list_transform(range(1, 7), lambda i: CASE i WHEN 1 THEN 'p/' || doc_id || '.JPG' WHEN 2 THEN '__MACOSX/a.png' WHEN 3 THEN 'p/.hidden.png' WHEN 4 THEN 'info.xml' WHEN 5 THEN 'b.webp' ELSE CASE WHEN doc_id % 2 = 0 THEN 'c.gif' ELSE 'c.txt' END END), lambda n: regexp_matches(n, '(?i)\\.(jpe?g|jxl|webp|png|gif|bmp|tiff?|avif|svg)$') AND NOT starts_with(string_split(n, '/')[-1], '.') AND NOT regexp_matches(n, '(^|/)__MACOSX(/|$)'))) AS INTEGER) AS pages FROM documents""".replace("\\\\", "\\"))
@@ -25,8 +34,7 @@ def a05_page_count(t):
 
 @query("SELECT user_id, max(CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-01-01' ELSE ts END) AS modified FROM events GROUP BY user_id")
 def a06_latest_time(t):
-    time = F.when(F.col("event_type") == "error", F.lit("2024-01-01").cast("timestamp_ntz")).otherwise(F.col("ts"))
-    return t("events").groupBy("user_id").agg(F.max(time).alias("modified"))
+    return O.latest_times(t("events"), "user_id", "ts", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("event_type") == "error")
 
 
 @query("SELECT coalesce(CAST(b AS VARCHAR), 'all') AS source, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + ", count(*) AS total FROM (SELECT *, user_id % 5 AS b FROM events) GROUP BY ROLLUP (b)")
@@ -37,8 +45,7 @@ def a07_outcome_counts(t):
 
 @query("SELECT count(*) FILTER (value > 20) AS parsed, count(*) FILTER (value <= 20 AND event_type <> 'error') AS short_circuited, count(*) FILTER (value <= 20 AND event_type = 'error') AS errored, count(*) AS total FROM events")
 def a08_batch_totals(t):
-    parsed, failed = F.col("value") > 20, F.col("event_type") == "error"
-    return t("events").agg(F.count_if(parsed).alias("parsed"), F.count_if(~parsed & ~failed).alias("short_circuited"), F.count_if(~parsed & failed).alias("errored"), F.count("*").alias("total"))
+    return O.batch_totals(t("events"), F.col("value") > 20, F.col("event_type") == "error")
 
 
 @query("""SELECT event_type, band, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok) AS wrong, round(count(*) FILTER (ok) / count(*), 6) AS accuracy FROM (
@@ -55,38 +62,39 @@ def a10_sum_calls(t):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def a11_outcome_buckets(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return O.bucket_counts(t("events"), F.col("event_type"))
 
 
 @query("SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS price, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
 def a12_representative(t):
-    return t("orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("price"), F.min("o_orderkey").alias("o_orderkey"))
+    return M.first_by(t("orders"), ["o_custkey"], "o_orderkey", ["o_totalprice", "o_orderkey"]).withColumnRenamed("o_totalprice", "price")
 
 
 @query("SELECT regexp_extract(url, '^([^0-9]*)', 1) AS prefix, min(page_id) AS page_id FROM pages GROUP BY 1")
 def a13_first_of_prefix(t):
-    return t("pages").groupBy(F.regexp_extract("url", "^([^0-9]*)", 1).alias("prefix")).agg(F.min("page_id").alias("page_id"))
+    return O.first_of_prefix(t("pages"), "url", "^([^0-9]*)", "page_id")
 
 
 @query("SELECT CAST(year(o_orderdate) // 10 * 10 AS VARCHAR) || 's' AS decade, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def a14_bucket_counts(t):
-    return t("orders").groupBy(F.concat((F.floor(F.year("o_orderdate") / 10) * 10).cast("string"), F.lit("s")).alias("decade"), "o_orderpriority").agg(F.count("*").alias("n"))
+    return O.bucket_counts(t("orders"), O.decade(F.col("o_orderdate")).alias("decade"), F.col("o_orderpriority"))
 
 
-@query("SELECT o_orderstatus AS person, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS roles FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus AS person, string_agg(DISTINCT r, '|' ORDER BY r) AS roles FROM (SELECT o_orderstatus, CASE o_orderpriority WHEN '1-URGENT' THEN 'Penciller' WHEN '2-HIGH' THEN 'Penciller' ELSE o_orderpriority END AS r FROM orders) GROUP BY o_orderstatus")
 def a15_credits(t):
-    return t("orders").groupBy(F.col("o_orderstatus").alias("person")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("roles"))
+    role = F.when(F.col("o_orderpriority") == "1-URGENT", "penciler").when(F.col("o_orderpriority") == "2-HIGH", "Penciller").otherwise(F.col("o_orderpriority"))
+    found = H.credits(t("orders").withColumn("role", role), "o_orderstatus", "role")
+    return found.select("person", F.array_join("roles", "|").alias("roles"))
 
 
 @query("SELECT DISTINCT o_orderstatus AS person, o_orderpriority AS role FROM orders")
 def a16_credit_rows(t):
-    credits = t("orders").groupBy("o_orderstatus").agg(F.collect_set("o_orderpriority").alias("roles"))
-    return credits.select(F.col("o_orderstatus").alias("person"), F.explode("roles").alias("role"))
+    return H.credit_rows(H.credits(t("orders"), "o_orderstatus", "o_orderpriority"))
 
 
 @query("SELECT source, lower(lang) AS name, min(doc_id) AS doc_id FROM documents WHERE lower(lang) <> 'en' GROUP BY ALL")
 def a18_alternative_names(t):
-    return t("documents").where(F.lower("lang") != "en").groupBy("source", F.lower("lang").alias("name")).agg(F.min("doc_id").alias("doc_id"))
+    return O.alternative_names(t("documents"), ["source"], "lang", F.lit("EN"), "doc_id")
 
 
 @query("SELECT CAST(sum((r_regionkey + 1) * 300) AS BIGINT) AS requests, CAST(sum(ceil((r_regionkey + 1) * 300 * 60 / (20 - r_regionkey))) AS BIGINT) AS seconds FROM region")
@@ -119,23 +127,18 @@ def a23_prices(t):
 FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)""")
 def a24_log_counters(t):
     lines = t("documents").select(F.explode(F.split("text", "\n", -1)).alias("l"))
-    return lines.agg(F.count_if(F.col("l").rlike(r"(?i)\bthe\b")).alias("retries"), F.count_if(F.col("l").rlike(r"(?i)\band\b") & ~F.col("l").contains("thin")).alias("warnings"), F.count_if(F.col("l").rlike(r"^[A-Z][a-z]+\.$")).alias("errors"), F.count("*").alias("lines"))
+    return O.log_counters(lines, "l", r"(?i)\bthe\b", r"(?i)\band\b", "thin", r"^[A-Z][a-z]+\.$")
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 5 * 1.05")
 def a25_rate_compliance(t):
-    per_hour = t("events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
-    return per_hour.where(F.col("n") > 5 * E.RATE_TOLERANCE)
+    return E.rate_failures(t("events"), "event_type", "ts", 5, "hour").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("SELECT page_id, CAST(row_number() OVER (ORDER BY lower(url), url, page_id) AS INTEGER) AS place FROM pages")
 def s07_member_listing(t):
-    """Global order by range partitions: each row's place is its rank in its partition plus the sizes of those before."""
-    sorted_rows = t("pages").select("page_id", F.lower("url").alias("k"), "url").repartitionByRange("k", "url", "page_id").sortWithinPartitions("k", "url", "page_id")
-    marked = sorted_rows.select("page_id", F.monotonically_increasing_id().alias("m"))
-    parts = marked.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count("*").alias("n"))
-    before = parts.alias("a").join(parts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return marked.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(before), "part").select("page_id", (F.col("m").bitwiseAND((1 << 33) - 1) + F.col("before") + 1).cast("int").alias("place"))
+    """Places in the global order without regard to case."""
+    return E.global_places(t("pages").select("page_id", F.lower("url").alias("k"), "url"), ["k", "url", "page_id"]).select("page_id", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, arg_min(url, (length(url) - length(replace(url, '/', '')), lower(url), url)) AS url FROM pages GROUP BY 1")
@@ -145,19 +148,24 @@ def s17_shallowest_member(t):
 
 @query("SELECT event_id, CASE WHEN ts > old THEN value END AS value FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS old FROM events)")
 def s23_time_gate(t):
-    events = t("events")
-    old = events.groupBy("user_id").agg(F.min("ts").alias("old"))
-    return events.join(old, "user_id", "left").select("event_id", F.when(F.col("ts") > F.coalesce("old", F.lit("1970-01-01").cast("timestamp_ntz")), F.col("value")).alias("value"))
+    events = t("events").withColumn("modified", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "path")
+    gate = R.fresh_paths(events, events.groupBy("path").agg(F.min("modified").alias("old")))
+    return gate.select("event_id", F.when(F.col("fresh"), F.col("value")).alias("value"))
 
 
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS fetched FROM events GROUP BY ALL")
 def s25_keyed_upsert(t):
-    return t("events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("fetched"))
+    return O.keyed_upsert(t("events"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "ts"]).withColumnRenamed("ts", "fetched")
 
 
-@query("SELECT event_id, value FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+@query("""SELECT mode, event_id, value FROM events, (VALUES ('on'), ('off'), ('refresh')) m(mode) WHERE mode = 'on' AND ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
 def s24_response_cache(t):
-    return t("events").where(F.col("ts") > F.lit("2024-01-24").cast("timestamp_ntz")).select("event_id", "value")
+    """The cache is as old as its latest response; switched off or refreshed it gives none."""
+    events = t("events")
+    latest = events.agg(F.max("ts").cast("timestamp").alias("now"))
+    rows = events.withColumn("at", F.col("ts").cast("timestamp")).join(F.broadcast(latest))  # one row
+    parts = [O.cached_responses(rows, F.col("now"), ttl_seconds("7d"), mode, "at").select(F.lit(mode).alias("mode"), "event_id", "value") for mode in ("on", "off", "refresh")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT l_orderkey, array_to_string(list_slice(list(l_partkey ORDER BY l_linenumber, l_partkey), 2, 4), ',') AS pages FROM lineitem GROUP BY l_orderkey")
@@ -167,11 +175,13 @@ def k09_page_range(t):
     return members.select("l_orderkey", F.array_join(pages, ",").alias("pages"))
 
 
-@query("SELECT event_id, concat_ws('|', lower(event_type), year(ts), user_id % 3) AS fingerprint FROM events")
+@query("SELECT event_id, lower(event_type) || '|' || coalesce(CAST(CASE WHEN event_id % 3 > 0 THEN year(ts) END AS VARCHAR), '') || '|' || user_id % 3 AS fingerprint FROM events")
 def m15_series_fingerprint(t):
-    return t("events").select("event_id", F.concat_ws("|", F.lower("event_type"), F.year("ts"), F.col("user_id") % 3).alias("fingerprint"))
+    year = F.when(F.col("event_id") % 3 > 0, F.year("ts"))
+    return t("events").select("event_id", O.series_fingerprint(F.col("event_type"), year, F.col("user_id") % 3).alias("fingerprint"))
 
 
-@query("SELECT o_custkey, string_agg(DISTINCT CAST(o_orderkey % 7 AS VARCHAR), ',' ORDER BY CAST(o_orderkey % 7 AS VARCHAR)) AS fingerprint FROM orders GROUP BY o_custkey")
+@query("""SELECT o_custkey, string_agg(DISTINCT v, ',' ORDER BY v) AS fingerprint FROM (SELECT o_custkey, CAST(CASE WHEN o_custkey % 4 > 0 THEN o_orderkey % 7 ELSE o_orderkey END AS VARCHAR) AS v FROM orders) GROUP BY o_custkey""")
 def m16_prompt_fingerprint(t):
-    return t("orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set((F.col("o_orderkey") % 7).cast("string"))), ",").alias("fingerprint"))
+    rows = t("orders").select("o_custkey", F.when(F.col("o_custkey") % 4 > 0, F.col("o_orderkey") % 7).alias("volume"), "o_orderkey")
+    return O.prompt_fingerprints(rows, ["o_custkey"], "volume", "o_orderkey")

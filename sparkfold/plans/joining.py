@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as I
 from ..operators import lookup as L
 from ..operators import merge as M
+from ..operators import online as O
+from ..operators import records as R
 from .registry import query
 
 
@@ -33,9 +35,8 @@ def j05_role_expansion(t):
 
 @query("SELECT e.event_id, e.ts > coalesce(o.old, TIMESTAMP '1970-01-01') AS fresh FROM events e LEFT JOIN (SELECT user_id, min(ts) AS old FROM events WHERE user_id % 3 > 0 GROUP BY user_id) o USING (user_id)")
 def j06_old_time_default(t):
-    events = t("events")
-    old = events.where("user_id % 3 > 0").groupBy("user_id").agg(F.min("ts").alias("old"))
-    return events.join(old, "user_id", "left").select("event_id", (F.col("ts") > F.coalesce("old", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("fresh"))
+    events = t("events").select("event_id", F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("modified"))
+    return R.fresh_paths(events, events.where("path % 3 > 0").groupBy("path").agg(F.min("modified").alias("old"))).select("event_id", "fresh")
 
 
 @query("""WITH a AS (SELECT p_partkey FROM part WHERE p_size < 20), b AS (SELECT p_partkey FROM part WHERE p_size BETWEEN 15 AND 30)
@@ -45,12 +46,15 @@ def j07_union_without(t):
     return L.union_without(part.where("p_size < 20").select("p_partkey"), part.where("p_size BETWEEN 15 AND 30").select("p_partkey"), ["p_partkey"])
 
 
-@query("""WITH f AS (SELECT *, lower(o_orderstatus) || '|' || year(o_orderdate) || '|' || lower(o_orderpriority) AS fp FROM orders), c AS (SELECT fp, min(o_orderkey) AS volume FROM f GROUP BY fp)
-SELECT o_orderkey, volume, o_orderkey = volume AS first FROM f JOIN c USING (fp)""")
+@query("""WITH f AS (SELECT *, lower(o_orderstatus) || '|' || year(o_orderdate) || '|' || lower(o_orderpriority) AS fp, o_orderkey % 5 AS number FROM orders), c AS (SELECT fp, arg_min(o_custkey % 10, o_orderkey) AS volume_id FROM f GROUP BY fp)
+SELECT o_orderkey, volume_id, issue_id FROM f JOIN c USING (fp) JOIN (SELECT volume_id AS v, number, volume_id * 100 + number AS issue_id FROM (SELECT DISTINCT o_custkey % 10 AS volume_id FROM orders), (SELECT DISTINCT o_orderkey % 5 AS number FROM orders) WHERE number <> 3) k ON k.v = volume_id AND k.number = f.number""")
 def j08_series_cache(t):
-    keyed = t("orders").withColumn("fp", F.concat_ws("|", F.lower("o_orderstatus"), F.year("o_orderdate"), F.lower("o_orderpriority")))
-    cache = keyed.groupBy("fp").agg(F.min("o_orderkey").alias("volume"))
-    return keyed.join(cache, "fp").select("o_orderkey", "volume", (F.col("o_orderkey") == F.col("volume")).alias("first"))
+    orders = t("orders")
+    people = orders.select("o_orderkey", O.series_fingerprint(F.col("o_orderstatus"), F.year("o_orderdate"), F.col("o_orderpriority")).alias("fingerprint"), (F.col("o_orderkey") % 5).alias("issue"), (F.col("o_custkey") % 10).alias("volume_id"))
+    volumes, numbers = people.select("volume_id").distinct(), people.where("issue <> 3").select("issue").distinct()
+    catalog = volumes.join(F.broadcast(numbers)).withColumn("issue_id", F.col("volume_id") * 100 + F.col("issue"))  # ten volumes of four issues
+    cache = O.first_volumes(people, "fingerprint", "volume_id", "o_orderkey")
+    return O.through_series_cache(people.drop("volume_id"), cache, catalog).select("o_orderkey", "volume_id", "issue_id")
 
 
 @query("""SELECT l_orderkey, arg_min(CAST(l_suppkey AS BIGINT), (l_linenumber, l_suppkey)) AS id FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY l_orderkey""")
@@ -59,9 +63,12 @@ def j09_stored_identifier(t):
     return L.stored_identifier(rows, ["l_orderkey"], "text", "rank")
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(lower(text))")
-def j10_distinct_folded(t):
-    return t("documents").groupBy(F.md5(F.lower("text")).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
+@query("""SELECT o_custkey, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS entries FROM orders GROUP BY o_custkey""")
+def j10_consolidation(t):
+    """Entries that contradict each other in nothing but case, or lack what the other has, are one."""
+    entry = F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.upper("o_orderpriority")).otherwise(F.lower("o_orderpriority")).alias("series"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("x")).alias("language"))
+    rows = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", entry.alias("e")))).alias("m"))
+    return rows.select("o_custkey", F.size(L.consolidate(F.transform("m", lambda x: x["e"]), ["series", "language"])).alias("entries"))
 
 
 @query("""SELECT change, count(*) AS n FROM (SELECT CASE WHEN toxic > quality THEN 'WIN' WHEN toxic < quality THEN 'REGRESS' ELSE 'NEUTRAL' END AS change FROM labels) GROUP BY change""")
@@ -93,14 +100,13 @@ def j14_zip_outer(t):
 @query("SELECT s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> n_regionkey")
 def j15_disagreement(t):
     nation = L.small(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"))
-    return t("supplier").join(nation, "s_nationkey").where("s_suppkey % 5 <> n_regionkey").select("s_suppkey", "n_regionkey")
+    return O.disagreements(t("supplier").withColumn("ours", F.col("s_suppkey") % 5), nation, "s_nationkey", "ours", "n_regionkey").select("s_suppkey", "n_regionkey")
 
 
 @query("SELECT doc_id, 'miss' AS part FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) UNION ALL SELECT doc_id, 'todo' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j17_misses_and_todo(t):
     docs, labels = t("documents").select("doc_id"), t("labels")
-    misses = docs.join(labels.where("quality = 0"), "doc_id", "left_semi").withColumn("part", F.lit("miss"))
-    return misses.unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("part", F.lit("todo")))
+    return O.misses(docs, labels, "doc_id", F.col("quality") == 0).withColumn("part", F.lit("miss")).unionByName(O.still_to_do(docs, labels, "doc_id").withColumn("part", F.lit("todo")))
 
 
 @query("""SELECT o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b USING (o_custkey)
@@ -132,10 +138,9 @@ def w08_first_writer_wins(t):
     return M.first_by(t("orders"), ["o_custkey"], "o_orderkey", ["o_orderkey", "o_orderpriority"]).select("o_custkey", F.col("o_orderkey").alias("volume"), F.col("o_orderpriority").alias("priority"))
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS only_documents, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS only_labels")
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id + 5 FROM labels) UNION ALL SELECT doc_id + 5, 'right' FROM labels WHERE doc_id + 5 NOT IN (SELECT doc_id FROM documents)")
 def u04_key_difference(t):
-    both = t("documents").select("doc_id", F.lit(1).alias("d")).join(t("labels").select("doc_id", F.lit(1).alias("l")), "doc_id", "full_outer")
-    return both.agg(F.count_if(F.col("l").isNull()).alias("only_documents"), F.count_if(F.col("d").isNull()).alias("only_labels"))
+    return O.key_differences(t("documents"), t("labels").withColumn("doc_id", F.col("doc_id") + 5), "doc_id")
 
 
 @query("WITH a AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, event_type FROM events WHERE event_id % 3 = 0) SELECT * FROM a UNION SELECT * FROM b")

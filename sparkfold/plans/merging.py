@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
+from ..operators import shape as H
 from .registry import query
 
 
@@ -22,10 +23,7 @@ def a02_additive_merge(t):
     def counter(part):
         return events.where(F.col("event_id") % 2 == part).groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias(f"c{part}"))
 
-    none = F.create_map().cast("map<string,bigint>")
-    both = counter(0).join(counter(1), "user_id", "full_outer")
-    added = F.map_zip_with(F.coalesce("c0", none), F.coalesce("c1", none), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    both = both.select("user_id", added.alias("c"))
+    both = counter(0).join(counter(1), "user_id", "full_outer").select("user_id", M.add_counters(F.col("c0"), F.col("c1")).alias("c"))
     entries = F.array_sort(F.transform(F.map_entries("c"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
     total = F.aggregate(F.map_values("c"), F.lit(0).cast("bigint"), lambda s, v: s + v)
     return both.select("user_id", total.alias("total"), F.size("c").cast("bigint").alias("kinds"), F.array_join(entries, ",").alias("counter"))
@@ -104,7 +102,7 @@ def u01_set_union(t):
 @query("""SELECT user_id, len(list_intersect(a, b)) > 0 AS overlaps FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 0), []) AS a, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 1), []) AS b FROM events GROUP BY user_id)""")
 def u02_set_overlap(t):
     sets = t("events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("event_id") % 2 == 1, F.col("event_type"))).alias("b"))
-    return sets.select("user_id", F.arrays_overlap("a", "b").alias("overlaps"))
+    return sets.select("user_id", H.share_any(F.col("a"), F.col("b")).alias("overlaps"))
 
 
 @query("""SELECT user_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared, array_to_string(list_sort(list_intersect(a, b)), ',') AS kinds FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 0), []) AS a, coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 1), []) AS b FROM events GROUP BY user_id)""")
@@ -117,4 +115,4 @@ def u03_set_intersection(t):
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
 def u07_ordered_distinct(t):
     turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    return turns.select("conv_id", F.array_join(F.array_distinct(F.transform("turns", lambda x: x["role"])), ",").alias("roles"))
+    return turns.select("conv_id", F.array_join(H.distinct_in_order(F.transform("turns", lambda x: x["role"])), ",").alias("roles"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as I
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import shape as H
 from .registry import query
 
 
@@ -199,21 +200,19 @@ def x35_source_rank(t):
 @query("SELECT p_partkey, p_size AS number, CASE WHEN p_size % 2 = 0 THEN p_size + 3 END AS number_to, CASE WHEN p_size % 2 = 0 THEN p_size || '-' || (p_size + 3) ELSE CAST(p_size AS VARCHAR) END AS text FROM part")
 def x39_volume_range(t):
     text = F.when(F.col("p_size") % 2 == 0, F.concat_ws("-", "p_size", F.col("p_size") + 3)).otherwise(F.col("p_size").cast("string"))
-    parts = F.split(text, "-")
-    number, to = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
-    return t("part").select("p_partkey", number.alias("number"), to.alias("number_to"), F.concat_ws("-", number, to).alias("text"))
+    number, to = H.volume_range(text)
+    return t("part").select("p_partkey", number.alias("number"), to.alias("number_to"), H.volume_text(number, to).alias("text"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE coalesce(year(o_orderdate) <= 1996 + o_custkey % 3, true)")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE coalesce(year(o_orderdate) <= 1996 + CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 3 END, true)")
 def p11_causality_filter(t):
-    start, year = F.year("o_orderdate"), 1995 + F.col("o_custkey") % 3
-    return t("orders").where(F.coalesce(start <= year + 1, F.lit(True))).select("o_orderkey", "o_totalprice")
+    year = F.when(F.col("o_custkey") % 7 > 0, 1995 + F.col("o_custkey") % 3)
+    return t("orders").where(H.predates(F.year("o_orderdate"), year)).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT c_custkey, CASE WHEN v NOT BETWEEN 1900 AND 2100 THEN v END AS volume FROM (SELECT c_custkey, c_custkey * 3 AS v FROM customer)")
 def p17_year_shaped_volume(t):
-    value = F.col("c_custkey") * 3
-    return t("customer").select("c_custkey", F.when(~value.between(1900, 2100), value).alias("volume"))
+    return t("customer").select("c_custkey", H.real_volume(F.col("c_custkey") * 3).alias("volume"))
 
 
 @query("SELECT c_custkey, array_to_string(list_filter([nullif(c_mktsegment, 'BUILDING'), CAST(c_nationkey AS VARCHAR), ''], lambda x: x IS NOT NULL AND x <> ''), '|') AS kept FROM customer")
@@ -224,5 +223,5 @@ def p06_prune_empty(t):
 
 @query("SELECT c_custkey, nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, '') AS name, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, ''), c_mktsegment) AS label FROM customer")
 def p02_skip_empty_coalesce(t):
-    name = F.nullif(F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.col("c_name")), F.lit(""))
-    return t("customer").select("c_custkey", name.alias("name"), F.coalesce(name, "c_mktsegment").alias("label"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.col("c_name"))
+    return t("customer").select("c_custkey", H.nonempty(name).alias("name"), H.first_nonempty(name, F.col("c_mktsegment")).alias("label"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import online as O
+from ..operators import shape as H
 from .registry import query
 
 
@@ -29,7 +31,8 @@ def w09_rolling_mean(t):
 
 @query("SELECT p_type, string_agg(p_brand || ':' || p_size, ',' ORDER BY p_brand, p_size) AS parts FROM (SELECT DISTINCT p_type, p_brand, p_size FROM part) GROUP BY p_type")
 def l03_multi_key_sort(t):
-    parts = t("part").select("p_type", "p_brand", "p_size").distinct().groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_brand", "p_size"))).alias("m"))
+    size = F.lpad("p_size", 3, "0")
+    parts = t("part").groupBy("p_type").agg(H.sorted_list(F.collect_list(F.struct("p_brand", "p_size", size.alias("k"))), ("p_brand", "k")).alias("m"))
     return parts.select("p_type", F.array_join(F.transform("m", lambda x: F.concat(x["p_brand"], F.lit(":"), x["p_size"].cast("string"))), ",").alias("parts"))
 
 
@@ -45,9 +48,10 @@ def l04_cap_minimal(t):
 
 @query("SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CASE WHEN c_custkey % 10 = 0 THEN '~' ELSE lower(c_mktsegment) END, c_custkey) AS cluster FROM customer GROUP BY c_nationkey")
 def l05_cluster_sort(t):
-    key = F.when(F.col("c_custkey") % 10 == 0, F.lit("~")).otherwise(F.lower("c_mktsegment"))
-    rows = t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "c_custkey"))).alias("m"))
-    return rows.select("c_nationkey", F.array_join(F.transform("m", lambda x: x["c_custkey"].cast("string")), ",").alias("cluster"))
+    series = F.when(F.col("c_custkey") % 10 > 0, F.col("c_mktsegment"))
+    key = O.cluster_order(series, F.lit(None).cast("int"), F.col("c_custkey"))
+    rows = t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(key)).alias("m"))
+    return rows.select("c_nationkey", F.array_join(F.transform("m", lambda x: x["id"].cast("string")), ",").alias("cluster"))
 
 
 @query("SELECT o_custkey, array_to_string(list_slice(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_totalprice DESC, o_orderkey), 1, 3), ',') AS top FROM orders GROUP BY o_custkey")
