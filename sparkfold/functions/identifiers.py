@@ -83,7 +83,7 @@ def url_type_and_key(source: Column, path: Column) -> Column:
         pattern = f"(?i){pattern}"
         word, key = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
         words = URLS[name][2]
-        kind = _cases({w: t for t, w in words.items()}, word, F.lit(next(iter(words))))
+        kind = _cases({w.lower(): t for t, w in words.items()}, F.lower(word), F.lit(next(iter(words))))
         out = F.when((source == name) & (key != ""), F.struct(kind.alias("type"), key.alias("key"))).otherwise(out)
     return out
 

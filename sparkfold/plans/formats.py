@@ -73,15 +73,7 @@ def f07_looks_like_document(t):
     return t("part").select("p_partkey", T.looks_like_document(text).alias("document"))
 
 
-@query()
-def f03_yaml_documents(t):
-    """YAML has no counterpart in SQL; a test holds it against the JSON reader."""
-    payload = F.concat(F.lit(f"{D.NATIVE_ROOT}:\n  series:\n    name: "), "p_name", F.lit("\n  page_count: "), "p_size")
-    r = t("part").select("p_partkey", D.native_yaml(payload).alias("r"))
-    return r.select("p_partkey", F.col("r.series.name").alias("series"), F.col("r.page_count").alias("pages"))
-
-
-@query()
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, upper(p_name) AS series, CAST(p_size AS DOUBLE) AS issue, 'cbz' AS ext, p_type AS title FROM part")
 def lifecycle(t):
     """Whole records: JSON and XML documents and file names are read, merged and derived."""
     names = t("part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("archive_filename").alias("source"), F.lit("filename").alias("fmt"), F.lit(0).alias("ordinal"), F.concat("p_name", F.lit(" #00"), "p_size", F.lit(".cbz")).alias("payload"))

@@ -59,9 +59,11 @@ def x09_normalize_publisher(t):
     return t("part").select("p_partkey", T.normalize_publisher(F.concat("p_brand", F.lit(" Comics, Inc. "), "p_type")).alias("publisher"))
 
 
-@query(r"SELECT p_partkey, trim(regexp_replace(p_name || ' (19' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '–2001) x', '\s*\(\d{4}(?:\s*[-–]\s*(?:\d{4})?)?\)', '', 'g')) AS name FROM part")
+@query("SELECT p_partkey, p_name || CASE p_size % 4 WHEN 0 THEN ' x' WHEN 1 THEN ' x' WHEN 2 THEN ' (1990-) x' ELSE ' (v2) x' END AS name FROM part")
 def x10_strip_years(t):
-    return t("part").select("p_partkey", T.strip_years(F.concat("p_name", F.lit(" (19"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("–2001) x"))).alias("name"))
+    """Years and ranges of years go, with spaces around them; an open range and other parentheses stay."""
+    years = F.element_at(F.array(*[F.lit(x) for x in (" ( 1990 ) x", " (1990 – 2001) x", " (1990-) x", " (v2) x")]), F.col("p_size") % 4 + 1)
+    return t("part").select("p_partkey", T.strip_years(F.concat("p_name", years)).alias("name"))
 
 
 @query(r"SELECT p_partkey, array_to_string(list_sort(list_distinct([lower(v), replace(lower(v), ' ', ''), regexp_replace(lower(v), '[^a-z0-9]', '', 'g')])), '|') AS keys FROM (SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN '-X' ELSE '' END AS v FROM part)")
@@ -146,9 +148,10 @@ def x27_parse_url(t):
 
 @query("SELECT p_partkey, s AS source, 'issue' AS type, CAST(p_partkey AS VARCHAR) AS key FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'metron' WHEN 1 THEN 'comicvine' WHEN 2 THEN 'grandcomicsdatabase' WHEN 3 THEN 'marvel' ELSE 'upc' END AS s FROM part)")
 def x28_url_type_and_key(t):
+    """Every third path is in capitals."""
     source = F.element_at(F.array(*[F.lit(s) for s in ("metron", "comicvine", "grandcomicsdatabase", "marvel", "upc")]), F.col("p_size") % 5 + 1)
-    url = I.url_of(source, F.lit("issue"), F.col("p_partkey").cast("string"))
-    found = I.url_type_and_key(source, F.try_parse_url(url, F.lit("PATH")))
+    path = F.try_parse_url(I.url_of(source, F.lit("issue"), F.col("p_partkey").cast("string")), F.lit("PATH"))
+    found = I.url_type_and_key(source, F.when(F.col("p_partkey") % 3 == 0, F.upper(path)).otherwise(path))
     return t("part").select("p_partkey", source.alias("source"), found["type"].alias("type"), found["key"].alias("key"))
 
 
