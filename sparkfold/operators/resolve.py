@@ -28,8 +28,8 @@ def profiles(records: DataFrame, key: str = "path", record: str = "record") -> D
     )
 
 
-#: Words of a series that a profile is looked up by: its rarest ones in the catalog.
-WORDS = 3
+#: Words of a series that a profile is looked up by: its rarest ones in the catalog, none of them this many times as frequent as the rarest.
+WORDS, TIMES = 3, 100
 
 
 def _blocks(word: str, issue: Column, have: Column) -> Column:
@@ -45,9 +45,9 @@ def candidates(people: DataFrame, catalog: DataFrame, key: str = "path", effort:
     """Pairs by blocking on a word of the series and the issue, narrowed by year and name.
 
     A profile meets the offers that share one of its WORDS rarest series words (by their number in the catalog) and
-    its issue, or have no issue; without an issue of its own it meets all issues of such series.  A profile
-    without a series meets the offers of its issue and year, of what it knows of them.  So no block is shared by
-    all, and a frequent word alone makes no pairs.  A volume that starts after the year is out.  Names are
+    its issue, or have no issue; without an issue of its own it meets all issues of such series.  A word that is
+    TIMES as frequent as the rarest one is left out, so frequent words make no pairs beside rare ones.  A profile
+    without a series meets the offers of its issue and year, of what it knows of them.  A volume that starts after the year is out.  Names are
     compared once per distinct pair.
     """
     offers = catalog.select([F.col(c).alias(f"c_{c}") for c in catalog.columns])
@@ -63,7 +63,8 @@ def candidates(people: DataFrame, catalog: DataFrame, key: str = "path", effort:
     s_issue = _issue_key(F.col("issue"))
     words = seekers.select(key, s_issue.alias("i"), F.explode(F.array_distinct(F.filter(F.split(T.normalize_series(F.col("series")), " "), lambda w: w != ""))).alias("word"))
     often = offers.select(F.explode(o_words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    rarest = words.join(often, "word").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("n", "word"))).where(F.col("r") <= WORDS)
+    order = Window.partitionBy(key).orderBy("n", "word")
+    rarest = words.join(often, "word").withColumns({"r": F.row_number().over(order), "least": F.first("n").over(order)}).where((F.col("r") <= WORDS) & (F.col("n") <= TIMES * F.col("least")))
     has = blank(F.col("i")) != ""
     asked = F.when(has, F.array(F.col("i"), F.lit("?"))).otherwise(F.array(F.lit("*")))
     named = rarest.select(key, F.explode(F.transform(asked, lambda i: F.concat_ws("|", F.lit("w"), F.col("word"), i))).alias("block"))

@@ -133,10 +133,9 @@ def test_command_line(spark, folder, tmp_path, capsys):
 def test_a_skewed_catalog_makes_few_pairs(spark):
     """Thousands of first issues: a profile meets those that share a rare word of its series."""
     catalog = spark.range(4000).selectExpr("id AS issue_id", "concat('The Series ', hex(id)) AS series", "'1' AS issue", "1990 AS year", "CAST(NULL AS string) AS publisher", "CAST(NULL AS int) AS pages", "id AS volume")
-    people = spark.range(0, 4000, 40).selectExpr("CAST(id AS string) AS path", "concat('Series ', hex(id)) AS series", "'1' AS issue", "1L AS issue_int", "1990 AS year", "CAST(NULL AS string) AS publisher", "CAST(NULL AS int) AS pages", "CAST(NULL AS int) AS volume")
-    pairs = resolve.candidates(people, catalog, effort="minimal")
-    best = resolve.run(people, catalog, {}, match.Policy()).where("resolution = 'AUTO_WRITE' AND CAST(path AS bigint) = issue_id").count()
-    assert pairs.where("s_series >= 0.95 AND CAST(path AS bigint) = c_issue_id").count() == 100 and best >= 0
+    people = spark.range(40, 4000, 40).selectExpr("CAST(id AS string) AS path", "concat('Series ', hex(id)) AS series", "'1' AS issue", "1L AS issue_int", "1990 AS year", "CAST(NULL AS string) AS publisher", "CAST(NULL AS int) AS pages", "CAST(NULL AS int) AS volume")
+    pairs = resolve.candidates(people, catalog, effort="minimal").select("path", "c_issue_id").collect()
+    assert {int(r.path) for r in pairs if int(r.path) == r.c_issue_id} == set(range(40, 4000, 40)) and len(pairs) < 99 * 100
 
 
 def test_decisions_caches_and_covers(spark):
