@@ -8,6 +8,8 @@ weight 0.9, or 0.6 from eight times on.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +38,32 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter name to a part of the longer one of at most its length."""
+    """Best ratio of the shorter name to a part of the longer one of at most its length.
+
+    A part that ends with a character that the shorter name lacks is no better than the one before it.  Of the others
+    only those are compared whose characters, counted without their order, could still give a better ratio.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0 if long else 100.0
-    n = len(short)
-    return max(ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+    n, best = len(short), 0.0
+    room = Counter(short)  # what the part may still take; below zero: what it has too many of
+    shared = 0
+    for end in range(1, len(long) + n):
+        if end > n:  # the part loses its first character
+            c = long[end - n - 1]
+            room[c] += 1
+            shared -= room[c] > 0
+        if end <= len(long):
+            c = long[end - 1]
+            shared += room[c] > 0
+            room[c] -= 1
+            if c not in short:
+                continue
+        part = long[max(0, end - n) : end]
+        if 200.0 * shared / (n + len(part)) > best:
+            best = max(best, ratio(short, part))
+    return best
 
 
 def token_ratio(a: str, b: str, compare=ratio) -> float:

@@ -115,31 +115,32 @@ def tie_break(pairs: DataFrame, profile: str) -> DataFrame:
     """Within runs of equal metadata, the order by volume and issue.
 
     A run holds the candidates behind its leader with the leader's metadata score, a score at most 0.02 below
-    and a cover score that differs by at most 0.03 (or is missing on either side).  The runs depend on their
-    leader, so they are folded over the sorted candidates of a profile, whose number the blocking bounds.
+    and a cover score that differs by at most 0.03 (or is missing on either side).  A run ends at the latest where
+    the metadata score changes or the score falls by more than 0.02 from one candidate to the next; windows find these
+    stretches.  Only within a stretch of several candidates the runs depend on their leaders and are folded.
     ``pairs`` has place, metadata, score, cover, volume and issue; the result has ``final_place``.
     """
-    fields = ("place", "metadata", "score", "cover", "volume", "issue")
-    rows = pairs.groupBy(profile).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
-
-    def run_of(done: Column, x: Column) -> Column:
-        lead = F.element_at(done, -1)["leader"]
+    in_order = Window.partitionBy(profile).orderBy("place")
+    # scores are rounded so that a difference of exactly the margin counts as within it
+    goes_on = F.lag("metadata").over(in_order).eqNullSafe(F.col("metadata")) & (F.round(F.lag("score").over(in_order) - F.col("score"), 9) <= SCORE_MARGIN)
+    marked = pairs.select(profile, "place", "metadata", "score", "cover", "volume", "issue", F.when(goes_on, 0).otherwise(1).alias("__new"))
+    rows = marked.withColumn("__stretch", F.sum("__new").over(in_order))
+    item = F.struct("place", "score", "cover", "volume", "issue")
+    stretches = rows.groupBy(profile, "__stretch").agg(F.array_sort(F.collect_list(item)).alias("c"))
+
+    def step(state: Column, x: Column) -> Column:
+        lead = state["leader"]
         noise = lead["cover"].isNull() | x["cover"].isNull() | (F.abs(lead["cover"] - x["cover"]) <= COVER_MARGIN)
-        # scores are rounded so that a difference of exactly the margin counts as within it
-        joins = (lead["metadata"] == x["metadata"]) & (F.round(lead["score"] - x["score"], 9) <= SCORE_MARGIN) & noise
-        same = F.struct(F.element_at(done, -1)["run"].alias("run"), lead.alias("leader"), x.alias("item"))
-        fresh = F.struct(F.when(F.size(done) == 0, F.lit(0)).otherwise(F.coalesce(F.element_at(done, -1)["run"], F.lit(0)) + 1).alias("run"), x.alias("leader"), x.alias("item"))
-        return F.concat(done, F.array(F.when((F.size(done) > 0) & joins, same).otherwise(fresh)))
-
-    empty = F.slice(F.transform("c", lambda x: F.struct(F.lit(0).alias("run"), x.alias("leader"), x.alias("item"))), 1, 0)
-
-    def guarded(done: Column, x: Column) -> Column:
-        first = F.array(F.struct(F.lit(0).alias("run"), x.alias("leader"), x.alias("item")))
-        return F.when(F.size(done) == 0, first).otherwise(run_of(done, x))
-
-    folded = rows.select(profile, F.aggregate("c", empty, guarded).alias("runs"))
-    order = F.transform("runs", lambda r: F.struct(r["run"].alias("run"), F.coalesce(r["item"]["volume"], F.lit(NO_VOLUME)).alias("v"), r["item"]["issue"].alias("issue"), r["item"]["place"].alias("place")))
-    return folded.select(profile, F.posexplode(F.array_sort(order)).alias("p", "x")).select(profile, F.col("x.issue").alias("issue"), F.col("x.place").alias("place"), (F.col("p") + 1).alias("final_place"))
+        joins = (F.round(lead["score"] - x["score"], 9) <= SCORE_MARGIN) & noise
+        run = state["run"] + F.when(joins, 0).otherwise(1)
+        return F.struct(F.when(joins, lead).otherwise(x).alias("leader"), run.alias("run"), F.concat(state["runs"], F.array(run)).alias("runs"))
+
+    start = F.struct(F.col("c")[0].alias("leader"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
+    runs = F.when(F.size("c") == 1, F.array(F.lit(0))).otherwise(F.aggregate("c", start, step, lambda s: s["runs"]))
+    placed = stretches.select(profile, "__stretch", F.explode(F.arrays_zip("c", runs.alias("r"))).alias("x"))
+    flat = placed.select(profile, "__stretch", F.col("x.r").alias("__run"), "x.c.volume", "x.c.issue", "x.c.place")
+    final = Window.partitionBy(profile).orderBy("__stretch", "__run", F.coalesce("volume", F.lit(NO_VOLUME)), "issue", "place")
+    return flat.select(profile, "issue", "place", F.row_number().over(final).alias("final_place"))
 
 
 def keep_by_name(pairs: DataFrame, similarity: str, effort: str, name: str, other: str | None = None) -> DataFrame:

@@ -10,8 +10,9 @@ from ..functions.shared import shared_folder
 from ..operators import derive as R
 from ..sources import archives as A
 from ..sources import documents as D
+from ..sources import images as I
 from ..sources import sinks as K
-from .fixtures import BOX, FORMATS, containers, file_of, key_of
+from .fixtures import BOX, EDGE, FORMATS, PIXEL, containers, file_of, key_of, pictures
 from .registry import query
 
 
@@ -238,3 +239,13 @@ def c04_stamped_records(t):
     rows = _collection(t).records().where("path LIKE '%.cbt'")
     stamped = R.stamped(rows, "me", F.lit("2024-05-06 07:08:09").cast("timestamp"))
     return stamped.where("record.tagger = 'me'").select(file_of().alias("file"), F.col("record.notes").alias("notes"))
+
+
+@query(f"""WITH k AS (SELECT CAST(range AS INTEGER) AS k FROM range(8)), v AS (SELECT CAST(range AS INTEGER) AS v FROM range({EDGE})), wave AS (SELECT k, v, 2 * cos(pi() * k * (2 * v + 1) / {2 * EDGE}) AS w FROM k, v),
+pixels AS (SELECT p, x, y, CAST({PIXEL} AS DOUBLE) AS z FROM (SELECT p_partkey AS p FROM part), (SELECT v AS x FROM v), (SELECT v AS y FROM v)),
+along AS (SELECT p, y, k AS a, sum(z * w) AS z FROM pixels JOIN wave ON v = x GROUP BY ALL), low AS (SELECT p, a, k AS b, sum(z * w) AS z FROM along JOIN wave ON v = y GROUP BY ALL),
+bits AS (SELECT p, b * 8 + a AS i, CASE WHEN z > median(z) OVER (PARTITION BY p) THEN 1 ELSE 0 END AS bit FROM low), digits AS (SELECT p, i // 4 AS g, sum(bit << (3 - i % 4)) AS d FROM bits GROUP BY ALL)
+SELECT p AS p_partkey, string_agg(substr('0123456789abcdef', CAST(d AS INTEGER) + 1, 1), '' ORDER BY g) AS cover_hash FROM digits GROUP BY p""")
+def x25_e09_cover_hash(t):
+    """Hashes of pictures drawn from the parts, decoded by Spark's image source."""
+    return I.image_hashes(t("part").sparkSession, pictures(t)).select(key_of().alias("p_partkey"), "cover_hash")

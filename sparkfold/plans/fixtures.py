@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import tarfile
 import zipfile
+import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ BOX = """box AS (SELECT *, p_size % 4 + 1 AS n, CASE p_partkey % 20 WHEN 1 THEN
 'g' || p_partkey % 4 || '/p' || p_partkey || CASE p_partkey % 20 WHEN 1 THEN '.cbt' WHEN 5 THEN '.cbr' WHEN 7 THEN '.pdf' ELSE '.cbz' END AS file FROM part)"""
 #: Formats that the containers hold; fewer readers make smaller plans.
 FORMATS = Settings(read=("comic_info", "comic_book_info", "mupdf", "filename", "native_line"))
+#: Edge of the square grey pictures and, in SQL, the value of the pixel (x, y) of part p.
+EDGE, PIXEL = 32, "(x * x * 3 + y * y * 5 + x * y * (p % 11) + x * (p % 17) + y * (p % 23) + p) % 256"
 _BUILT: dict[tuple, str] = {}
 
 
@@ -51,11 +56,27 @@ def _container(n: int, name: str, brand: str, size: int) -> tuple[str, bytes]:
     return "cbz", out.getvalue()
 
 
+def _picture(p: int) -> bytes:
+    """A grey PNG of the pixels that PIXEL states."""
+    lines = b"".join(b"\0" + bytes((x * x * 3 + y * y * 5 + x * y * (p % 11) + x * (p % 17) + y * (p % 23) + p) % 256 for x in range(EDGE)) for y in range(EDGE))
+    chunks = ((b"IHDR", struct.pack(">IIBBBBB", EDGE, EDGE, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines)), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in chunks)
+
+
+def pictures(t) -> str:
+    """The folder of the pictures ``g<n % 4>/p<n>.png``, built once in a session."""
+    return _built(t, "pictures", lambda n, name, brand, size: ("png", _picture(n)))
+
+
 def containers(t) -> str:
     """The folder of the containers, built once in a session."""
+    return _built(t, "containers", _container)
+
+
+def _built(t, what: str, make: Callable[[int, str, str, int], tuple[str, bytes]]) -> str:
     part = t("part")
     spark = part.sparkSession
-    key = id(spark.sparkContext), part.inputFiles()[0]
+    key = id(spark.sparkContext), part.inputFiles()[0], what
     if key in _BUILT:
         return _BUILT[key]
     folder = shared_folder(spark)
@@ -67,7 +88,7 @@ def containers(t) -> str:
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                suffix, body = _container(r["p_partkey"], r["p_name"], r["p_brand"], r["p_size"])
+                suffix, body = make(r["p_partkey"], r["p_name"], r["p_brand"], r["p_size"])
                 os.makedirs(f"{root}/g{r['p_partkey'] % 4}", exist_ok=True)
                 with open(f"{root}/g{r['p_partkey'] % 4}/p{r['p_partkey']}.{suffix}", "wb") as file:
                     file.write(body)

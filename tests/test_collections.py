@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from sparkfold.__main__ import main
 from sparkfold.api import RAW, Collection
 from sparkfold.config import Settings
 from sparkfold.operators import derive, match, resolve, shape
-from sparkfold.sources import archives, sinks
+from sparkfold.sources import archives, images, sinks
 
 FEW = Settings(read=("comic_info", "filename", "native_line"))
 
@@ -164,3 +166,40 @@ def test_lists_are_sorted_and_distinct(spark):
     rows = spark.sql("SELECT array(named_struct('a', 'y', 'n', 1), named_struct('a', CAST(NULL AS string), 'n', 2), named_struct('a', 'x', 'n', 3), named_struct('a', 'y', 'n', 4)) AS v")
     once, all_ = rows.select(shape.sorted_list(F.col("v"), ("a",)).alias("x"), shape.sorted_list(F.col("v"), ("a",), False).alias("y")).first()
     assert [e.n for e in once] == [2, 3, 1] and [e.n for e in all_] == [2, 3, 1, 4]
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    """A PNG of pixels [height, width, 3]: red, green and blue."""
+    height, width, _ = pixels.shape
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    chunks = ((b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(lines)), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in chunks)
+
+
+def _drawing(seed: int, height: int, width: int) -> np.ndarray:
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[0:height, 0:width] / np.array([height, width])[:, None, None]
+    waves = [np.sin(r.uniform(2, 9) * x + r.uniform(2, 9) * y + r.uniform(0, 6)) for _ in range(3)]
+    return np.stack([(w + 1) * 127 for w in waves], axis=2).astype(np.uint8)
+
+
+def test_cover_hashes_survive_another_size(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for name, pixels in {"a": _drawing(1, 90, 61), "b": _drawing(1, 240, 170), "c": _drawing(2, 90, 61), "d": None}.items():
+        with zipfile.ZipFile(root / f"{name}.cbz", "w") as z:
+            z.writestr("0.png", b"no picture" if pixels is None else _png(pixels))
+    found = Collection.from_archives(spark, f"file://{root}", FEW).cover_hashes(str(tmp_path / "covers"))
+    hashes = {r.path.rpartition("/")[2][0]: int(r.cover_hash, 16) for r in found.collect()}
+    assert sorted(hashes) == ["a", "b", "c"]  # what is no picture has no hash
+    assert (hashes["a"] ^ hashes["b"]).bit_count() <= 4 < 16 < (hashes["a"] ^ hashes["c"]).bit_count()
+
+
+def test_cosines_and_reduction_against_their_definitions():
+    assert np.allclose(images.reduction(32), np.eye(32)) and np.allclose(images.reduction(100).sum(axis=1), 1)
+    flat = images.reduction(77) @ np.full(77, 9.0)
+    assert np.allclose(flat, 9)
+    pixels = np.random.default_rng(5).integers(0, 256, (32, 32, 1)).astype(np.uint8)
+    low = [[sum(int(pixels[y, x, 0]) * np.cos(np.pi * b * (2 * y + 1) / 64) * np.cos(np.pi * a * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for a in range(8)] for b in range(8)]
+    bits = "".join("1" if v > np.median(low) else "0" for row in low for v in row)
+    assert images.perceptual_hash(pixels) == f"{int(bits, 2):016x}"
