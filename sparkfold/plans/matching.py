@@ -18,6 +18,13 @@ ranked AS (SELECT *, row_number() OVER w AS place, coalesce(round(metadata - lea
 WINDOW w AS (PARTITION BY profile ORDER BY metadata DESC, volume NULLS LAST, issue))"""
 
 
+
+def _common(a: str, b: str) -> str:
+    """SQL of the length of the longest common subsequence: a row of the usual table for each character of ``a``."""
+    return f"""list_max(list_reduce(list_transform(string_split({a}, ''), lambda c: [ord(c)]), lambda row, c: list_transform(range(0, length({b}) + 1), lambda j: list_max(list_transform(range(0, j + 1),
+lambda k: greatest(row[k + 1], CASE WHEN k > 0 AND ord({b}[k]) = c[1] THEN row[k] + 1 ELSE 0 END)))), list_transform(range(0, length({b}) + 1), lambda j: 0)))"""
+
+
 def _pairs(t):
     part = t("part")
     profiles = part.select(F.col("p_partkey").alias("profile"), "p_type", "p_brand", "p_size", F.col("p_name").alias("n1"), F.col("p_retailprice").alias("g1"))
@@ -119,27 +126,43 @@ def m12_resolution(t):
     return all_profiles.join(top, "profile", "left").select("profile", M.resolve(F.col("metadata"), F.col("gap"), F.col("solo"), M.Policy()).alias("resolution"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, final AS (SELECT profile, issue, volume, metadata, cover, round(CASE WHEN cover IS NULL THEN metadata ELSE 0.80 * metadata + 0.20 * cover END, 9) AS score FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, volume NULLS LAST, issue) AS place FROM final),
+walk AS (SELECT profile, issue, volume, place, 0 AS run, metadata AS m, score AS s, cover AS c FROM placed WHERE place = 1
+UNION ALL SELECT profile, issue, volume, place, CASE WHEN joins THEN run ELSE run + 1 END, CASE WHEN joins THEN m ELSE metadata END, CASE WHEN joins THEN s ELSE score END, CASE WHEN joins THEN c ELSE cover END FROM (
+SELECT p.*, run, m, s, c, metadata = m AND round(s - score, 9) <= 0.02 AND (c IS NULL OR cover IS NULL OR abs(c - cover) <= 0.03) AS joins FROM walk JOIN placed p ON p.profile = walk.profile AND p.place = walk.place + 1))
+SELECT profile, issue, CAST(place AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY profile ORDER BY run, volume NULLS LAST, issue) AS INTEGER) AS final_place FROM walk""")
 def w02_tie_break(t):
-    """Leader-relative runs have no plain SQL form; a test holds them against a loop."""
     scored = _scored(t).withColumn("score", F.round(M.final_score(F.col("metadata"), F.col("cover")), 9))
     return M.tie_break(M.rank(scored, "profile", "score", "volume", "issue"), "profile")
 
 
-@query()
+@query(f"SELECT a.p_type, a.a, b.b, CAST(200 AS DOUBLE) * {_common('a', 'b')} / (length(a) + length(b)) / 100 AS score FROM (SELECT DISTINCT p_type, p_name AS a FROM part) a JOIN (SELECT DISTINCT p_type, p_brand AS b FROM part) b ON a.p_type = b.p_type")
 def x15_ratio(t):
     names = t("part").select("p_type", "p_name").distinct()
     pairs = names.select("p_type", F.col("p_name").alias("a")).join(t("part").select("p_type", F.col("p_brand").alias("b")).distinct(), "p_type")
     return S.with_similarity(pairs, "a", "b", "score", S.ratio_udf)
 
 
-@query()
+@query(f"""WITH {_PAIRS}, names AS (SELECT DISTINCT n1, n2, greatest(length(n1), length(n2)) / least(length(n1), length(n2)) AS longer, string_split(n1, ' ') AS t1, string_split(n2, ' ') AS t2 FROM pairs),
+sets AS (SELECT *, array_to_string(list_sort(list_distinct(list_intersect(t1, t2))), ' ') AS shared, array_to_string(list_sort(list_distinct(list_filter(t1, lambda w: NOT list_contains(t2, w)))), ' ') AS only1,
+array_to_string(list_sort(list_distinct(list_filter(t2, lambda w: NOT list_contains(t1, w)))), ' ') AS only2 FROM names),
+texts AS (SELECT *, trim(shared || ' ' || only1) AS one, trim(shared || ' ' || only2) AS two, CASE WHEN longer < 1.5 THEN 1.0 WHEN longer < 8 THEN 0.9 ELSE 0.6 END AS scale FROM sets),
+forms AS (SELECT n1, n2, n1 AS x, n2 AS y, false AS parts, 1.0 AS weight FROM texts UNION ALL SELECT n1, n2, n1, n2, true, scale FROM texts WHERE longer >= 1.5
+UNION ALL SELECT n1, n2, array_to_string(list_sort(t1), ' '), array_to_string(list_sort(t2), ' '), longer >= 1.5, 0.95 * scale FROM texts UNION ALL SELECT n1, n2, one, two, longer >= 1.5, 0.95 * scale FROM texts
+UNION ALL SELECT n1, n2, shared, one, longer >= 1.5, 0.95 * scale FROM texts WHERE shared <> '' UNION ALL SELECT n1, n2, shared, two, longer >= 1.5, 0.95 * scale FROM texts WHERE shared <> ''),
+sides AS (SELECT *, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS short, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS long FROM forms),
+windows AS (SELECT n1, n2, weight, x AS a, y AS b FROM sides WHERE NOT parts UNION ALL SELECT n1, n2, weight, short, substr(long, greatest(0, i) + 1, i + length(short) - greatest(0, i)) FROM (
+SELECT *, unnest(range(1 - length(short), length(long))) AS i FROM sides WHERE parts)),
+compared AS (SELECT a, b, 2.0 * {_common('a', 'b')} / (length(a) + length(b)) AS r FROM (SELECT DISTINCT a, b FROM windows)),
+best AS (SELECT n1, n2, max(CAST(weight AS DOUBLE) * r) AS s FROM windows JOIN compared USING (a, b) GROUP BY n1, n2) SELECT profile, issue, round(s, 9) AS s_series FROM pairs JOIN best USING (n1, n2)""")
 def m02_series_signal(t):
     """Weighted name similarity of each blocked pair, from distinct pairs of names."""
-    return S.with_similarity(_pairs(t).select("profile", "issue", "n1", "n2"), "n1", "n2", "s_series").select("profile", "issue", "s_series")
+    return S.with_similarity(_pairs(t).select("profile", "issue", "n1", "n2"), "n1", "n2", "s_series").select("profile", "issue", F.round("s_series", 9).alias("s_series"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, names AS (SELECT DISTINCT n1, n2 FROM pairs), alike AS (SELECT n1, n2 FROM names WHERE 2.0 * {_common('n1', 'n2')} / (length(n1) + length(n2)) >= {M.NAME_FILTER["balanced"]})
+SELECT profile, issue FROM pairs JOIN alike USING (n1, n2)""")
 def p12_name_filter(t):
     scored = S.with_similarity(_pairs(t).select("profile", "issue", "n1", "n2"), "n1", "n2", "s", S.ratio_udf)
     return M.keep_by_name(scored, "s", "balanced", "n2").select("profile", "issue")
