@@ -7,6 +7,7 @@ without an edit.  An Aho-Corasick automaton over all pieces finds the exact hits
 Most hits are chance.  They are ruled out by the same principle, step by step: the pieces are the leaves of
 a binary tree, and where an item occurs within its budget there is a leaf whose ancestors all do: one of p
 pieces with p - 1 edits at most.  So a hit is followed upwards, in regions that double, until a step fails.
+A step fails at once if more halves of the p pieces than edits are allowed don't occur exactly in the region.
 What is left, hits of an item on neighbouring diagonals, makes one region that is verified as a whole.
 Every verification is Myers' bit-parallel algorithm.
 
@@ -65,21 +66,37 @@ def normalized(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 class Part:
-    """Some successive pieces of an item: their text, place and budget, and the bit masks of Myers' algorithm."""
+    """Some successive pieces of an item: their text, place and budget, and the bit masks of Myers' algorithm.
 
-    __slots__ = ("text", "start", "budget", "masks")
+    ``halves`` cuts the text in twice as many stretches as it has pieces; each edit spoils one of them at most.
+    """
+
+    __slots__ = ("text", "start", "budget", "masks", "halves")
 
     def __init__(self, text: str, start: int, budget: int) -> None:
         self.text, self.start, self.budget = text, start, budget
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
+        n = 2 * (budget + 1)
+        edges = [len(text) * i // n for i in range(n + 1)]
+        self.halves = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def region(self, text: str, at: int) -> str:
         """Where this part can be, if the item starts at about ``at``."""
         start = at + self.start - self.budget
         return text[start if start > 0 else 0 : max(0, at + self.start + len(self.text) + self.budget)]
 
+    def within(self, region: str) -> bool:
+        """Whether the region can hold this part within its budget: all but so many of its halves occur exactly."""
+        spoilt = 0
+        for half in self.halves:
+            if half not in region:
+                spoilt += 1
+                if spoilt > self.budget:
+                    return False
+        return self.distance(region, self.budget)[0] <= self.budget
+
     def distance(self, region: str, enough: int = 0) -> tuple[int, int]:
         """Least edit distance to a stretch of the region, and where that ends; budget + 1 if it is beyond.
 
@@ -168,7 +185,7 @@ class Matcher:
                         whole[n] = end + 1
                     continue
                 for part in above:
-                    if part.distance(part.region(text, at), part.budget)[0] > part.budget:
+                    if not part.within(part.region(text, at)):
                         break
                 else:
                     diagonals.setdefault(n, []).append(at)
