@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filter_audit, language_id, line_dedup, matroska, near_dup, packing, quality, sharding, token_count, url_filter
+from . import decontaminate, filter_audit, fingerprint, language_id, line_dedup, matroska, near_dup, packing, periodic, quality, sharding, token_count, url_filter
 from .session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_filter_audit"] = filter_audit.ORACLE
+
+
+@_query
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op12_fingerprint(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op13_periodic_runs(_table(spark, sf_dir, "documents"))
