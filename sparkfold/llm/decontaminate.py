@@ -14,8 +14,9 @@ Every verification is Myers' bit-parallel algorithm.
 An item of fewer than ``short`` characters has too few for an edit budget to mean anything: it must occur
 exactly, as whole words.
 
-The items go to the workers in blocks of at most BLOCK_CHARS characters, so what is broadcast has a fixed
-bound; each block is one pass over the texts.  Texts don't move.
+Each different item goes to the workers once, in blocks of at most BLOCK_CHARS characters (an item beyond that
+is a block of its own), so what is broadcast has a bound; each block is one pass over the texts.  Texts don't
+move; what was found is joined with the ids of its items.
 
 Defined results: null and empty texts and items, and items without a letter or number, match nothing;
 repeated items give a row each, repeated documents as well; the end is that of the best match, the first
@@ -129,7 +130,7 @@ class Part:
 class Pattern:
     """An item with its pieces and, for each piece, what holds it: two pieces, four, and so on, below the whole."""
 
-    def __init__(self, item: int, text: str, rate: float, short: int = 0) -> None:
+    def __init__(self, item: str, text: str, rate: float, short: int = 0) -> None:
         self.exact = len(text) < short
         self.item, self.text, self.budget = item, text, 0 if self.exact else int(len(text) * rate)
         n = self.budget + 1
@@ -156,7 +157,7 @@ class Pattern:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = 0) -> None:
+    def __init__(self, items: list[tuple[str, str]], rate: float, short: int = 0) -> None:
         import ahocorasick
 
         self.patterns = [Pattern(i, text, rate, short) for i, text in items]
@@ -171,7 +172,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty, self.memory = not where, {}
 
-    def __call__(self, text: str) -> list[tuple[int, int, int]]:
+    def __call__(self, text: str) -> list[tuple[str, int, int]]:
         """(item, distance, end in the normalised text) of every item that the text holds."""
         if self.empty or not text:
             return []
@@ -214,15 +215,38 @@ class Matcher:
         return out
 
 
-def _blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, read one block after the other."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS)
-    for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() if n > 1 else items.collect()
-        texts = normalized(pa.array([r.text for r in rows], pa.large_string()))
-        found = [(r.item, t) for r, t in zip(rows, texts, strict=True) if t]
+def _distinct_items(benchmark: DataFrame, text: str) -> DataFrame:
+    """key and text of each different item."""
+    texts = benchmark.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    return texts.select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+
+
+def _blocks_of(items: DataFrame, size: int | None = None, depth: int = 0) -> Iterator[list[tuple[str, str]]]:
+    """(key, normalised text) of the items, in blocks of at most BLOCK_CHARS characters, read one after the other.
+
+    Items are dealt to half blocks by a hash; what has become too large is dealt again, small ones are joined.  Only
+    an item that is longer than a block makes a larger one.
+    """
+    if size is None:
+        size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if not size:
+        return
+    n = -(-2 * size // BLOCK_CHARS)
+    at = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(n)) if size > BLOCK_CHARS else F.lit(0)
+    dealt = items.withColumn("at", at)
+    sizes = dealt.groupBy("at").agg(F.sum(F.length("text")).alias("size"), F.count("*").alias("n")).orderBy("at").collect()
+    groups: list[tuple[int, list[int]]] = []
+    for row in sizes:
+        if row["size"] > BLOCK_CHARS and row["n"] > 1:
+            yield from _blocks_of(dealt.where(F.col("at") == row["at"]).drop("at"), row["size"], depth + 1)
+        elif groups and groups[-1][0] + row["size"] <= BLOCK_CHARS:
+            groups[-1] = groups[-1][0] + row["size"], [*groups[-1][1], row["at"]]
+        else:
+            groups.append((row["size"], [row["at"]]))
+    for _, parts in groups:
+        rows = dealt.where(F.col("at").isin(parts)).collect()
+        texts = normalized(pa.array([r["text"] for r in rows], pa.large_string()))
+        found = [(r["key"], t) for r, t in zip(rows, texts, strict=True) if t]
         if found:
             yield found
 
@@ -233,7 +257,7 @@ _MATCHERS: dict[tuple, Matcher] = {}
 class Block:
     """Broadcast items with what they are matched by; each worker process makes one automaton of the block that it works on."""
 
-    def __init__(self, docs: DataFrame, items: list[tuple[int, str]], rate: float, short: int) -> None:
+    def __init__(self, docs: DataFrame, items: list[tuple[str, str]], rate: float, short: int) -> None:
         self.items, self.rate, self.short = docs.sparkSession.sparkContext.broadcast(items), rate, short
         self.key = hash(tuple(items)), len(items), rate, short
 
@@ -248,9 +272,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short:
     """doc_id, item_id, distance (long) and end (long, in the normalised text) of each item that a text holds."""
     bounded(docs.sparkSession)
     target = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    schema = "doc_id long, item_id long, distance long, end long"
+    schema = "doc_id long, key string, distance long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks_of(benchmark, item_id, item_text):
+    for items in _blocks_of(_distinct_items(benchmark, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], block=Block(docs, items, rate, short)) -> Iterator[pa.RecordBatch]:
             match = block.matcher()
@@ -258,17 +282,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short:
                 ids, rows = batch.column(0).to_pylist(), []
                 for i, body in zip(ids, normalized(batch.column(1)), strict=True):
                     rows += [(i, *hit) for hit in match(body)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["doc_id", "item_id", "distance", "end"])
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "key", "distance", "end"])
 
         out = out.unionByName(target.mapInArrow(run, schema))
-    return out
+    # every item of a text that was found
+    ids = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.sha2(F.col(f"`{item_text}`"), 256).alias("key"))
+    return out.join(ids, "key").select("doc_id", "item_id", "distance", "end")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item."""
     bounded(docs.sparkSession)
     at = docs.columns.index(text)
-    for items in _blocks_of(benchmark, item_id, item_text):
+    for items in _blocks_of(_distinct_items(benchmark, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], block=Block(docs, items, rate, short)) -> Iterator[pa.RecordBatch]:
             match = block.matcher()
