@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +93,48 @@ def weighted_ratio(a: str | None, b: str | None) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * token_ratio(a, b, partial_ratio))
 
 
+#: Characters of a name that fit into one machine word, and pairs that are scanned together.
+_WORD, _PAIRS = 64, 4096
+
+
+def _characters(names: list[str], width: int) -> np.ndarray:
+    """Code points, a row for each name, zeros behind its end."""
+    flat = np.frombuffer("".join(n.ljust(width, "\0") for n in names).encode("utf-32-le"), np.uint32)
+    return flat.reshape(len(names), width)
+
+
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs`` of many pairs; those with a name of at most 64 characters are scanned side by side."""
+    out = np.zeros(len(a), np.int64)
+    short = np.array([0 < min(len(x), len(y)) <= _WORD and "\0" not in x and "\0" not in y for x, y in zip(a, b, strict=True)], bool)
+    for i in np.flatnonzero(~short):
+        out[i] = lcs(a[i], b[i])
+    rows = np.flatnonzero(short)
+    for k in range(0, len(rows), _PAIRS):
+        at = rows[k : k + _PAIRS]
+        pairs = [sorted((a[i], b[i]), key=len) for i in at]
+        pattern = _characters([p for p, _ in pairs], _WORD)
+        pattern = np.where(pattern == 0, np.uint32(0xFFFFFFFF), pattern)
+        other = _characters([t for _, t in pairs], max(len(t) for _, t in pairs))
+        row = np.full(len(at), ~np.uint64(0))
+        for j in range(other.shape[1]):
+            mask = np.packbits(pattern == other[:, j : j + 1], axis=1, bitorder="little").view(np.uint64).ravel()
+            hit = row & mask
+            row = (row + hit) | (row - hit)
+        length = np.array([len(p) for p, _ in pairs], np.uint64)
+        full = np.where(length == _WORD, ~np.uint64(0), (np.uint64(1) << (length % np.uint64(_WORD))) - np.uint64(1))
+        out[at] = np.bitwise_count(~row & full)
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    x, y = a[known].tolist(), b[known].tolist()
+    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.float64)
+    out = np.full(len(a), np.nan)
+    out[known] = np.where(total > 0, 200.0 * lcs_many(x, y) / np.maximum(total, 1), 100.0)
+    return pd.Series(out)  # no number where a name is missing: null
 
 
 @F.pandas_udf(DoubleType())

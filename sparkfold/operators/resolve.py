@@ -1,7 +1,7 @@
 """Resolution of records against catalogs that are tables.
 
 A catalog is any DataFrame with source, issue_id, series, issue, year, publisher, pages, volume and cover
-hash; a remote one is copied to a table first.  Decisions that need a person are written as rows and joined
+hash, and maybe start_year and aliases (other names of the series); a remote one is copied to a table first.  Decisions that need a person are written as rows and joined
 back when they have been made.
 """
 
@@ -14,6 +14,7 @@ from ..functions import numbers as N
 from ..functions import similarity as S
 from ..functions import text as T
 from . import match as M
+from . import names as A
 from . import online as O
 
 
@@ -28,55 +29,74 @@ def profiles(records: DataFrame, key: str = "path", record: str = "record") -> D
     )
 
 
-#: Words of a series that a profile is looked up by: its rarest ones in the catalog, none of them this many times as frequent as the rarest.
-WORDS, TIMES = 3, 100
+def _issue_key(text: Column) -> Column:
+    return F.coalesce(T.issue_int(T.strip_leading_zeros(text)).cast("string"), F.lower(F.trim(text)))
 
 
-def _blocks(word: str, issue: Column, have: Column) -> Column:
-    """Blocks of an offer with one word: its issue (or ``?`` without one), and ``*`` for those who know no issue."""
-    return F.array(F.concat_ws("|", F.lit("w"), F.col(word), F.when(have, issue).otherwise(F.lit("?"))), F.concat_ws("|", F.lit("w"), F.col(word), F.lit("*")))
+def _filter_name(name: Column) -> Column:
+    """A name as the search compares it: normalised, without a year in parentheses."""
+    return T.normalize_series(T.strip_years(name))
 
 
-def _issue_key(text: Column) -> Column:
-    return F.coalesce(T.issue_int(T.strip_leading_zeros(text)).cast("string"), F.lower(F.trim(text)))
+def _offer_names(offers: DataFrame) -> Column:
+    """The series of an offer and, where the catalog has a column ``aliases`` (array of text), its other names."""
+    return F.array_compact(F.concat(F.array("c_series"), F.coalesce(F.col("c_aliases"), F.array()))) if "c_aliases" in offers.columns else F.array_compact(F.array("c_series"))
+
+
+def name_pairs(seekers: DataFrame, offers: DataFrame, effort: str) -> DataFrame:
+    """pn, cn: names of profiles and of offers that are similar enough for an effort.
+
+    The thorough effort sets no threshold; it takes what the balanced one takes and names of which one holds all words of the other.
+    """
+    limit = M.NAME_FILTER[effort]
+    if limit > 0:
+        return A.ratio_join(seekers, offers, "pn", "cn", limit).select("pn", "cn")
+    return A.ratio_join(seekers, offers, "pn", "cn", M.NAME_FILTER["balanced"]).select("pn", "cn").unionByName(A.contained_join(seekers, offers, "pn", "cn")).distinct()
 
 
 def candidates(people: DataFrame, catalog: DataFrame, key: str = "path", effort: str = "balanced") -> DataFrame:
-    """Pairs by blocking on a word of the series and the issue, narrowed by year and name.
+    """All offers with a name like that of a profile, and its issue, narrowed by year.
 
-    A profile meets the offers that share one of its WORDS rarest series words (by their number in the catalog) and
-    its issue, or have no issue; without an issue of its own it meets all issues of such series.  A word that is
-    TIMES as frequent as the rarest one is left out, so frequent words make no pairs beside rare ones.  A profile
-    without a series meets the offers of its issue and year, of what it knows of them.  A volume that starts after the year is out.  Names are
-    compared once per distinct pair.
+    Names are compared by a similarity join of the distinct ones (``name_pairs``), which loses none at or above the
+    threshold of the effort; an offer is found by its series or any of its ``aliases``, and ``s_series`` is the best of
+    them.  A profile meets the offers of its issue and those without one; without an issue of its own it meets all issues
+    of such series.  A profile without a series meets the offers of its issue and year, of what it knows of them.  A volume
+    that starts after the year is out.
     """
     offers = catalog.select([F.col(c).alias(f"c_{c}") for c in catalog.columns])
     own = [c for c in ("c_source", "c_issue_id") if c in offers.columns]
     o_issue, o_year = _issue_key(F.col("c_issue")), F.col("c_year").cast("string")
-    o_words = F.array_distinct(F.filter(F.split(T.normalize_series(F.col("c_series")), " "), lambda w: w != ""))
-    by_word = offers.select("*", F.explode(o_words).alias("word")).select(*offers.columns, F.explode(_blocks("word", o_issue, F.coalesce(o_issue, F.lit("")) != "")).alias("block"))
-    known = F.array(F.struct(o_issue.alias("i"), o_year.alias("y")), F.struct(o_issue.alias("i"), F.lit(None).cast("string").alias("y")), F.struct(F.lit(None).cast("string").alias("i"), o_year.alias("y")))
     blank = lambda x: F.coalesce(x, F.lit(""))
-    by_facts = offers.select("*", F.explode(F.array_distinct(F.transform(known, lambda k: F.concat_ws("|", F.lit("n"), blank(k["i"]), blank(k["y"]))))).alias("block")).where("block <> 'n||'")
+    # an offer stands in the block of its issue (or of "?" without one), and in "*" for those who know no issue
+    blocks = F.array(F.concat(F.lit("i"), F.nullif(o_issue, F.lit(""))), F.lit("*"))
+    named_offers = offers.select(*own, F.explode(F.array_distinct(F.transform(_offer_names(offers), _filter_name))).alias("cn"), F.transform(blocks, lambda x: F.coalesce(x, F.lit("?"))).alias("blocks")).where("cn <> ''")
+    known = F.array(F.struct(o_issue.alias("i"), o_year.alias("y")), F.struct(o_issue.alias("i"), F.lit(None).cast("string").alias("y")), F.struct(F.lit(None).cast("string").alias("i"), o_year.alias("y")))
+    by_facts = offers.select(*own, F.explode(F.array_distinct(F.transform(known, lambda k: F.concat_ws("|", F.lit("n"), blank(k["i"]), blank(k["y"]))))).alias("block")).where("block <> 'n||'")
 
     seekers = people.where("series IS NOT NULL OR issue IS NOT NULL OR year IS NOT NULL")
     s_issue = _issue_key(F.col("issue"))
-    words = seekers.select(key, s_issue.alias("i"), F.explode(F.array_distinct(F.filter(F.split(T.normalize_series(F.col("series")), " "), lambda w: w != ""))).alias("word"))
-    often = offers.select(F.explode(o_words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(key).orderBy("n", "word")
-    rarest = words.join(often, "word").withColumns({"r": F.row_number().over(order), "least": F.first("n").over(order)}).where((F.col("r") <= WORDS) & (F.col("n") <= TIMES * F.col("least")))
-    has = blank(F.col("i")) != ""
-    asked = F.when(has, F.array(F.col("i"), F.lit("?"))).otherwise(F.array(F.lit("*")))
-    named = rarest.select(key, F.explode(F.transform(asked, lambda i: F.concat_ws("|", F.lit("w"), F.col("word"), i))).alias("block"))
-    nameless = seekers.where(blank(T.normalize_series(F.col("series"))) == "").select(key, F.concat_ws("|", F.lit("n"), blank(s_issue), blank(F.col("year").cast("string"))).alias("block"))
-    met = named.join(by_word, "block").drop("block").unionByName(nameless.join(by_facts, "block").drop("block")).dropDuplicates([key, *own])
-    pairs = seekers.join(met, key).where(F.coalesce(F.col("c_start_year") <= F.col("year") + 1, F.lit(True)) if "start_year" in catalog.columns else F.lit(True))
-    named_pairs = pairs.withColumns({"__p": T.normalize_series(F.col("series")), "__c": T.normalize_series(F.col("c_series"))})
-    scored = S.with_similarity(named_pairs, "__p", "__c", "s_series")
+    asked = F.when(blank(s_issue) != "", F.array(F.concat(F.lit("i"), s_issue), F.lit("?"))).otherwise(F.array(F.lit("*")))
+    named = seekers.select(key, _filter_name(F.col("series")).alias("pn"), asked.alias("asked")).where("pn <> ''")
+    pairs_of_names = name_pairs(named, named_offers, effort)
+    wanted = named.join(pairs_of_names, "pn").select(key, "cn", F.explode("asked").alias("block"))
+    by_name = wanted.join(named_offers.select(*own, "cn", F.explode("blocks").alias("block")), ["cn", "block"]).select(key, *own)
+    nameless = seekers.where(blank(_filter_name(F.col("series"))) == "").select(key, F.concat_ws("|", F.lit("n"), blank(s_issue), blank(F.col("year").cast("string"))).alias("block"))
+    met = by_name.unionByName(nameless.join(by_facts, "block").select(key, *own)).distinct()
+    pairs = seekers.join(met, key).join(offers, own).where(F.coalesce(F.col("c_start_year") <= F.col("year") + 1, F.lit(True)) if "start_year" in catalog.columns else F.lit(True))
     # The exact year, else one beside it, else any
     tier = F.when(F.col("year").isNull() | F.col("c_year").isNull() | (F.col("year") == F.col("c_year")), 0).when(F.abs(F.col("year") - F.col("c_year")) <= 1, 1).when(F.abs(F.col("year") - F.col("c_year")) <= 2, 2).otherwise(3)
-    kept = M.keep_by_name(scored, "s_series", effort, "c_series", "series").withColumn("tier", tier)
-    return M.least_tier(kept, key, "tier").drop("__p", "__c")
+    kept = M.least_tier(pairs.withColumn("tier", tier), key, "tier")
+    return _with_series_signal(kept, key, own)
+
+
+def _with_series_signal(pairs: DataFrame, key: str, own: list[str]) -> DataFrame:
+    """``s_series``, the best weighted ratio of the profile's series to the names of the offer; each pair of names is compared once."""
+    names = pairs.select(T.normalize_series(F.col("series")).alias("p"), F.transform(_offer_names(pairs), lambda n: T.normalize_series(n)).alias("cs")).distinct()
+    each = names.select("p", "cs", F.explode("cs").alias("c"))
+    best = S.with_similarity(each, "p", "c", "s").groupBy("p", "cs").agg(F.max("s").alias("s_series"))
+    joined = pairs.withColumns({"p": T.normalize_series(F.col("series")), "cs": F.transform(_offer_names(pairs), lambda n: T.normalize_series(n))})
+    on = joined["p"].eqNullSafe(best["p"]) & joined["cs"].eqNullSafe(best["cs"])
+    return joined.join(best, on, "left").select(*[joined[c] for c in pairs.columns], F.coalesce("s_series", F.lit(0.0)).alias("s_series"))
 
 
 def score(pairs: DataFrame, cover: str | None = None) -> DataFrame:
