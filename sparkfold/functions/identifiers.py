@@ -63,9 +63,12 @@ def host_of(url: Column) -> Column:
 
 
 def source_of_host(host: Column, hosts=HOSTS) -> Column:
-    """The source whose host is a suffix of this one in whole labels; the host itself if none is."""
+    """The source of the longest host that is a suffix of this one in whole labels; the host itself if none is.
+
+    ``hosts`` is a short list; for a table of hosts there is ``lookup.longest_suffix``.
+    """
     low, out = F.lower(host), host
-    for alias, source in hosts:
+    for alias, source in sorted(hosts, key=lambda h: h[0].count(".")):  # the last that fits wins
         out = F.when((low == alias) | low.endswith("." + alias), F.lit(source)).otherwise(out)
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
-from .lookup import small
+from .lookup import fresh, small
 
 # Score bands of a report, limits of requests.
 BANDS = ((0.95, ">=0.95"), (0.85, "0.85-0.95"), (0.70, "0.70-0.85"), (0.50, "0.50-0.70"))
@@ -64,14 +64,15 @@ def global_places(rows: DataFrame, order: list[str]) -> DataFrame:
     arrangement; the rows before a partition are a running sum over one count for each partition.
     """
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
-    part = F.shiftright("m", 33)
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()).write.parquet(folder)
+    mark, part, before = (fresh(c, rows) for c in ("m", "part", "before"))  # a row's own columns stay as they are
+    of = F.shiftright(mark, 33)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id()).write.parquet(folder)
     marked = spark.read.parquet(folder)
     # as many rows as there are partitions: a window and a broadcast of these alone
-    counts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = marked.withColumn("part", part).join(small(before), "part")
-    return placed.withColumn("place", F.col("m").bitwiseAND((1 << 33) - 1) + F.col("before") + 1).drop("m", "part", "before")
+    counts = marked.groupBy(of.alias(part)).agg(F.count("*").alias("n"))
+    sums = counts.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    placed = marked.withColumn(part, of).join(small(sums), part)
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns if c != "place"], (F.col(mark).bitwiseAND((1 << 33) - 1) + F.col(before) + 1).alias("place"))
 
 
 def keep_cap(rows: DataFrame, keys: list[str], order: list[Column], cap: int) -> DataFrame:

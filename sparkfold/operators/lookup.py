@@ -14,16 +14,44 @@ def small(dimension: DataFrame) -> DataFrame:
     return F.broadcast(dimension) if len(dimension.take(SMALL + 1)) <= SMALL else dimension
 
 
+def fresh(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores behind it until no frame has a column of that name (whatever its case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def longest_suffix(rows: DataFrame, host: str, table: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the value of the longest host of ``table`` (host, value) that ends ``host`` in whole labels, or null.
+
+    Every distinct host is spread to its suffixes, at most as many as it has labels, which meet the table by
+    equality; the longest one that is there wins.  So neither side needs to be small, and a host that a third of all
+    rows have is looked up once.  Case, and dots at either end, do not count.  A host that the table has several
+    times has its least value.
+    """
+    clean = lambda c: F.lower(F.btrim(c, F.lit(".")))
+    own, key = fresh("__host", rows, table), fresh("__value", rows, table)
+    keyed = rows.withColumn(own, clean(F.col(host)))
+    known = table.groupBy(clean(F.col("host")).alias("suffix")).agg(F.min("value").alias(key))
+    labels = F.split("h", r"\.")
+    spread = keyed.select(F.col(own).alias("h")).where("h <> ''").distinct().select("h", F.posexplode(F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))).alias("at", "suffix"))
+    best = spread.join(known, "suffix").groupBy("h").agg(F.min_by(key, "at").alias(key))
+    return keyed.join(best, keyed[own] == best["h"], "left").select(*[keyed[c] for c in rows.columns if c != out], F.col(key).alias(out))
+
+
 def alias_lookup(rows: DataFrame, value: str, dimension: DataFrame, out: str) -> DataFrame:
     """``dimension`` (alias, canonical) applied to a column without regard to case; null if unknown."""
-    keyed = dimension.select(F.lower("alias").alias("__key"), F.col("canonical").alias(out)).dropDuplicates(["__key"])
-    return rows.withColumn("__key", F.lower(value)).join(small(keyed), "__key", "left").drop("__key")
+    key = fresh("__key", rows)
+    keyed = dimension.select(F.lower("alias").alias(key), F.col("canonical").alias(out)).dropDuplicates([key])
+    return rows.withColumn(key, F.lower(value)).join(small(keyed), key, "left").drop(key)
 
 
 def expand(rows: DataFrame, value: str, dimension: DataFrame, out: str) -> DataFrame:
     """One row per canonical value of each alias (many to many)."""
-    keyed = dimension.select(F.lower("alias").alias("__key"), F.col("canonical").alias(out)).distinct()
-    return rows.withColumn("__key", F.lower(value)).join(small(keyed), "__key").drop("__key")
+    key = fresh("__key", rows)
+    keyed = dimension.select(F.lower("alias").alias(key), F.col("canonical").alias(out)).distinct()
+    return rows.withColumn(key, F.lower(value)).join(small(keyed), key).drop(key)
 
 
 def union_without(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

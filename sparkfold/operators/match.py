@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from .lookup import fresh
 
 # Weights of the signals and of the blend, credit by year difference, margins.
 WEIGHTS = {"series": 0.30, "issue": 0.25, "year": 0.10, "publisher": 0.10, "pages": 0.05}
@@ -117,30 +121,31 @@ def tie_break(pairs: DataFrame, profile: str) -> DataFrame:
     A run holds the candidates behind its leader with the leader's metadata score, a score at most 0.02 below
     and a cover score that differs by at most 0.03 (or is missing on either side).  A run ends at the latest where
     the metadata score changes or the score falls by more than 0.02 from one candidate to the next; windows find these
-    stretches.  Only within a stretch of several candidates the runs depend on their leaders and are folded.
+    stretches, which are then scanned in order, each as a whole and any number of them by one task; the scan holds one leader.
     ``pairs`` has place, metadata, score, cover, volume and issue; the result has ``final_place``.
     """
     in_order = Window.partitionBy(profile).orderBy("place")
     # scores are rounded so that a difference of exactly the margin counts as within it
     goes_on = F.lag("metadata").over(in_order).eqNullSafe(F.col("metadata")) & (F.round(F.lag("score").over(in_order) - F.col("score"), 9) <= SCORE_MARGIN)
     marked = pairs.select(profile, "place", "metadata", "score", "cover", "volume", "issue", F.when(goes_on, 0).otherwise(1).alias("__new"))
-    rows = marked.withColumn("__stretch", F.sum("__new").over(in_order))
-    item = F.struct("place", "score", "cover", "volume", "issue")
-    stretches = rows.groupBy(profile, "__stretch").agg(F.array_sort(F.collect_list(item)).alias("c"))
-
-    def step(state: Column, x: Column) -> Column:
-        lead = state["leader"]
-        noise = lead["cover"].isNull() | x["cover"].isNull() | (F.abs(lead["cover"] - x["cover"]) <= COVER_MARGIN)
-        joins = (F.round(lead["score"] - x["score"], 9) <= SCORE_MARGIN) & noise
-        run = state["run"] + F.when(joins, 0).otherwise(1)
-        return F.struct(F.when(joins, lead).otherwise(x).alias("leader"), run.alias("run"), F.concat(state["runs"], F.array(run)).alias("runs"))
-
-    start = F.struct(F.col("c")[0].alias("leader"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
-    runs = F.when(F.size("c") == 1, F.array(F.lit(0))).otherwise(F.aggregate("c", start, step, lambda s: s["runs"]))
-    placed = stretches.select(profile, "__stretch", F.explode(F.arrays_zip("c", runs.alias("r"))).alias("x"))
-    flat = placed.select(profile, "__stretch", F.col("x.r").alias("__run"), "x.c.volume", "x.c.issue", "x.c.place")
+    rows = marked.withColumn("__stretch", F.sum("__new").over(in_order)).select(profile, "__stretch", "place", "volume", "issue", F.col("score").cast("double"), F.col("cover").cast("double"), "__new")
+    schema = StructType([*rows.schema.fields[:5], StructField("__run", LongType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers the runs of sorted stretches; what is kept from row to row is the leader alone."""
+        score = cover = None
+        run = 0
+        for batch in batches:
+            runs = []
+            for s, c, new in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                if new or round(score - s, 9) > SCORE_MARGIN or not (cover is None or c is None or abs(cover - c) <= COVER_MARGIN):
+                    score, cover, run = s, c, 0 if new else run + 1
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(runs, pa.int64())], names=schema.names)
+
+    sorted_ = rows.repartition(profile, "__stretch").sortWithinPartitions(profile, "__stretch", "place")
     final = Window.partitionBy(profile).orderBy("__stretch", "__run", F.coalesce("volume", F.lit(NO_VOLUME)), "issue", "place")
-    return flat.select(profile, "issue", "place", F.row_number().over(final).alias("final_place"))
+    return sorted_.mapInArrow(scan, schema).select(profile, "issue", "place", F.row_number().over(final).alias("final_place"))
 
 
 def keep_by_name(pairs: DataFrame, similarity: str, effort: str, name: str, other: str | None = None) -> DataFrame:
@@ -151,7 +156,8 @@ def keep_by_name(pairs: DataFrame, similarity: str, effort: str, name: str, othe
 
 def least_tier(pairs: DataFrame, profile: str, tier: str) -> DataFrame:
     """Candidates of the first tier that has any."""
-    return pairs.withColumn("__least", F.min(tier).over(Window.partitionBy(profile))).where(F.col(tier) == F.col("__least")).drop("__least")
+    least = fresh("__least", pairs)
+    return pairs.withColumn(least, F.min(tier).over(Window.partitionBy(profile))).where(F.col(tier) == F.col(least)).drop(least)
 
 
 def effort_for(batch: Column, unattended: Column, terminal: Column, pinned: Column) -> Column:

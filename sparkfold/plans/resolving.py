@@ -55,10 +55,13 @@ def m17_decisions(t):
     return R.apply_decisions(rows, decisions).select("o_orderkey", "chosen")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_size % 20 BETWEEN 1 AND 12 AS valid FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, p_size % 20 <= 5 AND p_size % 15 BETWEEN 1 AND 12 AS valid FROM part")
 def m24_validation(t):
-    payload = F.concat(F.lit("<ComicInfo><Month>"), F.col("p_size") % 20, F.lit("</Month></ComicInfo>"))
-    return V.validate(t("part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("comic_info").alias("fmt"), payload.alias("payload")))
+    """A container is valid if both its documents fit the schemas of their formats."""
+    xml = F.concat(F.lit("<ComicInfo><CommunityRating>"), F.col("p_size") % 20, F.lit("</CommunityRating></ComicInfo>"))
+    json = F.concat(F.lit('{"ComicBookInfo/1.0": {"publicationMonth": '), F.col("p_size") % 15, F.lit("}}"))
+    rows = t("part").select(F.col("p_partkey").cast("string").alias("path"), F.explode(F.map_from_arrays(F.array(F.lit("comic_info"), F.lit("comic_book_info")), F.array(xml, json))).alias("fmt", "payload"))
+    return V.validate(rows, ["comic_info", "comic_book_info"])
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' END AS country, CAST(n_nationkey * 1.25 AS DOUBLE) AS price FROM nation")
