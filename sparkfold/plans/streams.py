@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
+from ..streaming import state as K
 from ..streaming import streams as S
 from .registry import query
 
@@ -97,3 +98,36 @@ def e08_batches_to_a_handler(t):
 
     S.run_to_table(stream, folder, on_batch=handler)
     return spark.read.parquet(f"{folder}/seen").groupBy(F.col("event_type").alias("kind")).agg(F.sum("n").alias("n"))
+
+
+def _kept_in_state(t, folder: str):
+    """Two runs over the events, the earlier half first; every tenth user was known before.  The rows that came out."""
+    events = t("events").select("user_id", "event_type", "event_id")
+    spark = events.sparkSession
+    half = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    earlier = events.where("user_id % 10 = 0").groupBy("user_id").agg(F.lit("known").alias("event_type"), F.lit(-1).cast("long").alias("event_id"))
+    before = spark.conf.get(K.PROVIDER)
+    spark.conf.set(K.PROVIDER, K.ROCKSDB)  # the runs end here, so the session gets its setting back
+    try:
+        for part in (f"event_id <= {half}", f"event_id > {half}"):
+            events.where(part).write.mode("append").parquet(f"{folder}/in")
+            stream = K.first_writers(S.read_events(spark, f"{folder}/in", events.schema), "user_id", "event_type", "event_id", earlier=earlier)
+            rows = S.run_to_table(stream, folder)
+    finally:
+        spark.conf.set(K.PROVIDER, before)
+    return rows
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events WHERE user_id % 10 > 0 GROUP BY user_id")
+def t03_keyed_state(t):
+    """First writers from keyed state with an initial state and a restart; a key is emitted once."""
+    return _kept_in_state(t, shared_folder(t("events").sparkSession))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def t04_state_as_a_table(t):
+    """The map of each key, read from the state of the stream: what was offered, and how often."""
+    spark = t("events").sparkSession
+    folder = shared_folder(spark)
+    _kept_in_state(t, folder)
+    return K.state_table(spark, f"{folder}/checkpoint", "offered").select(F.col("key.user_id").alias("user_id"), F.col("user_map_key.value").alias("event_type"), F.col("user_map_value.n").alias("n"))

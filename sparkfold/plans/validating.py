@@ -19,10 +19,10 @@ _PARTS = {
 }
 
 
-@query("""WITH lines AS (SELECT l_orderkey, count(*) AS n, bool_and(l_quantity BETWEEN 1 AND 40) AS each FROM lineitem GROUP BY l_orderkey),
-o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p, o_orderpriority AS q, coalesce(n, 0) AS n, coalesce(each, true) AS each FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey),
-v AS (SELECT k, k % 11 > 0 AS kinds, k % 7 > 0 AS needed, k % 7 = 0 OR s IN ('O', 'F') AS listed, k % 11 = 0 OR k % 5 = 0 OR p <= 400000 AS bounds, q[1] <> '5' AS pattern, n <= 5 AS few, each, (k % 2 = 0) <> (k % 3 = 0) AS one_of, k % 13 > 0 AS closed, k % 7 = 0 OR s <> 'F' OR k % 5 > 0 OR k % 11 = 0 AS implied FROM o)
-SELECT *, kinds AND needed AND listed AND bounds AND pattern AND few AND each AS whole FROM v""")
+@query("""WITH lines AS (SELECT l_orderkey, count(*) AS n, bool_and(l_quantity BETWEEN 1 AND 40) AS each, count(*) = count(DISTINCT (l_linenumber, CAST(l_quantity AS INTEGER))) AS differ FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p, o_orderpriority AS q, coalesce(n, 0) AS n, coalesce(each, true) AS each, coalesce(differ, true) AS differ FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey),
+v AS (SELECT k, k % 11 > 0 AS kinds, k % 7 > 0 AS needed, k % 7 = 0 OR s IN ('O', 'F') AS listed, k % 11 = 0 OR k % 5 = 0 OR p <= 400000 AS bounds, q[1] <> '5' AS pattern, n <= 5 AS few, each, (k % 2 = 0) <> (k % 3 = 0) AS one_of, k % 13 > 0 AS closed, k % 7 = 0 OR s <> 'F' OR k % 5 > 0 OR k % 11 = 0 AS implied, differ FROM o)
+SELECT * EXCLUDE (differ), kinds AND needed AND listed AND bounds AND pattern AND few AND each AND differ AS whole FROM v""")
 def m21_json_schema(t):
     """Orders as documents, some with a price in quotes, without a status or price, or with a property of their own; one verdict for each keyword."""
     k = F.col("o_orderkey")
