@@ -202,17 +202,21 @@ def k13_l08_t07_windows(t):
     files = A.container_files(spark, root).select("path", "content").where((key_of() % 20).isin(0, 2, 3)).withColumn("documents", F.create_map(F.lit("ComicInfo.xml"), F.lit("<ComicInfo/>")))
     n, out = files.count(), None
     for run in ("stop", "cancel", "go"):
-        calls: list[int] = []
+        begun: list[int] = []
 
-        def cancelled(run=run, calls=calls) -> bool:
-            calls.append(1)
-            return run == "cancel" and len(calls) > 2
+        def cancelled(run=run, begun=begun) -> bool:
+            return run == "cancel" and len(begun) > 2
 
         rows = files if run == "stop" else files.where(key_of() % 20 != 3)
         folder = _local(t)
-        done = K.in_windows(rows, lambda part, folder=folder: K.write_archives(part, folder, root), shared_folder(spark), 6, run == "stop", cancelled)
+
+        def write(part, folder=folder, begun=begun):
+            begun.append(1)
+            return K.write_archives(part, folder, root)
+
+        done = K.in_windows(rows, write, shared_folder(spark), 6, run == "stop", cancelled)
         total = n if run == "stop" else rows.count()
-        one = done.agg(F.lit(run).alias("run"), (F.count_if(F.col("error") == "cancelled") > 0).alias("stopped"), (F.count("*") == total).alias("all_rows"), (F.count_if("written") > 0).alias("some_done"))
+        one = done.agg(F.lit(run).alias("run"), (F.count_if(F.col("error").isin("cancelled", "interrupted")) > 0).alias("stopped"), (F.count("*") == total).alias("all_rows"), (F.count_if("written") > 0).alias("some_done"))
         out = one if out is None else out.unionByName(one)
     return out
 

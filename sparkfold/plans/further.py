@@ -17,6 +17,7 @@ from ..operators import records as E
 from ..operators import resolve as V
 from ..operators import shape as H
 from ..operators import validate as C
+from ..operators.fold import Merger, fold
 from ..sources import documents as D
 from ..sources import writers as W
 from .registry import query
@@ -157,6 +158,36 @@ def e03_merger(t):
     return n.select("user_id", "event_type", merger["n"].alias("n"))
 
 
+class FirstLarge(Merger):
+    """The price of the first line of a large quantity, the lines up to it, and the last tax that is not zero."""
+
+    def start(self):
+        return {"n": 0, "price": None, "tax": None}
+
+    def add(self, state, row):
+        if state["price"] is None:
+            state["n"] += 1
+            state["price"] = row["l_extendedprice"] if row["l_quantity"] > 48 else None
+        state["tax"] = row["l_tax"] if row["l_tax"] > 0 else state["tax"]
+        return state
+
+    def join(self, first, second):
+        ended = first["price"] is not None
+        return {"n": first["n"] + (0 if ended else second["n"]), "price": first["price"] if ended else second["price"], "tax": first["tax"] if second["tax"] is None else second["tax"]}
+
+    def result(self, state):
+        return {"lines": state["n"], "price": state["price"], "tax": state["tax"]}
+
+
+@query("""WITH l AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS k, row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax) AS i FROM lineitem),
+f AS (SELECT k, min(i) FILTER (l_quantity > 48) AS first, count(*) AS n, arg_max(l_tax, i) FILTER (l_tax > 0) AS tax FROM l GROUP BY k)
+SELECT f.k, CAST(coalesce(first, n) AS BIGINT) AS lines, l_extendedprice AS price, tax FROM f LEFT JOIN l ON l.k = f.k AND i = first""")
+def e03_merger_of_ones_own(t):
+    """A user's fold in an order, of lines by supplier; one key has a third of all lines."""
+    rows = t("lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey")).alias("k"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax")
+    return fold(rows, ["k"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax"], FirstLarge(), "lines bigint, price double, tax double")
+
+
 @query("SELECT p_partkey, 'ruled ' || p_name AS title FROM part")
 def e04_rule_of_ones_own(t):
     """A rule is added behind the built-in ones, and taken out again."""

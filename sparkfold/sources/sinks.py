@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import io
 import os
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archives as A
@@ -191,19 +192,73 @@ def export_table(rows: DataFrame, folder: str, formats: list[str]) -> None:
     documents.write.mode("overwrite").partitionBy("fmt").parquet(folder)
 
 
+#: Seconds between two looks at whether a run has been cancelled.
+LOOK = 0.2
+
+
+class Watch:
+    """Interrupts the jobs of a tag as soon as ``cancelled`` says so, while the body of the ``with`` runs.
+
+    ``cancelled`` is asked in another thread.  The error with which interrupted jobs end is swallowed; ``hit`` tells
+    whether it came to that.
+    """
+
+    def __init__(self, spark: SparkSession, cancelled: Callable[[], bool]) -> None:
+        self.spark, self.cancelled, self.tag = spark, cancelled, f"sparkfold-{uuid.uuid4().hex}"
+        self.over, self.hit = threading.Event(), False
+        self.thread = threading.Thread(target=self._look, daemon=True)
+
+    def _look(self) -> None:
+        while not self.over.wait(LOOK):
+            if self.cancelled():
+                self.hit = True
+                while not self.over.wait(LOOK):  # a plan has several jobs, and the next one may just begin
+                    self.spark.sparkContext.cancelJobsWithTag(self.tag)
+                return
+
+    def __enter__(self) -> Watch:
+        context = self.spark.sparkContext  # tags of the context are seen by all threads, those of a session by their own
+        context.addJobTag(self.tag)
+        context.setInterruptOnCancel(True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: object) -> bool:
+        self.over.set()
+        self.thread.join()
+        self.spark.sparkContext.removeJobTag(self.tag)
+        self.spark.sparkContext.setInterruptOnCancel(False)
+        return self.hit and isinstance(error, Exception)
+
+
 def in_windows(rows: DataFrame, write: Callable[[DataFrame], DataFrame], results: str, windows: int = 8, stop_on_error: bool = False, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
     """Runs ``write`` window after window, each a Spark job, and returns its RESULT rows from the folder ``results``.
 
-    Rows are dealt to windows by a hash of their path.  Before each window, ``cancelled`` and, with
-    ``stop_on_error``, errors so far are looked at; the rows of windows that are not run get the error ``cancelled``.
+    Rows are dealt to windows by a hash of their path.  ``cancelled`` is asked all the time: the job that runs is
+    interrupted, and no further one begins.  With ``stop_on_error`` no further one begins after an error.  What finished
+    windows have written stays.  There is one row for each input: those of an interrupted window get the error
+    ``interrupted`` (a file of theirs is whole or not there, as files are written under another name first), those of
+    windows that were not run get ``cancelled``.
     """
     spark, stopped = rows.sparkSession, False
     window = F.pmod(F.xxhash64("path"), F.lit(windows))
+
+    def report(part: DataFrame, error: str, at: str) -> None:
+        part.select("path", F.lit(None).cast("string").alias("target"), F.lit(False).alias("written"), F.lit(None).cast("bigint").alias("bytes"), F.lit(error).alias("error")).write.mode("overwrite").parquet(at)
+
     for i in range(windows):
-        part = rows.where(window == i)
+        part, at = rows.where(window == i), f"{results}/window={i}"
         stopped = stopped or cancelled()
-        out = part.select("path", F.lit(None).cast("string").alias("target"), F.lit(False).alias("written"), F.lit(None).cast("bigint").alias("bytes"), F.lit("cancelled").alias("error")) if stopped else write(part)
-        out.write.parquet(f"{results}/window={i}")
-        if stop_on_error and not stopped:
-            stopped = not spark.read.schema(RESULT).parquet(f"{results}/window={i}").where("error IS NOT NULL").isEmpty()
+        if stopped:
+            report(part, "cancelled", at)
+            continue
+        whole = False
+        with Watch(spark, cancelled) as watch:
+            write(part).write.parquet(at)
+            whole = True
+        stopped = watch.hit
+        if not whole:
+            report(part, "interrupted", at)
+        elif stop_on_error and not stopped:
+            stopped = not spark.read.schema(RESULT).parquet(at).where("error IS NOT NULL").isEmpty()
     return spark.read.schema(RESULT).parquet(results)
