@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.shared import shared_folder
 from . import match as M
 from . import names as A
 from . import online as O
@@ -164,6 +165,10 @@ def run(people: DataFrame, catalog: DataFrame, own: dict[str, M.Policy], policy:
     scored = score(candidates(people, offers, key, effort))
     if covers is not None:
         scored = _with_covers(scored.join(covers, key, "left"), key, policy)
+    # each source and the decisions look at all pairs: they are made once
+    folder = shared_folder(people.sparkSession)
+    scored.write.parquet(folder)
+    scored = people.sparkSession.read.schema(scored.schema).parquet(folder)
     names = list(own) or [r[0] for r in offers.select("source").distinct().orderBy("source").collect()]  # a handful of catalogs
     parts = None
     for i, name in enumerate(names):

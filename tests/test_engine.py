@@ -157,9 +157,9 @@ def test_reprints_consolidate(spark):
 
 
 def test_validation(spark):
-    rows = [("a", "comic_info", COMIC_INFO), ("b", "comic_info", "<ComicInfo><CommunityRating>7</CommunityRating></ComicInfo>"), ("c", "comic_info", "no xml"), ("d", "page_list", "anything"), ("f", "comet", "anything"), ("e", "comic_book_info", INFO_JSON.replace("84", "8"))]
+    rows = [("a", "comic_info", COMIC_INFO.replace("<Unknown>x</Unknown>", "")), ("u", "comic_info", COMIC_INFO), ("b", "comic_info", "<ComicInfo><CommunityRating>7</CommunityRating></ComicInfo>"), ("c", "comic_info", "no xml"), ("d", "page_list", "anything"), ("f", "comet", "anything"), ("e", "comic_book_info", INFO_JSON.replace("84", "8"))]
     found = {r.path: r.valid for r in validate.validate(spark.createDataFrame(rows, "path string, fmt string, payload string")).collect()}
-    assert found == {"a": True, "b": False, "c": False, "d": True, "e": True, "f": False}
+    assert found == {"a": True, "u": False, "b": False, "c": False, "d": True, "e": True, "f": False}
 
 
 def test_page_slices(spark):
