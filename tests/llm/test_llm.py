@@ -751,7 +751,7 @@ def test_stages_keep_other_columns(spark, odd):
 
 
 def test_registered_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, docs):
