@@ -13,7 +13,7 @@ from .registry import query
 
 @query("SELECT l_orderkey, CAST(count(*) AS INTEGER) AS pages FROM lineitem GROUP BY l_orderkey")
 def c01_page_count(t):
-    counted = t("lineitem").groupBy("l_orderkey").agg(F.size(F.collect_list("l_linenumber")).alias("n"))
+    counted = t("lineitem").groupBy("l_orderkey").agg(F.count("l_linenumber").cast("int").alias("n"))
     return counted.select("l_orderkey", R.page_count(F.lit(None).cast("int"), F.col("n")).alias("pages"))
 
 
@@ -83,12 +83,14 @@ def c13_stories_title(t):
     return t("part").select("p_partkey", R.stories_title(F.split("p_name", " ")).alias("title"))
 
 
-@query("""SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS entries FROM events GROUP BY user_id""")
+@query("""SELECT user_id, string_agg(series || ':' || language, ',' ORDER BY first) AS entries FROM (SELECT user_id, min(event_id) AS first, CASE WHEN min(event_id) % 3 = 0 THEN upper(event_type) ELSE event_type END AS series,
+coalesce(max(CASE WHEN event_id % 2 = 0 THEN 'en' END), '') AS language FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
 def c14_reprint_consolidation(t):
-    """Entries that agree in all they have are one."""
+    """Entries that agree in all they have are one: the first spelling, the language of any."""
     entry = F.struct(F.when(F.col("event_id") % 2 == 0, F.lit("en")).alias("language"), F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("series"))
     rows = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("e")))).alias("m"))
-    return rows.select("user_id", F.size(L.consolidate(F.transform("m", lambda x: x["e"]), ["language", "series"])).alias("entries"))
+    folded = L.consolidate(F.transform("m", lambda x: x["e"]), ["language", "series"])
+    return rows.select("user_id", F.array_join(F.transform(folded, lambda e: F.concat_ws(":", e["series"], F.coalesce(e["language"], F.lit("")))), ",").alias("entries"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type WHEN p_size % 3 = 1 THEN 'Digital' END AS original_format FROM part")

@@ -17,6 +17,7 @@ from ..operators import records as E
 from ..operators import resolve as V
 from ..operators import shape as H
 from ..operators import validate as C
+from ..operators.code_sources import CodeSource, search
 from ..operators.fold import Merger, fold
 from ..sources import documents as D
 from ..sources import writers as W
@@ -238,15 +239,31 @@ def m13_m18_resolution_run(t):
     return found.select("path", how.alias("resolution"), F.when(F.col("resolution") == "EXPLICIT", F.col("issue_id")).alias("issue_id"))
 
 
-@query("""SELECT o_orderkey % 50 AS profile, count(*) AS n, count(*) FILTER (o_orderkey % 50 % 2 = 0) AS hashed FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 50 ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER (PARTITION BY o_orderkey % 50) AS c FROM orders) WHERE place <= least(15, greatest(5, c // 2)) GROUP BY 1""")
+@query("""SELECT profile, count(*) AS n, round(sum(CASE WHEN profile % 2 = 0 AND place <= least(15, greatest(5, c // 2)) THEN 0.8 * metadata + 0.2 * (o_orderkey % 8) / 8.0 ELSE metadata END)::DOUBLE, 6) AS score FROM (
+SELECT o_orderkey, o_orderkey % 50 AS profile, CAST(0.5 + o_custkey % 40 / 100.0 AS DOUBLE) AS metadata, row_number() OVER (PARTITION BY o_orderkey % 50 ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER (PARTITION BY o_orderkey % 50) AS c FROM orders) GROUP BY profile""")
 def m10_e09_covers_of_the_best(t):
-    """Covers are compared for the best candidates alone, and only where metadata does not decide."""
+    """Covers, different for each candidate, are compared for the best ones alone, and only where metadata does not decide; the others keep their metadata."""
     w = Window.partitionBy("profile").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    rows = t("orders").select((F.col("o_orderkey") % 50).alias("profile"), "o_orderkey", "o_totalprice").withColumns({"place": F.row_number().over(w), "metadata": F.lit(0.9)})
-    out = O.compare_covers(rows, "profile", lambda x: x.withColumn("cover", F.lit(0.5)), M.final_score, F.col("profile") % 2 == 0, M.hash_count)
-    w2 = Window.partitionBy("profile")
-    counted = out.withColumn("c", F.count("*").over(w2)).where(F.col("place") <= M.hash_count(F.col("c")))
-    return counted.groupBy("profile").agg(F.count("*").alias("n"), F.count_if(F.round("score", 6) == 0.82).alias("hashed"))
+    rows = t("orders").select((F.col("o_orderkey") % 50).alias("profile"), "o_orderkey", "o_totalprice", (0.5 + F.col("o_custkey") % 40 / 100).cast("double").alias("metadata")).withColumn("place", F.row_number().over(w))
+    out = O.compare_covers(rows, "profile", lambda x: x.withColumn("cover", (F.col("o_orderkey") % 8) / 8), M.final_score, F.col("profile") % 2 == 0, M.hash_count)
+    return out.groupBy("profile").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+class EveryIssue(CodeSource):
+    """A catalog that is a rule: an issue n has n mod 3 entries."""
+
+    name, fields = "rule", "issue_id bigint, series string"
+
+    def search(self, profile):
+        for k in range((profile["issue_int"] or 0) % 3):
+            yield {"issue_id": profile["issue_int"] * 1000 + k, "series": profile["series"].upper()}
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_size * 1000 + k AS BIGINT) AS issue_id, upper(p_name) AS series, 'rule' AS source FROM part, (SELECT unnest([0, 1]) AS k) WHERE k < p_size % 3")
+def e05_catalog_that_is_code(t):
+    """A source of one's own as a table function over all profiles, against a join that follows its rule."""
+    people = t("part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("series"), F.col("p_size").cast("bigint").alias("issue_int"))
+    return search(people, EveryIssue()).select("path", "issue_id", "series", "source")
 
 
 @query("""WITH f AS (SELECT o_orderkey, lower(o_orderstatus) || '|' || year(o_orderdate) AS fingerprint, o_custkey % 10 AS volume_id FROM orders), d AS (SELECT fingerprint, min(volume_id) AS v FROM f GROUP BY fingerprint)

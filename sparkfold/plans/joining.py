@@ -63,12 +63,14 @@ def j09_stored_identifier(t):
     return L.stored_identifier(rows, ["l_orderkey"], "text", "rank")
 
 
-@query("""SELECT o_custkey, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS entries FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, string_agg(series || ':' || language, ',' ORDER BY first) AS entries FROM (SELECT o_custkey, min(o_orderkey) AS first, CASE WHEN min(o_orderkey) % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS series,
+coalesce(max(CASE WHEN o_orderkey % 3 = 0 THEN 'x' END), '') AS language FROM orders GROUP BY o_custkey, o_orderpriority) GROUP BY o_custkey""")
 def j10_consolidation(t):
     """Entries that contradict each other in nothing but case, or lack what the other has, are one."""
     entry = F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.upper("o_orderpriority")).otherwise(F.lower("o_orderpriority")).alias("series"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("x")).alias("language"))
     rows = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", entry.alias("e")))).alias("m"))
-    return rows.select("o_custkey", F.size(L.consolidate(F.transform("m", lambda x: x["e"]), ["series", "language"])).alias("entries"))
+    folded = L.consolidate(F.transform("m", lambda x: x["e"]), ["series", "language"])
+    return rows.select("o_custkey", F.array_join(F.transform(folded, lambda e: F.concat_ws(":", e["series"], F.coalesce(e["language"], F.lit("")))), ",").alias("entries"))
 
 
 @query("""SELECT change, count(*) AS n FROM (SELECT CASE WHEN toxic > quality THEN 'WIN' WHEN toxic < quality THEN 'REGRESS' ELSE 'NEUTRAL' END AS change FROM labels) GROUP BY change""")
