@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/sparkfold-shared"
     return f"{base.rstrip('/')}/sparkfold-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Sends this package to the workers of a session whose nodes don't have it installed; the name of the archive."""
+    folder, name = tempfile.mkdtemp(), "sparkfold-package.zip"
+    if not any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        root = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(f"{folder}/{name}", "w", zipfile.ZIP_DEFLATED) as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, path.relative_to(root.parent))
+        spark.sparkContext.addPyFile(f"{folder}/{name}")
+    return name

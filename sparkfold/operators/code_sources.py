@@ -7,6 +7,8 @@ is a table like any catalog, so it is scored and resolved like one.
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.numbers import RATE_LIMIT_SCHEDULE
+from . import online as O
 from .fold import to_arrow_type
 
 #: Columns of a profile that a source may look at.
@@ -37,11 +41,40 @@ class CodeSource:
         """Entries that a profile may mean."""
         raise NotImplementedError
 
+    def wait(self, seconds: float) -> None:
+        """Called before another try."""
+        time.sleep(seconds)
+
     def lookup(self, volume: int, issue: str | None) -> dict | None:
         """The entry of an issue of a known volume; None where the source cannot tell or does not know."""
         return None
 
 
+def failure_of(problem: Exception) -> str:
+    """rate_limit, transient or permanent, by a ``status`` of the error or else by what it says."""
+    status, text = getattr(problem, "status", None), str(problem).lower()
+    if status in O.RATE_STATUS or "rate limit" in text:
+        return "rate_limit"
+    again = status in O.TRANSIENT_STATUS or re.search("timed? ?out|connection (?:reset|refused|aborted)", text)
+    return "transient" if again else "permanent"
+
+
+def persistent(source: CodeSource, profile: dict) -> list[dict]:
+    """The entries of a profile; a failure that may pass is tried again, each time after a longer wait."""
+    tries = {"rate_limit": O.RATE_TRIES, "transient": O.TRANSIENT_TRIES, "permanent": 1}
+    attempt = 1
+    while True:
+        try:
+            return list(source.search(profile))
+        except Exception as problem:
+            kind = failure_of(problem)
+            if attempt >= tries[kind]:
+                raise
+            # The waiting times of both kinds
+            source.wait(RATE_LIMIT_SCHEDULE[min(attempt, len(RATE_LIMIT_SCHEDULE)) - 1] if kind == "rate_limit" else min(60, 2**attempt))
+            attempt += 1
+
+
 def search_function(source: CodeSource, key: StructField):
     """The table function of a source: (TABLE of profiles) -> key, the fields, error; ``spark.udtf.register`` gives it to SQL."""
     fields, name = StructType.fromDDL(source.fields), key.name
@@ -55,7 +88,7 @@ def search_function(source: CodeSource, key: StructField):
             for row in batch.select([name, *known]).to_pylist():
                 mine = row.pop(name)
                 try:
-                    found += [{**{f.name: entry.get(f.name) for f in fields.fields}, name: mine, "error": None} for entry in source.search(row)]
+                    found += [{**{f.name: entry.get(f.name) for f in fields.fields}, name: mine, "error": None} for entry in persistent(source, row)]
                 except Exception as problem:  # one profile that a source cannot take must not end the others
                     found.append({name: mine, "error": f"{type(problem).__name__}: {problem}"})
                 if len(found) >= TOGETHER:

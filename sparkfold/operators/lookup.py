@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a dimension that may be broadcast; beyond that Spark chooses by size.
-SMALL = 10_000
+#: Rows and characters of a dimension that may be broadcast; beyond that Spark chooses by size.
+SMALL, SMALL_TEXT = 10_000, 8 << 20
 
 
 def small(dimension: DataFrame) -> DataFrame:
-    """Broadcast hint for a dimension, given only after its size has been checked."""
-    return F.broadcast(dimension) if len(dimension.take(SMALL + 1)) <= SMALL else dimension
+    """Broadcast hint for a dimension, given only after its rows and their size as text have been checked.
+
+    The check is a job of its own that runs while the plan is built; it reads one row more than the bound at most.
+    """
+    length = sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in dimension.columns), F.lit(0))
+    n, size = dimension.limit(SMALL + 1).agg(F.count("*"), F.coalesce(F.sum(length.cast("long")), F.lit(0))).first()
+    return F.broadcast(dimension) if n <= SMALL and size <= SMALL_TEXT else dimension
 
 
 def fresh(wanted: str, *frames: DataFrame) -> str:

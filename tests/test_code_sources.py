@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from sparkfold.functions.numbers import RATE_LIMIT_SCHEDULE
 from sparkfold.operators import code_sources, match, resolve
 
 PEOPLE = "path string, series string, issue string, issue_int long, year int, publisher string, pages int, volume int"
@@ -53,3 +54,29 @@ def test_in_turn_and_resolved(spark, people):
     assert {(r.path, r.source) for r in found.collect()} == {("p1", "first"), ("p2", "second")}
     done = {r.path: (r.resolution, r.source, r.issue_id) for r in resolve.run(people, code_sources.as_catalog(found), {}, match.Policy(margin=0.05)).collect()}
     assert done["p1"][1:] == ("first", 970) and done["p2"][1:] == ("second", 981) and done["p3"][0] == "NO_MATCH"
+
+
+def test_failures_that_may_pass_are_tried_again():
+    class Shaky(code_sources.CodeSource):
+        def __init__(self, failures, status=None):
+            self.left, self.status, self.waits = failures, status, []
+
+        def wait(self, seconds):
+            self.waits.append(seconds)
+
+        def search(self, profile):
+            yield {"issue_id": 1}
+            if self.left:
+                self.left -= 1
+                problem = RuntimeError("Connection reset by peer" if self.status is None else "no")
+                problem.status = self.status
+                raise problem
+
+    good = Shaky(3)
+    assert code_sources.persistent(good, {}) == [{"issue_id": 1}] and good.waits == [2, 4, 8]
+    limited = Shaky(5, 429)
+    assert code_sources.persistent(limited, {}) == [{"issue_id": 1}] and limited.waits == list(RATE_LIMIT_SCHEDULE[:5])
+    for shaky, waits in ((Shaky(99), 4), (Shaky(1, 404), 0)):
+        with pytest.raises(RuntimeError):
+            code_sources.persistent(shaky, {})
+        assert len(shaky.waits) == waits
