@@ -45,23 +45,27 @@ def _all(checks: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, checks, F.lit(True))
 
 
+def _unless(check: Column, other: Column) -> Column:
+    """The check, which passes where it is null or where the value is of another kind; that is looked at only if it fails."""
+    return F.coalesce(check, F.lit(True)) | other
+
+
 def _if(condition: Column, check: Column) -> Column:
     """The check where the condition holds; what it does not concern passes."""
     return F.when(condition, check).otherwise(True)
 
 
-def _name(v: Column) -> Column:
-    """BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, VOID, ARRAY<..> or OBJECT<..>."""
-    return F.schema_of_variant(v)
-
-
 def _is(v: Column, kind: str) -> Column:
-    name = _name(v)
-    number = name.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    """Whether a variant is of a kind.  Objects and arrays are told by their parts, as describing them would walk through all they hold."""
+    if kind == "object":
+        return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    if kind == "array":
+        return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    name, x = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
+    number = x.isNotNull() & name.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")  # text that reads like a number is none
     if kind == "integer":
-        x = F.try_variant_get(v, "$", "double")
         return number & (x == F.rint(x))
-    return {"object": name.startswith("OBJECT"), "array": name.startswith("ARRAY"), "string": name == "STRING", "boolean": name == "BOOLEAN", "null": name == "VOID", "number": number}[kind]
+    return {"string": name == "STRING", "boolean": name == "BOOLEAN", "null": F.is_variant_null(v), "number": number}[kind]
 
 
 def _equals(v: Column, value: object) -> Column:
@@ -150,7 +154,7 @@ class JsonSchema:
         if "multipleOf" in s:
             share = x / F.lit(float(s["multipleOf"]))
             checks.append(F.abs(share - F.round(share)) <= 1e-9 * F.greatest(F.abs(share), F.lit(1.0)))
-        return [_if(_is(v, "number"), _all(checks))] if checks else []
+        return [_unless(_all(checks), ~_is(v, "number"))] if checks else []
 
     def _texts(self, s: dict, v: Column) -> list[Column]:
         text = F.try_variant_get(v, "$", "string")
@@ -163,7 +167,7 @@ class JsonSchema:
             checks.append(text.rlike(s["pattern"]))
         if s.get("format") in FORMATS:
             checks.append(F.coalesce(FORMATS[s["format"]](text), F.lit(False)))
-        return [_if(_is(v, "string"), _all(checks))] if checks else []
+        return [_unless(_all(checks), ~_is(v, "string"))] if checks else []
 
     def _arrays(self, s: dict, v: Column, sub) -> list[Column]:
         items = F.try_variant_get(v, "$", "array<variant>")
@@ -185,7 +189,7 @@ class JsonSchema:
             checks.append(hits >= int(s.get("minContains", 1)))
             if "maxContains" in s:
                 checks.append(hits <= int(s["maxContains"]))
-        return [_if(_is(v, "array"), _all(checks))] if checks else []
+        return [_unless(_all(checks), F.lit(False))] if checks else []
 
     def _objects(self, s: dict, v: Column, sub) -> list[Column]:
         everything = F.try_variant_get(v, "$", "map<string,variant>")
@@ -195,7 +199,9 @@ class JsonSchema:
             return F.try_variant_get(v, path, "variant") if path else F.try_element_at(everything, F.lit(name))
 
         n, keys = F.cardinality(everything), F.map_keys(everything)
-        checks = [value(k).isNotNull() for k in s.get("required", [])]
+        # a path of what is no object is null, and so are its map and its keys
+        must = [value(k).isNotNull() for k in s.get("required", [])]
+        checks = [_unless(_all(must), ~_is(v, "object"))] if must else []
         if "maxProperties" in s:
             checks.append(n <= int(s["maxProperties"]))
         if "minProperties" in s:
@@ -213,7 +219,7 @@ class JsonSchema:
         if more is not True:
             other = F.map_filter(everything, lambda k, _: ~reduce(lambda a, b: a | b, (k.rlike(p) for p in patterns), k.isin(list(named)) if named else F.lit(False)))
             checks.append(F.cardinality(other) == 0 if more is False else F.forall(F.map_values(other), lambda x: sub(more, x)))
-        return [_if(_is(v, "object"), _all(checks))] if checks else []
+        return [_unless(c, F.lit(False)) for c in checks]
 
 
 def _of_pattern(everything: Column, pattern: str, schema: dict | bool, sub) -> Column:
