@@ -1,22 +1,24 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. *Inverse document frequency.*  A shingle is five successive words.  Its weight is its count in the
-   text times ``1 + ln(min(1/RARE, documents / documents that hold it))``: a shingle that less than one
-   document in 16 holds has full weight, a frequent one weighs less.  So only frequent shingles need
-   counting.  By the pigeonhole principle one that is frequent in all is half as frequent, at least, in
-   blocks that add up to half of it: blocks report what they hold often, these candidates (their number
-   is bounded by twice the mean number of shingles over RARE, whatever the size of the corpus) are then
-   counted exactly over all documents.
-2. *Sampling.*  In each of eight rounds shingles fall into 64 bins anew and a consistent weighted sample is
-   drawn from each bin (an empty bin borrows from another one, in an order of its own in each round), which
-   makes 512 samples at the cost of eight evaluations a shingle.  As no two rounds share their bins, the
+1. *Inverse document frequency.*  A shingle is five successive words.  Its TF-IDF weight is its count in
+   the text times ``1 + ln(documents / documents that hold it)``, and every shingle is counted, exactly and over
+   all documents: those that a document in 16 holds come to the driver first (by the pigeonhole principle one that is
+   frequent in all is half as frequent, at least, in blocks that add up to half of it: blocks report what they
+   hold often, and these candidates, at most twice the mean number of shingles over RARE whatever the size of the
+   corpus, are then counted), so that they are no hot keys; all others are dealt out by their hash,
+   and how many documents hold them goes back to their texts.  What comes back for no text is held by one document.
+2. *Sampling.*  In each of ten rounds shingles fall into 64 bins anew and a consistent weighted sample is
+   drawn from each bin by the TF-IDF weights (an empty bin borrows from another one, in an order of its own in each
+   round), which makes 640 samples at the cost of ten evaluations a shingle.  As no two rounds share their bins, the
    samples of a band are independent for short texts as well.
-3. *Banding.*  64 bands of 8 samples, one from each round.  A pair of weighted Jaccard similarity 0.8
-   shares no band in about 1 of 100 000 cases (measured: 2 of 160 000 pairs of 5 to 45 shingles).  Rows are
-   sorted by band key and further samples, and the first texts of a bucket are all tied to each other, later ones to
+3. *Banding.*  128 bands of 5 samples, each from a round of its own.  By TF-IDF a pair of copies is less alike than
+   by step 4, as what they share is held by more documents than what they don't: where that is 0.67 in place of 0.8, a pair shares no
+   band in about 1 of 10⁷ cases, with 0.53 in 1 of 240.  Rows are sorted by band key and further samples, and the first texts of a bucket are all tied to each other, later ones to
    the text before them and to the first one, as similar texts are neighbours in that order.  The order is dealt out by ranges, so a key
    that a third of all texts share is the work of many tasks.
-4. *Verification.*  Candidate links are checked by the weighted Jaccard similarity of whole texts, and the
+4. *Verification.*  Candidate links are checked by the Jaccard similarity of whole texts, which a shingle enters with its
+   count; only one that a document in 16 holds has less weight there, ``1 + ln(documents / documents that hold it)`` over
+   ``1 + ln 16``.  So the threshold means the same on corpora of every size.  The
    connected components of the links that hold are the classes so far.
 5. *The rest of a bucket.*  In a bucket with more texts than are tied to each other, or one that a border of
    two tasks may cut, all other pairs are compared as well, unless the classes have joined them already: whole tables of overlaps are computed, in
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +48,19 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .session import bounded, discard, stored
+from .session import bounded, discard, stored, stored_tidily
 
 U64 = np.uint64
 SHINGLE_WORDS = 5
-#: Shingles in less than this share of the documents have full weight.
+#: Shingles in less than this share of the documents have full weight in the check of a link, and are counted by a shuffle.
 RARE = 1 / 16
-BINS, ROUNDS, BANDS = 64, 8, 64
+BINS, ROUNDS, BANDS = 64, 10, 128
+#: Samples of a band; bands beyond the first BINS take the next rounds.
+BAND_SAMPLES = ROUNDS * BINS // BANDS
 #: Shingles of a block that reports what it holds often; a block goes on over the batches of a task, so that it has many documents.
 BLOCK_SHINGLES = 1 << 21
+#: Ranges of hashes that shingles are counted in: one for so many bytes of text, and so many at least.
+RANGE_BYTES, RANGES = 1 << 24, 64
 #: Rows before it, in the order of further samples, that each of the first texts of a bucket is tied to.
 NEIGHBOURS = 5
 #: Hashes of texts that a task remembers, so as not to send a copy again.
@@ -106,6 +113,17 @@ def _text(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def _nodes(docs: DataFrame, text: str) -> DataFrame:
+    return _text(docs, text).select(F.xxhash64("text").alias("node"), "text")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each node of a task, so that copies don't move."""
+    seen: set[int] = set()
+    for batch in batches:
+        yield batch.take(pa.array(_unseen(batch.column(0).to_numpy().tolist(), seen), pa.int64()))
+
+
 def frequent_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and weights of the shingles that at least the share RARE of all documents hold."""
     texts = _text(docs, text)
@@ -157,13 +175,121 @@ def frequent_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray,
     return candidates[kept], 1 + np.log(total.held / held[kept])
 
 
-def weights(hashes: np.ndarray, counts: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """TF-IDF weight of each shingle."""
-    idf = np.full(len(hashes), 1 + np.log(1 / RARE))
+def _lookup(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The value of each frequent shingle, 0 for the others."""
     known, value = frequent
-    if len(known) and len(hashes):
-        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        idf = np.where(known[place] == hashes, value[place], idf)
+    if not len(known):
+        return np.zeros(len(hashes))
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[place] == hashes, value[place], 0)
+
+
+def weights(hashes: np.ndarray, counts: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weight of each shingle in the check of a link: full weight for all that are not frequent."""
+    idf = _lookup(hashes, frequent)
+    return (counts * np.where(idf > 0, idf, 1 + np.log(1 / RARE))).astype(np.float32)
+
+
+#: A shingle that two or more documents hold: its place in the sorted shingles of a text, and their number.
+_HELD = np.dtype([("place", "<u4"), ("held", "<u4")])
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _unpacked(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """Arrays of these types and of one length, which lie one behind another."""
+    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+#: What a part of a block says of each shingle: its hash in three pieces, its text, its place less its number in the part, copies of its text.
+_SENT = ("<u4", "<u2", "u1", "<u2", "<i4", "<u2")
+#: What comes back: text, place, number of documents.
+_BACK = ("<u2", "<u4", "<u4")
+
+
+def document_frequencies(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, text: str = "text") -> DataFrame:
+    """(node, held) of every text hash: as bytes, how many documents hold each of its shingles, if that is two or more.
+
+    The shingles of a block of texts go by ranges of their hashes to the parts in which they are counted, and what two or more
+    documents hold goes back to the block.  ``size`` is the bytes of all texts: a part has the shingles of RANGE_BYTES of them.  The
+    frequent shingles are left out, so no range has many rows of one of them.  A stored table; nodes can repeat, with equal values.
+    """
+    ranges = max(RANGES, -(-size // RANGE_BYTES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column, texts in _slices(batch.column(0), batch.column(1)):
+                node, first, copies = np.unique(column.to_numpy(), return_index=True, return_counts=True)
+                row, hashes, _ = shingles(texts.take(pa.array(first)))
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                rare = _lookup(hashes, frequent) == 0
+                row, hashes, place = row[rare], hashes[rare], place[rare]
+                part = ((hashes >> U64(20)) * U64(ranges) >> U64(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                row, hashes, place = row[order], hashes[order], place[order]
+                cuts = np.searchsorted(part[order], np.arange(ranges + 1))
+                # the same for the same texts, should a task run again
+                block = int.from_bytes(blake2b(node.tobytes(), digest_size=8).digest(), "little", signed=True)
+                keeper, parts, sent, nodes = block % ranges, [], [], []
+                for p, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if i < j or p == keeper:
+                        h = hashes[i:j]
+                        pieces = h.astype(np.uint32), (h >> U64(32)).astype(np.uint16), (h >> U64(48)).astype(np.uint8)
+                        parts.append(p)
+                        # within a text the places of a range of hashes follow each other, so the differences compress well
+                        sent.append(_packed(*pieces, row[i:j].astype(np.uint16), (place[i:j] - np.arange(j - i)).astype(np.int32), copies[row[i:j]].astype(np.uint16)))
+                        nodes.append(node.tobytes() if p == keeper else None)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(sent, pa.binary()), pa.array(nodes, pa.binary())], names=["part", "block", "sent", "nodes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        columns = [_unpacked(x, _SENT) for x in table.column("sent").to_pylist()]
+        low, middle, high, copies = (np.concatenate([c[i] for c in columns]) for i in (0, 1, 2, 5))
+        hashes = low | middle.astype(U64) << U64(32) | high.astype(U64) << U64(48)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        held = np.zeros(len(hashes), np.uint32)
+        if len(first):
+            held[order] = np.repeat(np.add.reduceat(copies[order].astype(np.int64), first), np.diff(np.append(first, len(hashes))))
+        back, at = [], 0
+        for column in columns:
+            here = held[at : at + len(column[0])]
+            at += len(here)
+            kept = np.flatnonzero(here > 1)
+            back.append(_packed(column[3][kept], (column[4][kept] + kept).astype(np.uint32), here[kept]))
+        return pa.table([table.column("block"), pa.array(back, pa.binary()), table.column("nodes")], names=["block", "back", "nodes"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        node = np.frombuffer(next(x for x in table.column("nodes").to_pylist() if x is not None), np.int64)
+        columns = [_unpacked(x, _BACK) for x in table.column("back").to_pylist()]
+        row, place, held = (np.concatenate([c[i] for c in columns]) for i in range(3))
+        order = np.lexsort((place, row))
+        known = np.empty(len(row), _HELD)
+        known["place"], known["held"] = place[order], held[order]
+        present = np.unique(row)
+        cuts = np.searchsorted(row[order], np.append(present, len(node)))
+        return pa.table([pa.array(node[present]), pa.array([known[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["node", "held"])
+
+    sent = _nodes(docs, text).mapInArrow(deal, "part int, block long, sent binary, nodes binary")
+    back = sent.groupBy("part").applyInArrow(count, "block long, back binary, nodes binary")
+    return stored_tidily(back.groupBy("block").applyInArrow(gather, "node long, held binary"))
+
+
+def tf_idf(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], held: pa.Array, documents: int) -> np.ndarray:
+    """TF-IDF weight of each shingle of the texts; ``held`` is their column of ``document_frequencies``, null without any."""
+    idf = _lookup(hashes, frequent)
+    idf[idf == 0] = 1 + np.log(documents)
+    starts = np.searchsorted(rows, np.arange(len(held)))
+    for start, table in zip(starts.tolist(), held.to_pylist(), strict=True):
+        if table:
+            known = np.frombuffer(table, _HELD)
+            idf[start + known["place"]] = 1 + np.log(documents / known["held"])
     return (counts * idf).astype(np.float32)
 
 
@@ -211,32 +337,29 @@ def band_rows(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands, uint64 [rows, BANDS], and the order within a bucket: four more samples, 16 bits each."""
     keys, orders = np.zeros((len(samples), BANDS), U64), np.zeros((len(samples), BANDS), U64)
     for i in range(BANDS):
-        for j in range(ROUNDS):
+        first = i // BINS * BAND_SAMPLES
+        for j in range(first, first + BAND_SAMPLES):
             keys[:, i] = K.mix64(keys[:, i] + samples[:, j, (i + 9 * j) % BINS].astype(U64) + U64(i + 1))
-        for j in range(4):
+        for j in range(first, first + 4):
             orders[:, i] = (orders[:, i] << U64(16)) | (samples[:, j, (i + 9 * j + 31) % BINS].astype(U64) & U64(0xFFFF))
     return keys, orders >> U64(1)
 
 
-def candidate_links(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
+def candidate_links(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], held: DataFrame, documents: int, text: str) -> DataFrame:
     """Distinct pairs (a, b), a < b, of hashes of texts that are neighbours in some bucket, with a null key.
 
     A bucket with more than TIED texts adds a row (a, a, key) for each of its texts, and so do the first and the
     last bucket of each task, which its neighbours may hold a part of.
     """
-    nodes = _text(docs, text).select(F.xxhash64("text").alias("node"), "text")
+    nodes = _nodes(docs, text)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for node, column in _slices(batch.column(0), batch.column(1)):
-                node = node.to_numpy()
-                fresh = _unseen(node.tolist(), seen)
-                column, node = column.take(pa.array(fresh, pa.int64())), node[fresh]
+            for node, column, known in _slices(batch.column(0), batch.column(1), batch.column(2)):
                 rows, hashes, counts = shingles(column)
-                present, samples = signatures(rows, hashes, weights(hashes, counts, frequent), len(node))
+                present, samples = signatures(rows, hashes, tf_idf(rows, hashes, counts, frequent, known, documents), len(node))
                 keys, orders = band_rows(samples)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(orders.view(np.int64).ravel()), pa.array(np.repeat(node[present], BANDS))], names=["key", "further", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(orders.view(np.int64).ravel()), pa.array(np.repeat(node.to_numpy()[present], BANDS))], names=["key", "further", "node"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last rows before a batch, and the first node and the size of the bucket that is still open
@@ -294,8 +417,9 @@ def candidate_links(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], te
             yield rows(np.zeros((2, 0), np.int64), keys[last], nodes[last])
 
     # stored first: the borders of the ranges are taken from a sample of the rows
-    bands = stored(nodes.mapInArrow(sketch, "key long, further long, node long"))
-    found = stored(bands.repartitionByRange("key", "further", "node").sortWithinPartitions("key", "further", "node").mapInArrow(neighbours, "a long, b long, key long").distinct())
+    texts = nodes.mapInArrow(_once, nodes.schema).join(held.dropDuplicates(["node"]).hint("merge"), "node", "left").dropDuplicates(["node"])
+    bands = stored_tidily(texts.mapInArrow(sketch, "key long, further long, node long"))
+    found = stored_tidily(bands.repartitionByRange("key", "further", "node").sortWithinPartitions("key", "further", "node").mapInArrow(neighbours, "a long, b long, key long").distinct())
     discard(bands)
     return found
 
@@ -319,7 +443,7 @@ _SHINGLE = np.dtype([("h", "<u4"), ("w", "<f4")])
 
 def shingle_tables(docs: DataFrame, links: DataFrame, frequent: tuple[np.ndarray, np.ndarray], text: str) -> DataFrame:
     """(node, shingles) of every text in ``links``: its shingles and their weights, as bytes."""
-    nodes = _text(docs, text).select(F.xxhash64("text").alias("node"), "text")
+    nodes = _nodes(docs, text)
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,13 +457,8 @@ def shingle_tables(docs: DataFrame, links: DataFrame, frequent: tuple[np.ndarray
                 table["h"], table["w"] = (hashes >> U64(20)).astype(np.uint32), weight
                 yield pa.RecordBatch.from_arrays([node, pa.array([table[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            yield batch.take(pa.array(_unseen(batch.column(0).to_numpy().tolist(), seen), pa.int64()))
-
-    # a task sends one text of each node, so copies don't move, and the join is the same at every size
-    distinct = nodes.mapInArrow(once, nodes.schema)
+    # a task sends one text of each node, and the join is the same at every size
+    distinct = nodes.mapInArrow(_once, nodes.schema)
     return distinct.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(tabulate, "node long, shingles binary")
 
 
@@ -473,7 +592,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text") -> Data
     """(node, component) of every text hash that has a verified link to another text; a stored table."""
     bounded(docs.sparkSession)
     frequent = frequent_shingles(docs, text)
-    found = candidate_links(docs, frequent, text)
+    documents, size = _text(docs, text).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    held = document_frequencies(docs, frequent, size, text)
+    found = candidate_links(docs, frequent, held, documents, text)
+    discard(held)
     candidates = found.where("key IS NULL").select("a", "b")
     tables = stored(shingle_tables(docs, found, frequent, text))
     linked = components(verified_links(candidates, tables, threshold))

@@ -434,6 +434,25 @@ def test_short_texts_share_a_band(same, own):
     assert missed <= 4
 
 
+@pytest.mark.parametrize("ranges", [1, 64])
+def test_every_shingle_has_its_exact_document_frequency(spark, monkeypatch, ranges):
+    """The weights that samples are drawn by, against a count of all shingles of all texts, copies and frequent ones included."""
+    monkeypatch.setattr(near_dup, "RANGES", ranges)
+    texts = [prose(500 + i % 70, 60) + " " + prose(900 + i % 7, 12) for i in range(140)] + ["the same few words in all of these copies"] * 5 + ["a b", "", prose(3, 3000)]
+    texts += [prose(3, 3000) + " and more"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    held = Counter(near_dup.shingles(pa.array(texts))[1].tolist())
+    frequent = near_dup.frequent_shingles(docs)
+    assert len(frequent[0]) and {1, 2, 3, 5} <= set(held.values())
+    size = sum(len(t.encode()) for t in texts)
+    found = {r.node: r.held for r in near_dup.document_frequencies(docs, frequent, size).collect()}
+    nodes = [r.node for r in docs.orderBy("doc_id").select(F.xxhash64("text").alias("node")).collect()]
+    rows, hashes, counts = near_dup.shingles(pa.array(texts))
+    weight = near_dup.tf_idf(rows, hashes, counts, frequent, pa.array([found.get(n) for n in nodes], pa.binary()), len(texts))
+    assert np.allclose(weight, counts * (1 + np.log(len(texts) / np.array([held[h] for h in hashes.tolist()]))))
+    assert len(set(np.round(weight / counts, 4).tolist())) > 4
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
