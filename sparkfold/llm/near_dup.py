@@ -9,12 +9,14 @@
    and how many documents hold them goes back to their texts.  What comes back for no text is held by one document.
 2. *Sampling.*  In each of ten rounds shingles fall into 64 bins anew and a consistent weighted sample is
    drawn from each bin by the TF-IDF weights (an empty bin borrows from another one, in an order of its own in each
-   round), which makes 640 samples at the cost of ten evaluations a shingle.  As no two rounds share their bins, the
-   samples of a band are independent for short texts as well.
+   round), which makes 640 samples at the cost of ten evaluations a shingle.  A bin is one sample whatever it weighs, so a
+   shingle that a text repeats is dealt out over bins: it is cut into pieces of the weight that one occurrence of the rarest shingle
+   has, the last one less.  Sums of least and greatest weights, and so similarities, are those of the whole shingles, and a text has no more pieces than
+   words.  As no two rounds share their bins, the samples of a band are independent for short texts as well.
 3. *Banding.*  128 bands of 5 samples, each from a round of its own.  By TF-IDF a pair of copies is less alike than
    by step 4, as what they share is held by more documents than what they don't: where that is 0.67 in place of 0.8, a pair shares no
    band in about 1 of 10⁷ cases, with 0.53 in 1 of 240.  Rows are sorted by band key and further samples, and the first texts of a bucket are all tied to each other, later ones to
-   the text before them and to the first one, as similar texts are neighbours in that order.  The order is dealt out by ranges, so a key
+   the text before them, as similar texts are neighbours in that order (step 5 compares all other pairs of such a bucket).  The order is dealt out by ranges, so a key
    that a third of all texts share is the work of many tasks.
 4. *Verification.*  Candidate links are checked by the Jaccard similarity of whole texts, which a shingle enters with its
    count; only one that a document in 16 holds has less weight there, ``1 + ln(documents / documents that hold it)`` over
@@ -293,6 +295,21 @@ def tf_idf(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, frequent: t
     return (counts * idf).astype(np.float32)
 
 
+def pieces(rows: np.ndarray, hashes: np.ndarray, weight: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles in pieces that weigh ``most``, the last one of each what is left; a first piece has the hash of its shingle."""
+    exact = weight.astype(np.float64)
+    number = np.maximum(np.ceil(exact / most - 1e-6), 1).astype(np.int64)
+    if not len(number) or number.max() == 1:
+        return rows, hashes, weight
+    shingle = np.repeat(np.arange(len(number)), number)
+    piece = np.arange(len(shingle)) - np.repeat(np.cumsum(number) - number, number)
+    cut = np.full(len(shingle), most, np.float32)
+    last = np.cumsum(number) - 1
+    cut[last] = exact - (number - 1) * most
+    named = np.where(piece > 0, K.mix64(hashes[shingle] + piece.astype(U64) * _STEPS[0]), hashes[shingle])
+    return rows[shingle], named, cut
+
+
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Quantiles of a Gamma(2, 1) variable in 65 536 steps, their logarithms, and the order in which empty bins borrow in each round."""
@@ -357,7 +374,8 @@ def candidate_links(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], he
         for batch in batches:
             for node, column, known in _slices(batch.column(0), batch.column(1), batch.column(2)):
                 rows, hashes, counts = shingles(column)
-                present, samples = signatures(rows, hashes, tf_idf(rows, hashes, counts, frequent, known, documents), len(node))
+                weight = tf_idf(rows, hashes, counts, frequent, known, documents)
+                present, samples = signatures(*pieces(rows, hashes, weight, 1 + np.log(documents)), len(node))
                 keys, orders = band_rows(samples)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(orders.view(np.int64).ravel()), pa.array(np.repeat(node.to_numpy()[present], BANDS))], names=["key", "further", "node"])
 
@@ -396,7 +414,8 @@ def candidate_links(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], he
                 if lag > 1:  # a larger bucket is compared as a whole later on
                     at = at[rank[at - old] < TIED]
                 pairs.append(np.stack([nodes[at - lag], nodes[at]]))
-            pairs.append(np.stack([np.repeat(heads, lengths), node]))
+            few = rank < TIED  # as above
+            pairs.append(np.stack([np.repeat(heads, lengths)[few], node[few]]))
             leader_key, leader, size = key[-1], heads[-1], rank[-1] + 1
             # the first text beyond TIED brings those before it along; the task's first bucket is reported from its first text
             edge = key == opening_key

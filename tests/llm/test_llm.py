@@ -453,6 +453,74 @@ def test_every_shingle_has_its_exact_document_frequency(spark, monkeypatch, rang
     assert len(set(np.round(weight / counts, 4).tolist())) > 4
 
 
+def repeating(loops: int, own: int, seed: int) -> str:
+    """A text that says one thing again and again, and ends with words of its own."""
+    return " ".join(["this step failed once more"] * loops + [f"id{seed}x{i}" for i in range(own)])
+
+
+def test_pieces_keep_weights_and_similarity():
+    rows, hashes, counts = near_dup.shingles(pa.array([repeating(90, 20, 1), repeating(70, 25, 2), "a b", ""]))
+    weight = (counts * 2.5).astype(np.float32)
+    row, piece, cut = near_dup.pieces(rows, hashes, weight, 3.25)
+    assert np.allclose(np.bincount(row, cut), np.bincount(rows, weight)) and 0 < cut.min() and cut.max() <= 3.25 + 1e-5
+    assert set(hashes.tolist()) <= set(piece.tolist()) and len(row) <= sum(counts)
+
+    def similarity(rows, hashes, weight):
+        x, y = (dict(zip(hashes[rows == i].tolist(), weight[rows == i].tolist())) for i in (0, 1))
+        low = sum(min(w, y.get(h, 0)) for h, w in x.items())
+        return low / (sum(x.values()) + sum(y.values()) - low)
+
+    true = similarity(rows, hashes, weight)
+    assert abs(similarity(row, piece, cut) - true) < 1e-5
+    _, samples = near_dup.signatures(row, piece, cut, 4)
+    assert abs((samples[0] == samples[1]).mean() - true) < 0.08
+    empty = near_dup.pieces(rows[:0], hashes[:0], weight[:0], 3.25)
+    assert all(len(x) == 0 for x in empty)
+
+
+def test_texts_that_share_what_they_repeat_are_found(spark):
+    """Pairs whose similarity lies in a few shingles that they repeat: 0.83 to 0.97 with counts, below 0.4 without."""
+    import corpus_pipeline
+
+    texts = []
+    for i, (loops, own) in enumerate([(100, 10), (100, 40), (400, 60), (400, 180), (30, 6), (1000, 100)]):
+        say = f"of{i} "  # each pair repeats something else
+        texts += [say + repeating(loops, own, k).replace("step", f"step{i}") for k in (2 * i, 2 * i + 1)]
+    texts += [prose(700 + i, 80) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    truth, least = brute_classes(texts), {}
+    for i, t in enumerate(texts):
+        least.setdefault(truth[t], i)
+    assert [least[truth[t]] for t in texts[:12]] == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8, 10, 10]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_the_pipeline_draws_samples_by_exact_tf_idf(spark, docs, monkeypatch):
+    """The weights by which stage 3 draws its samples, against a count of all shingles of its input."""
+    import corpus_pipeline
+
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    held = Counter()
+    for i in range(0, len(texts), 1000):
+        held.update(near_dup.shingles(pa.array(texts[i : i + 1000]))[1].tolist())
+    drawn = near_dup.candidate_links
+
+    def checked(docs, frequent, known, documents, text):
+        assert documents == len(texts)
+        back = {r.node: r.held for r in known.collect()}
+        some = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.coalesce(text, F.lit("")).alias("text")).limit(300).collect()
+        rows, hashes, counts = near_dup.shingles(pa.array([r.text for r in some]))
+        weight = near_dup.tf_idf(rows, hashes, counts, frequent, pa.array([back.get(r.node) for r in some], pa.binary()), documents)
+        assert np.allclose(weight, counts * (1 + np.log(len(texts) / np.array([held[h] for h in hashes.tolist()]))))
+        checked.calls = 1
+        return drawn(docs, frequent, known, documents, text)
+
+    monkeypatch.setattr(near_dup, "candidate_links", checked)
+    corpus_pipeline.drop_near_duplicates(spark, docs, SF).count()
+    assert checked.calls == 1
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
