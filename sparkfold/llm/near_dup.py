@@ -24,7 +24,8 @@
    connected components of the links that hold are the classes so far.
 5. *The rest of a bucket.*  In a bucket with more texts than are tied to each other, or one that a border of
    two tasks may cut, all other pairs are compared as well, unless the classes have joined them already: whole tables of overlaps are computed, in
-   parts of bounded size, and what they join is added to the classes.  So each pair that shares a band and
+   parts of bounded size, and what they join is added to the classes.  Buckets that share texts or classes are compared
+   as one group where that is less work, so a family that shares a hundred buckets is compared once.  So each pair that shares a band and
    reaches the threshold is in one class.
 
 Equal texts are one node from the start (by a 64-bit hash of the text), so copies cost nothing beyond
@@ -69,7 +70,7 @@ NEIGHBOURS = 5
 REMEMBERED = 1 << 20
 #: Distinct texts of a bucket that are all tied to each other by that.
 TIED = NEIGHBOURS + 2
-#: Texts, and bytes of their shingles, of a part of a bucket; any two parts are compared in one task.
+#: Texts, and bytes of their shingles, of a part of a bucket or group; two parts are compared in one task.
 PART_TEXTS, PART_BYTES = 4096, 1 << 24
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 
@@ -566,16 +567,53 @@ def joined(tables: list[np.ndarray], component: np.ndarray, threshold: float) ->
     return links
 
 
+def bucket_groups(placed: DataFrame) -> DataFrame:
+    """(unit, node, component): the texts of ``placed`` (key, node, component) that have to be compared with each other.
+
+    A bucket whose texts are all in one component is left out.  A family of alike texts shares many buckets, so buckets that are
+    tied to each other by a component, directly or by others, become one unit, in which each text has one row: where all pairs of
+    the group are no more than all pairs of its buckets, one by one.  Else each bucket stays a unit.  No pair of a bucket is lost.
+    """
+    mixed = stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "x", "n"))
+    rows = stored(placed.join(mixed.select("key", "x"), "key"))
+    tied = components(rows.select(F.col("x").alias("a"), F.col("component").alias("b")))
+    groups = tied.select(F.col("node").alias("component"), F.col("component").alias("group"))
+    texts = stored(rows.select("node", "component").distinct().join(groups, "component"))
+    singly = mixed.withColumnRenamed("x", "component").join(groups, "component").groupBy("group").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("singly"))
+    at_once = texts.groupBy("group").agg(F.count("*").cast("double").alias("n")).join(singly, "group")
+    at_once = stored(at_once.select("group", (F.col("n") * F.col("n") <= F.col("singly")).alias("at_once")))
+    apart = rows.select("key", "node", "component").join(groups.join(at_once.where("NOT at_once"), "group").select("component"), "component")
+    whole = texts.join(at_once.where("at_once"), "group")
+    out = stored(whole.select(F.col("group").alias("unit"), "node", "component").unionByName(apart.select(F.col("key").alias("unit"), "node", "component")))
+    discard(mixed, rows, tied, texts, at_once)
+    return out
+
+
+def _parts(texts: Column, size: Column) -> Column:
+    return F.ceil(F.greatest(texts / PART_TEXTS, size / PART_BYTES)).cast("int")
+
+
 def with_whole_buckets(linked: DataFrame, members: DataFrame, tables: DataFrame, threshold: float) -> DataFrame:
-    """The components ``linked`` after all pairs of the buckets ``members`` (key, node) have been compared."""
-    placed = members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sized = stored(placed.join(tables.select("node", F.octet_length("shingles").alias("bytes")), "node"))
-    parts = F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum("bytes") / PART_BYTES)).cast("int")
-    # stored, so that the join deals out both sides anew and Spark can split a large bucket
-    mixed = stored(sized.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts.alias("parts")).where("x < y").select("key", "parts"))
-    rows = sized.join(mixed, "key").withColumn("p", F.pmod(F.hash("node"), F.col("parts")))
-    rows = rows.withColumn("q", F.explode(F.expr("filter(sequence(0, parts - 1), q -> parts = 1 OR q <> p)")))
-    rows = rows.select("key", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "node", "component").join(tables, "node")
+    """The components ``linked`` after all pairs of the buckets ``members`` (key, node) have been compared.
+
+    The texts of the largest component of a unit and the others are dealt out to parts of their own.  Any two parts meet
+    in one task, but for two of the largest component, which has nothing to compare: so where the others are one part, each text of that
+    component has one row, however many there are.
+    """
+    placed = stored(members.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    units = bucket_groups(placed)
+    discard(placed)
+    sized = stored(units.join(tables.select("node", F.octet_length("shingles").alias("bytes")), "node"))
+    discard(units)
+    shares = sized.groupBy("unit", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    shares = shares.groupBy("unit").agg(F.max(F.struct("n", "component", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    others, most = _parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")), _parts(F.col("main.n"), F.col("main.size"))
+    # stored, so that the join deals out both sides anew and Spark can split a large unit
+    dealt = stored(shares.select("unit", F.col("main.component").alias("main"), others.alias("others"), most.alias("most")))
+    here = F.hash("node")
+    rows = sized.join(dealt, "unit").withColumn("p", F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(here, F.col("most"))).otherwise(F.pmod(here, F.col("others"))))
+    rows = rows.withColumn("q", F.explode(F.expr("filter(sequence(0, others + most - 1), q -> q <> p AND least(p, q) < others)")))
+    rows = rows.select("unit", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "node", "component").join(tables, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> pa.RecordBatch:
@@ -596,9 +634,9 @@ def with_whole_buckets(linked: DataFrame, members: DataFrame, tables: DataFrame,
         if held:
             yield found()
 
-    rows = rows.select("key", "low", "high", "component", "shingles").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = rows.select("unit", "low", "high", "component", "shingles").repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high")
     links = stored(rows.mapInArrow(compare, "a long, b long"))
-    discard(sized, mixed)
+    discard(sized, dealt)
     if links.isEmpty():
         return linked
     moved = components(links).select(F.col("node").alias("component"), F.col("component").alias("least"))
