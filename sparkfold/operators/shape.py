@@ -90,8 +90,10 @@ def sorted_list(values: Column, keys: tuple[str, ...], distinct: bool = True) ->
     ordered = F.array_sort(marked, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(a["i"] - b["i"]))
     if not distinct:
         return F.transform(ordered, lambda x: x["v"])
-    kept = F.filter(F.transform(ordered, lambda x, i: F.struct(x["v"].alias("v"), ((i == 0) | (F.get(F.transform(ordered, lambda y: y["k"]), i - 1) != x["k"])).alias("new"))), lambda x: x["new"])
-    return F.transform(kept, lambda x: x["v"])
+    # each entry beside the one before it, the first one beside itself; the last place has no entry
+    beside = F.zip_with(ordered, F.concat(F.slice(ordered, 1, 1), ordered), lambda x, y: F.struct(x.alias("x"), y["k"].alias("k"), y["i"].alias("i")))
+    kept = F.filter(beside, lambda p: p["x"].isNotNull() & ((p["x"]["i"] == p["i"]) | (p["x"]["k"] != p["k"])))
+    return F.transform(kept, lambda p: p["x"]["v"])
 
 
 def share_any(a: Column, b: Column) -> Column:

@@ -32,7 +32,8 @@ def w09_rolling_mean(t):
 @query("SELECT p_type, string_agg(p_brand || ':' || p_size, ',' ORDER BY p_brand, p_size) AS parts FROM (SELECT DISTINCT p_type, p_brand, p_size FROM part) GROUP BY p_type")
 def l03_multi_key_sort(t):
     size = F.lpad("p_size", 3, "0")
-    parts = t("part").groupBy("p_type").agg(H.sorted_list(F.collect_list(F.struct("p_brand", "p_size", size.alias("k"))), ("p_brand", "k")).alias("m"))
+    distinct = t("part").select("p_type", "p_brand", "p_size").distinct()  # the list of a type holds no copies
+    parts = distinct.groupBy("p_type").agg(H.sorted_list(F.collect_list(F.struct("p_brand", "p_size", size.alias("k"))), ("p_brand", "k")).alias("m"))
     return parts.select("p_type", F.array_join(F.transform("m", lambda x: F.concat(x["p_brand"], F.lit(":"), x["p_size"].cast("string"))), ",").alias("parts"))
 
 
